@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -132,6 +133,11 @@ def flips(bits: list[int], radius: int) -> list[int]:
     return [signed(sum(1 << b for b in chosen)) for k in range(radius + 1) for chosen in combinations(bits, k)]
 
 
+def flipped(own: Column, masks: list[int]) -> Column:
+    """own with each mask's bits flipped, as an array; the masks are one literal in the plan."""
+    return F.transform(F.from_json(F.lit(json.dumps(masks)), "array<bigint>"), lambda f: own.bitwiseXOR(f))
+
+
 def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int = 4096, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """Links (src, dst) that connect what pairs within `threshold` bits connect, of distinct fingerprints `fp`.
 
@@ -151,17 +157,16 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int = 4096, pl
     for i, (bits, radius) in enumerate(plan):
         own = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))
         stand.append(F.struct(F.lit(i).alias("part"), own.alias("key")))
-        ask += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(f)).alias("key")) for f in flips(bits, radius)]
+        ask.append(F.arrays_zip(F.array_repeat(F.lit(i), len(flips(bits, radius))).alias("part"), flipped(own, flips(bits, radius)).alias("key")))
     standing = prints.select("fp", F.explode(F.array(*stand)).alias("at")).select("fp", "at.*")
-    asking = prints.select(F.col("fp").alias("fp2"), F.explode(F.array(*ask)).alias("at")).select("fp2", F.col("at.part").alias("part2"), F.col("at.key").alias("key2"))
+    asking = prints.select(F.col("fp").alias("fp2"), F.explode(F.concat(*ask)).alias("at")).select("fp2", F.col("at.part").alias("part2"), F.col("at.key").alias("key2"))
     same = (F.col("part") == F.col("part2")) & (F.col("key") == F.col("key2"))
     crowded = cut(standing.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"), "crowded")
     found = []
     if not crowded.isEmpty():
         inside = standing.join(crowded, ["part", "key"], "left_semi").select("fp")
         inside = inside.unionByName(asking.join(crowded, same, "left_semi").select(F.col("fp2").alias("fp"))).distinct()
-        masks = F.array(*[F.lit(f) for f in flips(list(range(BITS)), threshold // 2)])
-        near = inside.select("fp", F.explode(F.transform(masks, lambda f: F.col("fp").bitwiseXOR(f))).alias("mask"))
+        near = inside.select("fp", F.explode(flipped(F.col("fp"), flips(list(range(BITS)), threshold // 2))).alias("mask"))
         least = near.groupBy("mask").agg(F.min("fp").alias("low")).select(F.col("mask").alias("mask2"), "low")
         found.append(near.join(least, F.col("mask") == F.col("mask2")).where("fp != low").select(F.col("fp").alias("src"), F.col("low").alias("dst")))
         standing = standing.join(crowded, ["part", "key"], "left_anti")
