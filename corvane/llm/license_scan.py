@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
 
-#: Words: runs of ASCII digits and letters and of all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: words are runs of ASCII digits and lower-case letters and of all characters beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
 #: Phrases whose places are counted, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -62,11 +62,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_th"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_th"), F.filter(F.split(text, BETWEEN), lambda w: w != "").alias("_w"))
     after = [F.slice("_w", F.lit(j + 1), F.greatest(F.size("_w") - j, F.lit(0))) for j in range(1, k)]
     paired = F.transform(F.arrays_zip("_w", *after), lambda g: F.concat_ws(" ", *[g[x] for x in ("_w", *map(str, range(1, k)))]))
     grams = F.slice(paired, 1, F.greatest(F.size("_w") - (k - 1), F.lit(0)))
-    rows = rows.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), grams)).alias("_at", "_gram"))
+    rows = rows.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.concat(F.array(F.lit("")), grams).alias("_g"))
+    rows = rows.select("doc_id", "_th", "n_words", F.posexplode("_g").alias("_at", "_gram"))  # the words stay behind here
     rows = rows.withColumn("_hash", F.xxhash64("_gram"))
     hits = rows.join(F.broadcast(template_grams(spark, k)), (F.col("_hash") == F.col("hash_t")) & (F.col("_gram") == F.col("gram_t")))
     diagonals = hits.groupBy("doc_id", "_th", "n_words", "tid", "n_grams", "label", "is_base", (F.col("_at") - 1 - F.col("offset")).alias("diag")).agg(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan as ls
 from .common import ship, table
+from .ann import ann_search
+from .embedding_dedup import embedding_dedup
 from .simhash import hex_print, simhash_components
 from .token_count import count_tokens
 
@@ -31,7 +33,17 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ann_search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count)
+    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search)
 }
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle()}
