@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import license_scan as ls
-from .common import ship, table
+from .common import remainder, ship, table
+from .quality import score_quality
+from .lang_id import identify_language
 from .ann import ann_search
 from .embedding_dedup import embedding_dedup
 from .simhash import hex_print, simhash_components
 from .token_count import count_tokens
 
 
+def held_out(n: int, left: int) -> Column:
+    """Whether the fold of a document is kept out of learning; false for a null id, which nothing is learned from."""
+    return F.coalesce(remainder("doc_id", n) == left, F.lit(False)).alias("held_out")
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = simhash_components(table(spark, sf_dir, "documents"), shingle=4, threshold=4)
@@ -43,7 +51,19 @@ def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), remainder("doc_id", 4) != 2)
+    return rows.select("doc_id", held_out(4, 2), "lang_pred", "score", "rejected")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2, keep=["doc_id"])
+    return rows.select("doc_id", held_out(4, 2), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search)
+    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle()}
