@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import license_scan as ls
 from .common import remainder, ship, table
+from .mixing import mix_plan
+from .mixing import oracle as mixing_oracle
+from .packing import pack
 from .quality import score_quality
 from .lang_id import identify_language
 from .ann import ann_search
@@ -63,7 +66,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(4, 2), "score", "predicted")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier)
+    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle(), "op9_source_mixing": mixing_oracle()}
