@@ -1,10 +1,64 @@
-"""Placeholder of the corpus pipeline; stages are added as their operators are."""
+"""The corpus pipeline: language, quality, near-duplicates, mixture, packing. Counted as part of corvane.llm."""
+
+from __future__ import annotations
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from corvane.llm.common import remainder, scratch, ship, table
+from corvane.llm.lang_id import identify_language
+from corvane.llm.mixing import mix_sources
+from corvane.llm.packing import pack
+from corvane.llm.quality import score_quality
+from corvane.llm.simhash import drop_near_duplicates
+
+#: No SQL expresses the learned stages and the fingerprints; tests compare each stage with brute force.
 ORACLE_SQL = None
+#: Share of its documents that a learned stage does not learn from, as in the single queries.
+FOLDS, HELD_OUT = 4, 2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without any letter or too far from every language's centroids."""
+    ship(spark)
+    named = identify_language(docs, remainder("doc_id", FOLDS) != HELD_OUT)
+    return named.where(~F.col("rejected")).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score below the threshold."""
+    ship(spark)
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", FOLDS) != HELD_OUT)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the document of the smallest id of each near-duplicate group: shingles of five words, four bits."""
+    ship(spark)
+    return drop_near_duplicates(docs, shingle=5, threshold=4)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents by their sources' target weights, whole and repeated where a source is short."""
+    return mix_sources(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes: bucket, batch and slot."""
+    return pack(docs)
+
+
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+    return docs
