@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import license_scan as ls
 from .common import remainder, ship, table
+from .lm_score import lm_score
 from .mixing import mix_plan
 from .mixing import oracle as mixing_oracle
 from .packing import pack
@@ -74,7 +75,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = lm_score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return rows.select("doc_id", held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing)
+    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing, op6_lm_scoring)
 }
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle(), "op9_source_mixing": mixing_oracle()}
