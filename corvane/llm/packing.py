@@ -11,7 +11,7 @@ from .common import cut, n_words
 #: Lengths are told apart exactly up to this one; beyond, in steps of 1 in FINE, so the histogram is bounded.
 EXACT, FINE = 256, 64
 #: Rows of a run, within which rows of a bucket are numbered.
-RUN = 20_000
+RUN = 2_000
 
 
 def bin_top(n: Column) -> Column:
