@@ -12,7 +12,7 @@ from .common import cut, n_words
 #: Bisection steps taken in one pass over the sources, and passes: together they halve [0, 1] this often.
 STEPS, PASSES = 4, 10
 #: Rows that a run of the permutation holds on average; a source is dealt out over as many runs as it needs.
-RUN = 20_000
+RUN = 2_000
 
 
 def bisect_exponent(sources: DataFrame, n_sources: int, total: float, target_entropy: float, budget: float, max_repeat: float) -> float:
