@@ -14,11 +14,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, thin
 from .components import connected_components
 
 BITS = 64
-#: Fingerprints that the plan looks at. The plan sets the cost only; every plan finds every pair.
+#: Fingerprints that the plan looks at, about. The plan sets the cost only; every plan finds every pair.
 PLAN_SAMPLE = 8192
 #: Seconds for writing and shuffling one probe and for verifying one candidate pair, for the plan's comparison.
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
@@ -151,7 +151,7 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int = 4096, pl
         raise ValueError("an even threshold is needed")
     if plan is None:
         n = prints.count()
-        rows = prints.orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()
+        rows = thin(prints, "fp", PLAN_SAMPLE, n, 1).orderBy("fp").collect()
         plan = plan_partitions(np.array([r[0] for r in rows], np.int64).view(np.uint64), n, threshold)
     stand, ask = [], []
     for i, (bits, radius) in enumerate(plan):
