@@ -116,11 +116,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     quota = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, share / n) * 1_000_000))])
     sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(quota, F.col("lang"))).select("lang", grams("text").alias("g")).select("lang", "g.*").orderBy("lang", "at").toPandas()
     counts = np.zeros((len(sample), FEATURES), np.float32)
-    for i, (at, of) in enumerate(zip(sample["at"], sample["of"], strict=True)):
+    for i, (at, of) in enumerate(zip(sample.pop("at"), sample.pop("of"), strict=True)):
         counts[i, at] = of
-    idf = np.log((1 + len(sample)) / (1 + (counts > 0).sum(0))) + 1
-    v = np.log1p(counts) * idf
-    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+    idf = (np.log((1 + len(sample)) / (1 + np.count_nonzero(counts, 0))) + 1).astype(np.float32)
+    v = np.log1p(counts, out=counts)
+    v *= idf
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.float32(1e-12))[:, None]
     langs = sorted(set(sample["lang"]))
     own = sample["lang"].map(langs.index).to_numpy() if langs else np.zeros(0, int)
     parts = [spherical_k_means(v[own == i], CENTROIDS, seed) for i in range(len(langs))]
