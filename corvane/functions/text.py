@@ -44,7 +44,7 @@ def any_phrase(text: Column, phrases: list[str]) -> Column:
 
 def split_tags(tags: Column, sep: str = ",", blanks: tuple[str, ...] = ()) -> Column:
     """Trimmed tags in order, without blanks, placeholders and repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), sep), F.trim), lambda t: (t != "") & ~t.isin("", *blanks)))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), sep), lambda t: F.trim(t)), lambda t: (t != "") & ~t.isin("", *blanks)))
 
 
 def snippet(text: Column, n: int = 200) -> Column:

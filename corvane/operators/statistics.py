@@ -93,7 +93,7 @@ def pareto(points: DataFrame, quality: str, cost: str) -> DataFrame:
     The best quality at each cost is compared with the running best of lower costs, so no pair of points is formed.
     Points are one per model, a bounded list.
     """
-    best = points.groupBy(F.col(cost).alias("_cost")).agg(F.max(quality).alias("_best"))
+    best = points.where(F.col(cost).isNotNull()).groupBy(F.col(cost).alias("_cost")).agg(F.max(quality).alias("_best"))
     best = best.withColumn("_before", F.max("_best").over(Window.orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1)))
     front = (F.col(quality) == F.col("_best")) & (F.col("_before").isNull() | (F.col(quality) > F.col("_before")))
     return points.join(best, F.col(cost) == F.col("_cost"), "left").withColumn("on_front", F.coalesce(front, F.lit(False))).drop("_cost", "_best", "_before")
@@ -135,7 +135,7 @@ def agreement(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
         ranks = n.withColumn(f"_r{c}", F.coalesce(F.sum("count").over(w), F.lit(0)) + (F.col("count") + 1) / 2).drop("count")
         base = base.join(ranks, [*group, c])
     def corr(a: str, b: str) -> Column:
-        return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return base.groupBy(*group).agg(F.count("*").alias("n"), corr(f"_r{x}", f"_r{y}").alias("spearman"), corr(x, y).alias("pearson"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae"))
 
 
