@@ -24,26 +24,37 @@ PLAN_SAMPLE = 8192
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """64 bits, each set if set in over half the XXH64 of the text's word shingles; 0 if there are no words."""
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z and splits at ASCII white space only
+def text_words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and ASCII white space count
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, joined by spaces; of all words if there are fewer."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[len(words) - n :] - 1).tolist()
     one = partial(xxhash.xxh64_intdigest, seed=seed)
-    hashes = np.fromiter((one(joined[a:b]) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    set_bits = np.zeros(BITS, np.int64)
+    return np.fromiter((one(joined[a:b]) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits, each set if set in over half the hashes; 0 without any."""
+    n, set_bits = len(hashes), np.zeros(BITS, np.int64)
     for i in range(0, n, 4096):
         block = hashes[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """The majority bits of a text's shingles, repeats included."""
+    return majority_bits(shingle_hashes(text_words(text), shingle, seed))
+
+
 def fingerprint_column(text: Column, shingle: int = 5) -> Column:
     """The fingerprint as a signed long (the same 64 bits)."""
 
@@ -138,7 +149,7 @@ def flipped(own: Column, masks: list[int]) -> Column:
     return F.transform(F.from_json(F.lit(json.dumps(masks)), "array<bigint>"), lambda f: own.bitwiseXOR(f))
 
 
-def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int = 4096, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int | None = 4096, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """Links (src, dst) that connect what pairs within `threshold` bits connect, of distinct fingerprints `fp`.
 
     A print stands in each partition under its own bits and asks there under all bits within the partition's radius;
@@ -146,8 +157,9 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int = 4096, pl
     pairs with the square of their number: the prints that stand or ask there are linked instead through the masks of
     at most threshold / 2 flipped bits (two prints within `threshold` share one, and two that share one are within
     `threshold`), each linked to the mask's smallest print, so their work grows in proportion and no link is lost.
+    hot=None gives every pair itself, for prints that have no large groups left.
     """
-    if threshold % 2:
+    if hot and threshold % 2:
         raise ValueError("an even threshold is needed")
     if plan is None:
         n = prints.count()
@@ -161,9 +173,9 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int = 4096, pl
     standing = prints.select("fp", F.explode(F.array(*stand)).alias("at")).select("fp", "at.*")
     asking = prints.select(F.col("fp").alias("fp2"), F.explode(F.concat(*ask)).alias("at")).select("fp2", F.col("at.part").alias("part2"), F.col("at.key").alias("key2"))
     same = (F.col("part") == F.col("part2")) & (F.col("key") == F.col("key2"))
-    crowded = cut(standing.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"), "crowded")
+    crowded = cut(standing.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"), "crowded") if hot else None
     found = []
-    if not crowded.isEmpty():
+    if crowded and not crowded.isEmpty():
         inside = standing.join(crowded, ["part", "key"], "left_semi").select("fp")
         inside = inside.unionByName(asking.join(crowded, same, "left_semi").select(F.col("fp2").alias("fp"))).distinct()
         near = inside.select("fp", F.explode(flipped(F.col("fp"), flips(list(range(BITS)), threshold // 2))).alias("mask"))
@@ -200,12 +212,75 @@ def hex_print(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the smallest id; of repeated ids, one row.
+def near_columns(text: Column, shingle: int, kept: int) -> Column:
+    """Struct of a text's fingerprint fp, that of its distinct words, and its shingles' `kept` smallest hashes, sorted."""
+
+    @F.pandas_udf("struct<fp:long,wide:long,sketch:array<long>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            fps, wides, sketches = [], [], []
+            for t in texts:
+                words = text_words(t)
+                hashes = shingle_hashes(words, shingle)
+                fps.append(majority_bits(hashes))
+                wides.append(majority_bits(shingle_hashes(list(set(words)), 1)))
+                small = np.unique(hashes.view(np.int64))
+                sketches.append(small[:kept])
+            yield pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "wide": np.array(wides, np.uint64).view(np.int64), "sketch": sketches})
+
+    return of(text)
+
+
+def sketch_similarity(a: Column, b: Column, kept: int) -> Column:
+    """Jaccard similarity of two shingle sets from their smallest hashes: exact if both sets have `kept` at most."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
+    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    return F.when(F.size(union) == 0, 1.0).otherwise(F.try_divide(shared.cast("double"), F.size(union).cast("double")))
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float = 0.8, slack: float = 0.04, wide: tuple[int, ...] = (4, 8), kept: int = 256) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id, over links of similar texts.
+
+    First the fingerprints within `threshold` bits are linked, which takes in large groups of copies in proportion to
+    their rows. That radius holds only the closest copies: shingle sets of similarity 0.8 differ in some ten of 64 bits.
+    So one text of each component goes on: fingerprints of its distinct words, in which such texts differ in a few bits
+    only, are probed within each radius of `wide` in turn by the same partitions, and candidates are verified by the
+    similarity of their shingle sets, estimated from the `kept` smallest hashes (exact for sets no larger): at least
+    `similarity`, less `slack` where it is an estimate. Each round's components go on as one text.
+    Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), near_columns(F.col(text_col), shingle, kept).alias("n")).select("doc_id", "n.*"), "near")
+    first = F.min_by(F.struct("wide", "sketch"), F.coalesce("low", F.lit(2**63 - 1))).alias("s")
+    prints = rows.withColumn("low", F.col("doc_id")).groupBy("fp").agg(F.min("low").alias("low"), first)
+    prints = cut(prints.select("fp", "low", "s.*"), "prints")
+    roots = connected_components(fingerprint_links(prints.select("fp"), threshold))
+    joined = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = cut(joined.select("fp", "root"), "classes")
+    units = cut(joined.groupBy("root").agg(F.min("low").alias("low"), first).select("root", "low", "s.*"), "units")
+    for radius in wide:
+        held = cut(units.groupBy("wide").agg(F.min("root").alias("one")), "wide")
+        pairs = fingerprint_links(held.select(F.col("wide").alias("fp")), radius, hot=None)
+        a, b = held.select(F.col("wide").alias("src"), F.col("one").alias("x")), held.select(F.col("wide").alias("dst"), F.col("one").alias("y"))
+        pairs = pairs.distinct().join(a, "src").join(b, "dst").select("x", "y")
+        alike = units.select("wide", F.col("root").alias("x")).join(held.select("wide", F.col("one").alias("y")), "wide").where("x != y").select("x", "y")
+        sketches = units.select("root", "sketch")
+        pairs = pairs.unionByName(alike).join(sketches.select(F.col("root").alias("x"), F.col("sketch").alias("s")), "x").join(sketches.select(F.col("root").alias("y"), F.col("sketch").alias("t")), "y")
+        exact = (F.size("s") < kept) & (F.size("t") < kept)
+        close = sketch_similarity(F.col("s"), F.col("t"), kept) >= F.when(exact, F.lit(similarity)).otherwise(F.lit(similarity - slack))
+        merged = connected_components(pairs.where(close).select(F.col("x").alias("src"), F.col("y").alias("dst"))).select("node", F.col("root").alias("_to"))
+        classes = cut(classes.join(merged, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("_to", "root").alias("root")), "classes")
+        joined = units.join(merged, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("_to", "root")).drop("node", "_to")
+        units = cut(joined.groupBy("root").agg(F.min("low").alias("low"), first).select("root", "low", "s.*"), "units")
+    told = classes.join(units.select("root", F.col("low").alias("component_id")), "root").select(F.col("fp").alias("fp2"), "component_id")
+    return rows.join(told, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each component of near_duplicate_components: that of the smallest id; of repeated ids, one row.
 
     Rows without an id stay only if their component has no id at all, and then one of each distinct text.
     """
-    parts = simhash_components(docs, id_col, text_col, shingle, threshold)
+    parts = near_duplicate_components(docs, id_col, text_col, **how)
     keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from corvane.llm.common import ship
-from corvane.llm.simhash import drop_near_duplicates, fingerprint, fingerprint_links, plan_partitions, simhash_components
+from corvane.llm.simhash import drop_near_duplicates, near_duplicate_components, fingerprint, fingerprint_links, plan_partitions, simhash_components
 
 
 def slow_print(text, k):
@@ -89,3 +89,24 @@ def test_one_of_each_group_stays_and_columns_too(spark):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.fp) for r in kept.collect()), key=str) == sorted([(3, 2), (7, 3), (None, 4)], key=str)
+
+
+def test_texts_of_similarity_from_four_fifths_on_are_linked(spark):
+    ship(spark)
+    rng, rows, groups = random.Random(8), [], []
+    for g in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        own = [" ".join(base)]
+        for edits in (1, 3, 5, 6):
+            copy = list(base)
+            for i in rng.sample(range(300), edits):
+                copy[i] = f"x{rng.randrange(4000)}"
+            own.append(" ".join(copy))
+        groups.append(range(len(rows), len(rows) + len(own)))
+        rows += own
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    pairs = [(i, j) for g in groups for i in g for j in g if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in near_duplicate_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(got[i] in groups[k] for k, g in enumerate(groups) for i in g)
+    assert near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
