@@ -35,9 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the document of the smallest id of each near-duplicate group: shingles of five words, four bits."""
+    """Leaves the document of the smallest id of each near-duplicate group: shingles of five words, similarity 0.8."""
     ship(spark)
-    return drop_near_duplicates(docs, shingle=5, threshold=4)
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
