@@ -11,7 +11,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, thin
@@ -215,7 +215,7 @@ def hex_print(fp: str = "fp") -> Column:
 def near_columns(text: Column, shingle: int, kept: int) -> Column:
     """Struct of a text's fingerprint fp, that of its distinct words, and its shingles' `kept` smallest hashes, sorted."""
 
-    @F.pandas_udf("struct<fp:long,wide:long,sketch:array<long>>")
+    @F.pandas_udf("struct<fp:long,wide:long,sketch:array<int>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             fps, wides, sketches = [], [], []
@@ -224,8 +224,7 @@ def near_columns(text: Column, shingle: int, kept: int) -> Column:
                 hashes = shingle_hashes(words, shingle)
                 fps.append(majority_bits(hashes))
                 wides.append(majority_bits(shingle_hashes(list(set(words)), 1)))
-                small = np.unique(hashes.view(np.int64))
-                sketches.append(small[:kept])
+                sketches.append(np.unique(hashes.astype(np.uint32).view(np.int32))[:kept])
             yield pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "wide": np.array(wides, np.uint64).view(np.int64), "sketch": sketches})
 
     return of(text)
@@ -238,7 +237,7 @@ def sketch_similarity(a: Column, b: Column, kept: int) -> Column:
     return F.when(F.size(union) == 0, 1.0).otherwise(F.try_divide(shared.cast("double"), F.size(union).cast("double")))
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float = 0.8, slack: float = 0.04, wide: tuple[int, ...] = (4, 8), kept: int = 256) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float = 0.8, slack: float = 0.05, wide: tuple[int, ...] = (4, 8), kept: int = 128) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id, over links of similar texts.
 
     First the fingerprints within `threshold` bits are linked, which takes in large groups of copies in proportion to
@@ -250,28 +249,26 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), near_columns(F.col(text_col), shingle, kept).alias("n")).select("doc_id", "n.*"), "near")
-    first = F.min_by(F.struct("wide", "sketch"), F.coalesce("low", F.lit(2**63 - 1))).alias("s")
-    prints = rows.withColumn("low", F.col("doc_id")).groupBy("fp").agg(F.min("low").alias("low"), first)
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min_by(F.struct("wide", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("s"))
     prints = cut(prints.select("fp", "low", "s.*"), "prints")
     roots = connected_components(fingerprint_links(prints.select("fp"), threshold))
-    joined = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = cut(joined.select("fp", "root"), "classes")
-    units = cut(joined.groupBy("root").agg(F.min("low").alias("low"), first).select("root", "low", "s.*"), "units")
-    for radius in wide:
+    classes = cut(prints.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
+    for radius in wide:  # a component goes on as the print that is its root
+        units = prints.join(classes.where("fp = root").select(F.col("fp").alias("root")), F.col("fp") == F.col("root"))
         held = cut(units.groupBy("wide").agg(F.min("root").alias("one")), "wide")
         pairs = fingerprint_links(held.select(F.col("wide").alias("fp")), radius, hot=None)
         a, b = held.select(F.col("wide").alias("src"), F.col("one").alias("x")), held.select(F.col("wide").alias("dst"), F.col("one").alias("y"))
         pairs = pairs.distinct().join(a, "src").join(b, "dst").select("x", "y")
         alike = units.select("wide", F.col("root").alias("x")).join(held.select("wide", F.col("one").alias("y")), "wide").where("x != y").select("x", "y")
-        sketches = units.select("root", "sketch")
-        pairs = pairs.unionByName(alike).join(sketches.select(F.col("root").alias("x"), F.col("sketch").alias("s")), "x").join(sketches.select(F.col("root").alias("y"), F.col("sketch").alias("t")), "y")
+        pairs = cut(pairs.unionByName(alike), "pairs")
+        told = pairs.join(prints.select(F.col("fp").alias("x"), F.col("sketch").alias("s")), "x").join(prints.select(F.col("fp").alias("y"), F.col("sketch").alias("t")), "y")
         exact = (F.size("s") < kept) & (F.size("t") < kept)
         close = sketch_similarity(F.col("s"), F.col("t"), kept) >= F.when(exact, F.lit(similarity)).otherwise(F.lit(similarity - slack))
-        merged = connected_components(pairs.where(close).select(F.col("x").alias("src"), F.col("y").alias("dst"))).select("node", F.col("root").alias("_to"))
+        merged = connected_components(told.where(close).select(F.col("x").alias("src"), F.col("y").alias("dst"))).select("node", F.col("root").alias("_to"))
         classes = cut(classes.join(merged, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("_to", "root").alias("root")), "classes")
-        joined = units.join(merged, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("_to", "root")).drop("node", "_to")
-        units = cut(joined.groupBy("root").agg(F.min("low").alias("low"), first).select("root", "low", "s.*"), "units")
-    told = classes.join(units.select("root", F.col("low").alias("component_id")), "root").select(F.col("fp").alias("fp2"), "component_id")
+    whole = classes.join(prints.select(F.col("fp").alias("fp2"), "low"), F.col("fp") == F.col("fp2"))
+    least = whole.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
+    told = cut(classes.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("fp2"), "component_id"), "classes")
     return rows.join(told, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
@@ -282,13 +279,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     parts = near_duplicate_components(docs, id_col, text_col, **how)
     keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    once = F.row_number().over(_once(id_col, key))
-    return kept.withColumn("_nth", once).where("_nth = 1").drop("_nth")
-
-
-def _once(id_col: str, key: Column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), key)).orderBy(key)
+    keep = cut(keep, "keep")
+    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # rows lie by id already: no second shuffle
+    kept = named.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(key))).where("_nth = 1").drop("_nth")
+    if keep.where("_keep IS NULL").isEmpty():
+        return kept
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return kept.unionByName(nameless.where("_nth = 1").drop("_nth"))
