@@ -14,6 +14,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.ui.retainedExecutions", "2")  # plans of many small jobs would fill the driver
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
