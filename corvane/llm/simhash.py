@@ -153,7 +153,7 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int | None = 4
     """Links (src, dst) that connect what pairs within `threshold` bits connect, of distinct fingerprints `fp`.
 
     A print stands in each partition under its own bits and asks there under all bits within the partition's radius;
-    equal keys meet in a join that verifies the distance. Keys under which more than `hot` prints stand would make
+    equal keys meet in a join that verifies the distance, and a pair is given only in the first partition where it meets. Keys under which more than `hot` prints stand would make
     pairs with the square of their number: the prints that stand or ask there are linked instead through the masks of
     at most threshold / 2 flipped bits (two prints within `threshold` share one, and two that share one are within
     `threshold`), each linked to the mask's smallest print, so their work grows in proportion and no link is lost.
@@ -182,7 +182,10 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int | None = 4
         least = near.groupBy("mask").agg(F.min("fp").alias("low")).select(F.col("mask").alias("mask2"), "low")
         found.append(near.join(least, F.col("mask") == F.col("mask2")).where("fp != low").select(F.col("fp").alias("src"), F.col("low").alias("dst")))
         standing = standing.join(crowded, ["part", "key"], "left_anti")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= threshold
+    apart = F.col("fp").bitwiseXOR(F.col("fp2"))
+    close = F.bit_count(apart) <= threshold
+    for i, (bits, radius) in enumerate(plan[:-1]):  # those that meet in an earlier partition come from there
+        close = close & ((F.col("part") <= i) | (F.bit_count(apart.bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))) > radius))
     found.append(standing.join(asking, same & (F.col("fp") < F.col("fp2")) & close).select(F.col("fp").alias("src"), F.col("fp2").alias("dst")))
     out = found[0]
     for more in found[1:]:
