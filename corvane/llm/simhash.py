@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found by the generalised pigeonhole principle."""
+"""SimHash near-duplicates, found by the generalised pigeonhole principle; near-duplicates by the similarity of shingle sets."""
 
 from __future__ import annotations
 
@@ -22,6 +22,10 @@ BITS = 64
 PLAN_SAMPLE = 8192
 #: Seconds for writing and shuffling one probe and for verifying one candidate pair, for the plan's comparison.
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
+#: Texts that common shingles are looked for in, about; from how many of them on; the most that are kept. They set the cost only.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_KEPT = 16384, 4, 131072
+#: Bits of the map of wanted digests, a power of two.
+MAP_BITS = 1 << 23
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -215,64 +219,152 @@ def hex_print(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_columns(text: Column, shingle: int, kept: int) -> Column:
-    """Struct of a text's fingerprint fp, that of its distinct words, and its shingles' `kept` smallest hashes, sorted."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text_words(text), shingle))
 
-    @F.pandas_udf("struct<fp:long,wide:long,sketch:array<int>>")
+
+def sliced(batches: Iterator[pd.Series], rows: int = 512) -> Iterator[pd.Series]:
+    """The batches in short runs, so that a worker holds the sets of few texts at once."""
+    for texts in batches:
+        for i in range(0, len(texts), rows):
+            yield texts.iloc[i : i + rows]
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    """Equal for equal shingle sets."""
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def sweep(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are cut: it does so once the driver collects its garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that occur in several different texts of a sample. They set the cost only."""
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in sliced(batches):
+            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts])
+
+    sample = thin(docs.select(F.col(text_col).alias("text")), "text", COMMON_SAMPLE, docs.count(), 1).distinct()
+    counts = sample.select(F.explode(of("text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_LEAST)
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON_KEPT).collect()
+    hashes, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def set_prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes of a set, rare ones first: of two sets as similar as that, the prefixes share a hash.
+
+    Both sets share at least similarity * n of the n hashes of either; so the first hash that they share, in any order
+    that holds for all sets, stands before the last similarity * n - 1 of both.
+    """
+    n, (known, times) = len(hashes), common
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    seen = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        seen = np.where(known[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, seen))[:size]]
+
+
+def prefix_columns(text: Column, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Struct of the digest of a text's shingle set, its size n and its prefix."""
+
+    @F.pandas_udf("struct<digest:long,n:int,prefix:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            fps, wides, sketches = [], [], []
-            for t in texts:
-                words = text_words(t)
-                hashes = shingle_hashes(words, shingle)
-                fps.append(majority_bits(hashes))
-                wides.append(majority_bits(shingle_hashes(list(set(words)), 1)))
-                sketches.append(np.unique(hashes.astype(np.uint32).view(np.int32))[:kept])
-            yield pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "wide": np.array(wides, np.uint64).view(np.int64), "sketch": sketches})
+        for texts in sliced(batches):
+            sets = [shingle_set(t, shingle) for t in texts]
+            digests = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
+            prefixes = [set_prefix(s, similarity, common).view(np.int64) for s in sets]
+            yield pd.DataFrame({"digest": digests, "n": np.array([len(s) for s in sets], np.int32), "prefix": prefixes})
 
     return of(text)
 
 
-def sketch_similarity(a: Column, b: Column, kept: int) -> Column:
-    """Jaccard similarity of two shingle sets from their smallest hashes: exact if both sets have `kept` at most."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.try_divide(shared.cast("double"), F.size(union).cast("double")))
+def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(digest, hashes) of each shingle set whose digest is in wanted, and of few others.
+
+    A bit map of bounded size, made from wanted, leaves out most other texts before anything is shuffled.
+    """
+    bit = F.pmod(F.col("digest"), F.lit(MAP_BITS))
+    words = wanted.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(digest, {MAP_BITS}) & 31 as int))").alias("bit"))
+    filled = np.zeros(MAP_BITS // 32, np.int64)
+    for word, bits in words.groupBy("word").agg(F.bit_or("bit")).collect():
+        filled[word] = bits
+    filled = filled.astype(np.uint32)
+
+    @F.pandas_udf("struct<digest:long,hashes:array<long>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in sliced(batches):
+            sets = [shingle_set(t, shingle) for t in texts]
+            digests = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
+            at = digests % MAP_BITS
+            held = (filled[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            yield pd.DataFrame({"digest": digests, "hashes": [s.view(np.int64) if h else None for s, h in zip(sets, held, strict=True)]})
+
+    found = docs.select(of(F.col(text_col)).alias("s")).select("s.*").where("hashes IS NOT NULL")
+    return found.groupBy("digest").agg(F.first("hashes").alias("hashes"))
+
+
+def similar_links(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (x, y: digests) whose whole shingle sets have that Jaccard similarity, as src and dst."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
+    sets = cut(whole_sets(docs, text_col, shingle, wanted), "sets")
+    sweep(docs)
+    told = pairs.join(sets.select(F.col("digest").alias("x"), F.col("hashes").alias("s")), "x").join(sets.select(F.col("digest").alias("y"), F.col("hashes").alias("t")), "y")
+    shared = F.size(F.array_intersect("s", "t"))
+    return told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+
+
+def may_be_similar(similarity: float, n: str, pos: str, n2: str, pos2: str) -> Column:
+    """False where sets of n and n2 hashes, whose first shared hash is the pos-th and the pos2-th, can't be that similar."""
+    most = F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2))
+    return most * (1 + similarity) >= similarity * (F.col(n) + F.col(n2)) - 1e-6
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float = 0.8, slack: float = 0.05, wide: tuple[int, ...] = (4, 8), kept: int = 128) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id, over links of similar texts.
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: doc_id, component_id, over the links of all texts whose shingle sets have that similarity.
 
-    First the fingerprints within `threshold` bits are linked, which takes in large groups of copies in proportion to
-    their rows. That radius holds only the closest copies: shingle sets of similarity 0.8 differ in some ten of 64 bits.
-    So one text of each component goes on: fingerprints of its distinct words, in which such texts differ in a few bits
-    only, are probed within each radius of `wide` in turn by the same partitions, and candidates are verified by the
-    similarity of their shingle sets, estimated from the `kept` smallest hashes (exact for sets no larger): at least
-    `similarity`, less `slack` where it is an estimate. Each round's components go on as one text.
+    Every two such sets share a hash of their prefixes, whatever the edits are; so no link is missed, and each is
+    verified by the whole sets. Equal sets are one text. All texts that have a prefix hash are first compared with the
+    one of them that has it earliest, so that a large group of copies becomes one component in proportion to its rows.
+    Then every other pair that shares a prefix hash and isn't yet in one component is compared.
     Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), near_columns(F.col(text_col), shingle, kept).alias("n")).select("doc_id", "n.*"), "near")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min_by(F.struct("wide", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("s"))
-    prints = cut(prints.select("fp", "low", "s.*"), "prints")
-    roots = connected_components(fingerprint_links(prints.select("fp"), threshold))
-    classes = cut(prints.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
-    for radius in wide:  # a component goes on as the print that is its root
-        units = prints.join(classes.where("fp = root").select(F.col("fp").alias("root")), F.col("fp") == F.col("root"))
-        held = cut(units.groupBy("wide").agg(F.min("root").alias("one")), "wide")
-        pairs = fingerprint_links(held.select(F.col("wide").alias("fp")), radius, hot=None)
-        a, b = held.select(F.col("wide").alias("src"), F.col("one").alias("x")), held.select(F.col("wide").alias("dst"), F.col("one").alias("y"))
-        pairs = pairs.distinct().join(a, "src").join(b, "dst").select("x", "y")
-        alike = units.select("wide", F.col("root").alias("x")).join(held.select("wide", F.col("one").alias("y")), "wide").where("x != y").select("x", "y")
-        pairs = cut(pairs.unionByName(alike), "pairs")
-        told = pairs.join(prints.select(F.col("fp").alias("x"), F.col("sketch").alias("s")), "x").join(prints.select(F.col("fp").alias("y"), F.col("sketch").alias("t")), "y")
-        exact = (F.size("s") < kept) & (F.size("t") < kept)
-        close = sketch_similarity(F.col("s"), F.col("t"), kept) >= F.when(exact, F.lit(similarity)).otherwise(F.lit(similarity - slack))
-        merged = connected_components(told.where(close).select(F.col("x").alias("src"), F.col("y").alias("dst"))).select("node", F.col("root").alias("_to"))
-        classes = cut(classes.join(merged, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("_to", "root").alias("root")), "classes")
-    whole = classes.join(prints.select(F.col("fp").alias("fp2"), "low"), F.col("fp") == F.col("fp2"))
-    least = whole.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
-    told = cut(classes.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("fp2"), "component_id"), "classes")
-    return rows.join(told, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
+    common = common_shingles(docs, text_col, shingle)
+    rows = docs.select(F.col(id_col).alias("doc_id"), prefix_columns(F.col(text_col), shingle, similarity, common).alias("p")).select("doc_id", "p.*")
+    rows = cut(rows, "near")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    texts = cut(texts, "texts")
+    sweep(docs)
+    stand = texts.select(F.col("digest").alias("x"), "n", F.posexplode("prefix").alias("pos", "key"))
+    first = stand.groupBy("key").agg(F.min(F.struct("pos", "n", "x")).alias("f"), F.count("*").alias("times")).where("times > 1")
+    first = first.select("key", F.col("f.pos").alias("pos2"), F.col("f.n").alias("n2"), F.col("f.x").alias("y"))
+    stand = cut(stand.join(first, "key"), "stand")
+    sweep(docs)
+    may = may_be_similar(similarity, "n", "pos", "n2", "pos2")
+    pairs = cut(stand.where((F.col("x") != F.col("y")) & may).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    links = cut(similar_links(docs, text_col, shingle, pairs, similarity), "links")
+    sweep(docs)
+    roots = connected_components(links).select(F.col("node").alias("x"), "root")
+    stand = stand.select("key", "x", "n", "pos").join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    span = stand.groupBy("key").agg(F.min("root").alias("home"), F.max("root").alias("last")).where("home != last").select("key", "home")
+    stand = cut(stand.join(span, "key"), "stand")
+    other = stand.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    apart = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
+    rest = stand.where("root != home").join(other, (F.col("key") == F.col("key2")) & apart & may)
+    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
+    links = links.unionByName(similar_links(docs, text_col, shingle, cut(rest, "rest"), similarity))
+    roots = connected_components(links)
+    classes = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
+    least = classes.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
+    told = cut(classes.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("digest2"), "component_id"), "classes")
+    return rows.join(told, F.col("digest") == F.col("digest2")).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -110,3 +110,31 @@ def test_texts_of_similarity_from_four_fifths_on_are_linked(spark):
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
     assert all(got[i] in groups[k] for k, g in enumerate(groups) for i in g)
     assert near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_components(rows):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return components(pairs, range(len(rows)))
+
+
+def near_components(spark, rows):
+    ship(spark)
+    return {r.doc_id: r.component_id for r in near_duplicate_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+
+
+def scattered_copies(seed, n=100, words=300, edits=6):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(words)]
+    rows = []
+    for _ in range(n):
+        copy = list(base)
+        for i in rng.sample(range(words), edits):
+            copy[i] = f"x{rng.randrange(4000)}"
+        rows.append(" ".join(copy))
+    return [*rows, " ".join(base)]
+
+
+def test_copies_like_their_base_only_are_one_group(spark):
+    rows = scattered_copies(1) + scattered_copies(2, 50, 100, 2)
+    assert near_components(spark, rows) == brute_components(rows)
