@@ -138,3 +138,17 @@ def scattered_copies(seed, n=100, words=300, edits=6):
 def test_copies_like_their_base_only_are_one_group(spark):
     rows = scattered_copies(1) + scattered_copies(2, 50, 100, 2)
     assert near_components(spark, rows) == brute_components(rows)
+
+
+def extended_copies(seed, n=60):
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((40, 100, 300)))]
+        more = [f"x{rng.randrange(4000)}" for _ in range(len(base) * (k % 3 + 1) // 15)]
+        rows += [" ".join(base), " ".join(base + more), " ".join(base[: len(base) - len(more)])]
+    return rows
+
+
+def test_extended_and_truncated_copies_are_linked(spark):
+    rows = extended_copies(3)
+    assert near_components(spark, rows) == brute_components(rows)
