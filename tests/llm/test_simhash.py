@@ -152,3 +152,20 @@ def extended_copies(seed, n=60):
 def test_extended_and_truncated_copies_are_linked(spark):
     rows = extended_copies(3)
     assert near_components(spark, rows) == brute_components(rows)
+
+
+def reordered_copies(seed, n=30):
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        words = [f"w{i}" for i in rng.sample(range(4000), 150)]
+        for _ in range(4):
+            rng.shuffle(words)
+            near = list(words)
+            near[70], near[71] = near[71], near[70]
+            rows += [" ".join(words), " ".join(near)]
+    return rows
+
+
+def test_near_copies_among_texts_of_the_same_words_in_other_order_are_linked(spark):
+    rows = reordered_copies(4)
+    assert near_components(spark, rows) == brute_components(rows)
