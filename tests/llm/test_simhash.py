@@ -169,3 +169,16 @@ def reordered_copies(seed, n=30):
 def test_near_copies_among_texts_of_the_same_words_in_other_order_are_linked(spark):
     rows = reordered_copies(4)
     assert near_components(spark, rows) == brute_components(rows)
+
+
+def line_sharers(seed, n=20):
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        line = [f"l{k}x{i}" for i in range(12)]
+        rows += [" ".join([f"w{rng.randrange(10**6)}" for _ in range(600)] + line * 100) for _ in range(2)]
+    return rows
+
+
+def test_a_line_repeated_often_does_not_link_different_texts(spark):
+    rows = line_sharers(5)
+    assert set(near_components(spark, rows).items()) == set(enumerate(range(len(rows))))
