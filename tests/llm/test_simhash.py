@@ -182,3 +182,17 @@ def line_sharers(seed, n=20):
 def test_a_line_repeated_often_does_not_link_different_texts(spark):
     rows = line_sharers(5)
     assert set(near_components(spark, rows).items()) == set(enumerate(range(len(rows))))
+
+
+def just_apart(seed, n=150):
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        more = [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 120))]
+        rows += [" ".join(base), " ".join(base + more)]
+    return rows
+
+
+def test_long_texts_are_told_apart_by_their_whole_sets(spark):
+    rows = just_apart(6)
+    assert near_components(spark, rows) == brute_components(rows)
