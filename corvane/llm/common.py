@@ -22,9 +22,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the cluster names none."""
+    """The shared folder of spark.checkpoint.dir; where none is named, a local one for a local master, an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,6 +40,24 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a table that cut wrote, once nothing that is still to run reads them."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if scratch(spark).split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def remainder(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(n))
@@ -45,9 +65,12 @@ def remainder(id_col: str | Column, n: int) -> Column:
 
 def thin(df: DataFrame, id_col: str, bound: int, n: int, seed: int) -> DataFrame:
     """About `bound` of the n rows, chosen by a hash of the id: the same rows on every run."""
-    if n <= bound:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / n)))
+    return df if n <= bound else df.where(F.xxhash64(F.lit(seed), F.col(id_col)) < F.lit(share_below(bound / n)))
+
+
+def share_below(share: float) -> int:
+    """The value that about this share of all signed 64-bit hashes stand below, however small the share is."""
+    return min(int(share * 2**64) - 2**63, 2**63 - 1)
 
 
 def n_words(text: str | Column) -> Column:

@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import share_below, unused
+
 #: Hashed n-gram features, and the n-gram lengths.
 FEATURES, ORDERS = 4096, (1, 2, 3)
-#: Labelled rows that the classifier is fitted on at most: per language, and in all. Languages learned at most.
-FIT_PER_LANG, FIT_ROWS, FIT_LANGS = 800, 4000, 400
+#: Labelled rows that the classifier is fitted on, about: per language, and in all; of each language at least so many.
+FIT_PER_LANG, FIT_ROWS, FIT_LEAST = 800, 4000, 8
+#: Labels beyond this number are no languages: an error, since each has centroids in the broadcast model.
+MOST_LANGS = 4000
 CENTROIDS = 4
 #: A text is rejected if its best cosine is below this share of a low quantile of the labelled texts of its length.
 REJECT_SHARE, REJECT_QUANTILE = 0.6, 0.005
@@ -100,21 +104,28 @@ def sparse_grams(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n", "at", "of"])
 
 
+def quotas(sizes: dict[str, int]) -> dict[str, int]:
+    """The hash up to which each language's rows are taken, of its number of rows."""
+    share = min(FIT_PER_LANG, max(FIT_LEAST, FIT_ROWS // len(sizes)))
+    return {lang: share_below(share / n) for lang, n in sizes.items()}
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", seed: int = 5) -> Model:
     """A model of labelled rows; null texts and languages are left out.
 
     The fit takes a sample chosen by a hash of id and text: about FIT_PER_LANG rows of each language, FIT_ROWS in all,
-    of the FIT_LANGS most frequent languages. Whole texts are turned into n-grams on the executors; the driver gets
-    the sample's sparse counts, at most FIT_ROWS x FEATURES of them.
+    FIT_LEAST of each at least (all rows of a language with fewer). Whole texts are turned into n-grams on the
+    executors; the driver gets the sample's sparse counts.
     """
     grams = F.pandas_udf(sparse_grams, "struct<n:int,at:array<int>,of:array<float>>")
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} values")
     if not sizes:
         return Model([], np.ones(FEATURES), np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(13))
-    share = min(FIT_PER_LANG, max(1, FIT_ROWS // len(sizes)))
-    quota = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, share / n) * 1_000_000))])
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(quota, F.col("lang"))).select("lang", grams("text").alias("g")).select("lang", "g.*").orderBy("lang", "at").toPandas()
+    quota = F.create_map(*[F.lit(x) for lang, below in quotas(sizes).items() for x in (lang, below)])
+    sample = rows.where(F.col("h") <= F.element_at(quota, F.col("lang"))).select("lang", grams("text").alias("g")).select("lang", "g.*").orderBy("lang", "at").toPandas()
     counts = np.zeros((len(sample), FEATURES), np.float32)
     for i, (at, of) in enumerate(zip(sample.pop("at"), sample.pop("of"), strict=True)):
         counts[i, at] = of
@@ -153,9 +164,10 @@ def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", te
 
     Learned from the rows that meet `train`; lang_pred is a learned language, also where rejected, and und for null
     texts, texts without a letter, or if nothing could be learned. Columns of docs stay, those named like a result are
-    replaced. The model (at most FIT_LANGS x CENTROIDS centroids of FEATURES values) is broadcast; nothing is shuffled
+    replaced. The model (CENTROIDS centroids a language, of FEATURES values) is broadcast; nothing is shuffled
     but the sample. Repeated rows get equal results.
     """
     model = fit(docs.where(train), text_col, lang_col, id_col)
-    out = docs.withColumn("_lang_id", predict(model, F.col(text_col), docs))
-    return out.withColumns({c: F.col(f"_lang_id.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_lang_id")
+    told = unused(docs, "lang_id")
+    out = docs.withColumn(told, predict(model, F.col(text_col), docs))
+    return out.withColumns({c: F.col(f"{told}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(told)

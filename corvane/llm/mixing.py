@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, n_words, unused
 
 #: Bisection steps taken in one pass over the sources, and passes: together they halve [0, 1] this often.
 STEPS, PASSES = 4, 10
@@ -108,20 +108,21 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that mix_plan takes, each as often as it does, in all of their columns. Their texts are shuffled once."""
-    plan = mix_plan(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "n_tokens").agg(F.count("*").cast("int").alias("_times"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_n"), "_times")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (n_words(text_col) == F.col("_n"))
-    out = docs.join(plan.hint("shuffle_hash"), same)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    ident, source, n, times, time = (unused(docs, c) for c in ("id", "source", "n", "times", "time"))
+    plan = mix_plan(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "n_tokens").agg(F.count("*").cast("int").alias(times))
+    plan = plan.select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("n_tokens").alias(n), times)
+    same = F.col(id_col).eqNullSafe(F.col(ident)) & F.col(source_col).eqNullSafe(F.col(source)) & (n_words(text_col) == F.col(n))
+    out = docs.join(plan, same)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(time)).drop(time)
 
 
 def oracle(target_entropy: float = 0.97, budget_share: float = 1.0, max_repeat: float = 4.0, blocks: int = 64, seed: int = 17) -> str:
-    """mix_plan over documents as DuckDB SQL, for unique ids."""
+    """mix_plan over documents as DuckDB SQL."""
     halvings = STEPS * PASSES
     return f"""
 WITH RECURSIVE rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
-r AS (SELECT * FROM rows_ WHERE n_tokens > 0),
-s AS (SELECT source, sum(n_tokens)::DOUBLE AS tokens, count(*) AS docs FROM r GROUP BY source),
+r AS (SELECT doc_id, source, n_tokens, count(*)::BIGINT AS copies FROM rows_ WHERE n_tokens > 0 GROUP BY ALL),
+s AS (SELECT source, sum(n_tokens * copies)::DOUBLE AS tokens, count(*) AS docs FROM r GROUP BY source),
 l AS (SELECT list(tokens / total) AS ps, total, count(*) AS n FROM s, (SELECT sum(tokens) AS total FROM s) GROUP BY total),
 h(i, low, high) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
   SELECT i + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
@@ -137,5 +138,5 @@ e AS (SELECT greatest(
 w AS (SELECT source, tokens, round(pow(tokens / total, a) / (list_sum(list_transform(ps, lambda p: pow(p, a)))) * {budget_share} * total, 3) AS quota FROM s, l, e),
 c AS (SELECT r.*, quota, unnest(range(0, greatest(ceil(quota / tokens), 1)::BIGINT)) AS pass FROM r JOIN w USING (source)),
 p AS (SELECT *, md5('{seed}:' || pass || ':' || doc_id || ':' || n_tokens) AS place FROM c),
-o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY pass, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start FROM p)
-SELECT doc_id, source, n_tokens, pass::INTEGER AS pass, least(floor(start / quota * {blocks}), {blocks - 1})::INTEGER AS block, place FROM o WHERE start < quota"""
+o AS (SELECT *, coalesce(sum(n_tokens * copies) OVER (PARTITION BY source ORDER BY pass, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start FROM p)
+SELECT doc_id, source, n_tokens, copies, pass::INTEGER AS pass, least(floor(start / quota * {blocks}), {blocks - 1})::INTEGER AS block, place FROM o WHERE start < quota"""

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from .common import cut, n_words
 
 #: Lengths are told apart exactly up to this one; beyond, in steps of 1 in FINE, so the histogram is bounded.
-EXACT, FINE = 256, 64
+EXACT, FINE = 4096, 1024
 #: Rows of a run, within which rows of a bucket are numbered.
 RUN = 2_000
 
 
 def bin_top(n: Column) -> Column:
-    """The longest length of n's bin: n itself up to EXACT, then multiples of the power of two below n / FINE."""
+    """The longest length that n's bin could hold: n itself up to EXACT, then multiples of the power of two below n / FINE."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) + 1e-12) - F.lit(np.log2(FINE)))
     return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
 
@@ -23,7 +23,8 @@ def bin_top(n: Column) -> Column:
 def boundaries(tops: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
     """Bucket lengths, among the bins' tops, that minimise padding with at most `buckets` buckets.
 
-    best[b][j]: least padding of the bins up to j in b buckets; a bucket from bin i + 1 to j pads to the top of j.
+    best[j]: least padding of the first j bins in the buckets so far; a bucket of bins i + 1 to j pads to the top of j.
+    The best i never falls as j grows, so each round halves the range of j and searches only between its neighbours' i.
     """
     n = len(tops)
     if not n:
@@ -32,25 +33,30 @@ def boundaries(tops: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets
     best, choice = np.full(n + 1, np.inf), []
     best[0] = 0.0
     for _ in range(min(buckets, n)):
-        # cost[i, j]: bins i + 1 .. j as one more bucket
-        cost = best[:, None] + tops[None, :] * (rows[None, 1:] - rows[:, None]) - (held[None, 1:] - held[:, None])
-        cost[np.arange(n + 1)[:, None] > np.arange(n)[None, :]] = np.inf
-        step = cost.argmin(0)
+        after, step, todo = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64), [(1, n, 0, n - 1)]
+        while todo:
+            low, high, first, last = todo.pop()
+            j = (low + high) // 2
+            i = slice(first, min(last, j - 1) + 1)
+            cost = best[i] + tops[j - 1] * (rows[j] - rows[i]) - (held[j] - held[i])
+            step[j] = first + int(cost.argmin())
+            after[j] = cost[step[j] - first]
+            todo += [(a, b, c, d) for a, b, c, d in ((low, j - 1, first, step[j]), (j + 1, high, step[j], last)) if a <= b]
+        best = after
         choice.append(step)
-        best = np.concatenate(([np.inf], cost[step, np.arange(n)]))
     out, j = [], n
     for step in reversed(choice):
         if j:
             out.append(int(tops[j - 1]))
-            j = int(step[j - 1])
+            j = int(step[j])
     return out[::-1]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, buckets: int = 16, budget: int = 16384, seed: int = 23) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, bucket, bucket_len, batch, slot, padding.
 
-    The global histogram of lengths (a bounded number of bins) gives, by dynamic programming, the bucket lengths of
-    least padding; a row goes to the first bucket it fits. A batch holds as many rows of one bucket as fit the budget
+    The global histogram of lengths (a bounded number of bins, each with its longest row) gives, by dynamic programming,
+    the bucket lengths of least padding; a bucket is as long as its longest row, and a row goes to the first bucket it fits. A batch holds as many rows of one bucket as fit the budget
     at the bucket's length, one if a single row exceeds it; texts stay whole. Rows are numbered through a bucket in the
     order of a hash: within runs of about RUN rows, offset by the rows of the runs before, so that a bucket with most
     rows is no single task and only the last batch of a bucket can be short. Null and empty texts have no tokens and
@@ -58,7 +64,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     """
     size = n_words(text_col) if tokens is None else tokens.cast("long")
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), size.alias("n_tokens")), "lengths")
-    histogram = rows.groupBy(bin_top(F.col("n_tokens")).alias("top")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("sum")).orderBy("top").toPandas()
+    histogram = rows.groupBy(bin_top(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum")).orderBy("top").toPandas()
     tops = boundaries(histogram["top"].to_numpy(), histogram["n"].to_numpy(), histogram["sum"].to_numpy(), buckets)
     if not tops:
         tops = [0]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 #: Names of the statistics, in their order.
 STATISTICS = [
@@ -131,17 +131,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     """The columns `keep` of docs (default: all) with score (probability of class 1) and predicted (1 from threshold on).
 
     Class means and covariances come from all labelled rows of docs that meet the condition `train`: counts, sums and
-    products are added up per partition. Statistics are taken once per whole text and, without the text, written to the
-    shared folder for the fit. Null and empty texts get a score like any other; labels other than 0 and 1, null ids and
+    products are added up per partition. Statistics are taken once per whole text and written to the shared folder with
+    the columns that are kept, for the fit and the scores. Null and empty texts get a score like any other; labels other than 0 and 1, null ids and
     labels without a document are left out of the fit; a document with several labels counts with each; if a class has
     no rows every score is 0.5. Columns of docs named score or predicted are replaced. Repeated rows score alike.
     """
     keep = docs.columns if keep is None else keep
-    whole = set(keep) == {id_col}
-    measured = docs.select(*([F.col(c) for c in keep] if whole else [F.col(id_col)]), train.alias("_train"), statistics_column(text_col).alias("_x"))
+    ident, learn, x = (unused(docs, c) for c in ("id", "train", "x"))
+    measured = docs.select(*keep, F.col(id_col).alias(ident), train.alias(learn), statistics_column(text_col).alias(x))
     measured = cut(measured, "statistics")
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
-    model = fit(measured.where("_train").join(marks, F.col(id_col) == F.col("_id")).select(F.col("_x").alias("x"), "y"))
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("marked"), F.col(label_col).cast("int").alias("y"))
+    model = fit(measured.where(F.col(learn)).select(F.col(ident).alias("id"), F.col(x).alias("x")).join(marks, F.col("id") == F.col("marked")).select("x", "y"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -149,8 +149,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
         for x in batches:
             yield pd.Series(sent.value.score(np.array(x.tolist(), float).reshape(len(x), -1)) if sent.value and len(x) else np.full(len(x), 0.5))
 
-    if whole:
-        out = measured.withColumn("score", of("_x"))
-    else:
-        out = docs.select(*keep).withColumn("score", of(statistics_column(text_col)))
-    return out.drop("_x", "_train").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = measured.withColumn("score", of(x)).drop(ident, learn, x)
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, thin
+from .common import cut, release, thin, unused
 from .components import connected_components
 
 BITS = 64
@@ -22,9 +22,7 @@ BITS = 64
 PLAN_SAMPLE = 8192
 #: Seconds for writing and shuffling one probe and for verifying one candidate pair, for the plan's comparison.
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
-#: Texts that common shingles are looked for in, about; from how many of them on; the most that are kept. They set the cost only.
-COMMON_SAMPLE, COMMON_LEAST, COMMON_KEPT = 16384, 4, 131072
-#: Bits of the map of wanted digests, a power of two.
+#: Bits of the map of wanted texts, a power of two.
 MAP_BITS = 1 << 23
 
 
@@ -241,126 +239,139 @@ def sweep(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of shingles that occur in several different texts of a sample. They set the cost only."""
+def signed64(values: np.ndarray) -> np.ndarray:
+    return values.view(np.int64)
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in sliced(batches):
-            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts])
 
-    sample = thin(docs.select(F.col(text_col).alias("text")), "text", COMMON_SAMPLE, docs.count(), 1).distinct()
-    counts = sample.select(F.explode(of("text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_LEAST)
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON_KEPT).collect()
-    hashes, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], times[order]
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd multipliers of n hash functions over 64-bit hashes, fixed by their numbers."""
+    masks = np.array([xxhash.xxh64_intdigest(f"mask {i}") for i in range(n)], np.uint64)
+    return masks, np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(n)], np.uint64)
 
 
-def set_prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first hashes of a set, rare ones first: of two sets as similar as that, the prefixes share a hash.
-
-    Both sets share at least similarity * n of the n hashes of either; so the first hash that they share, in any order
-    that holds for all sets, stands before the last similarity * n - 1 of both.
-    """
-    n, (known, times) = len(hashes), common
-    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    seen = np.zeros(n, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        seen = np.where(known[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((hashes, seen))[:size]]
+def band_keys(hashes: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
+    """One hash per band, of the band's smallest values of the set: equal in a band for sets of Jaccard J at J ** band_rows."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    masks, factors = permutations(bands * band_rows)
+    lows = np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        lows = np.minimum(lows, ((hashes[i : i + 2048, None] ^ masks) * factors).min(0))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(lows.reshape(bands, band_rows))], np.uint64)
 
 
-def prefix_columns(text: Column, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """Struct of the digest of a text's shingle set, its size n and its prefix."""
+def text_columns(text: Column, shingle: int, bands: int, band_rows: int) -> Column:
+    """Struct of the digest of a text's shingle set, its fingerprint and the band keys of its set."""
 
-    @F.pandas_udf("struct<digest:long,n:int,prefix:array<long>>")
+    @F.pandas_udf("struct<digest:long,fp:long,keys:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in sliced(batches):
-            sets = [shingle_set(t, shingle) for t in texts]
-            digests = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
-            prefixes = [set_prefix(s, similarity, common).view(np.int64) for s in sets]
-            yield pd.DataFrame({"digest": digests, "n": np.array([len(s) for s in sets], np.int32), "prefix": prefixes})
+            hashes = [shingle_hashes(text_words(t), shingle) for t in texts]
+            sets = [np.unique(h) for h in hashes]
+            yield pd.DataFrame({
+                "digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)),
+                "fp": signed64(np.array([majority_bits(h) for h in hashes], np.uint64)),
+                "keys": [signed64(band_keys(s, bands, band_rows)) for s in sets],
+            })
 
     return of(text)
 
 
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(digest, hashes) of each shingle set whose digest is in wanted, and of few others.
+    """(digest, hashes) of the shingle sets of the texts whose text_key is in wanted (column tkey), and of few others.
 
-    A bit map of bounded size, made from wanted, leaves out most other texts before anything is shuffled.
+    A bit map of bounded size, made from wanted, leaves out most other texts before anything is shuffled or hashed.
     """
-    bit = F.pmod(F.col("digest"), F.lit(MAP_BITS))
-    words = wanted.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(digest, {MAP_BITS}) & 31 as int))").alias("bit"))
+    bit = F.pmod(F.col("tkey"), F.lit(MAP_BITS))
+    words = wanted.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(tkey, {MAP_BITS}) & 31 as int))").alias("bit"))
     filled = np.zeros(MAP_BITS // 32, np.int64)
     for word, bits in words.groupBy("word").agg(F.bit_or("bit")).collect():
         filled[word] = bits
     filled = filled.astype(np.uint32)
 
+    @F.pandas_udf("boolean")
+    def held(tkey: pd.Series) -> pd.Series:
+        at = tkey.to_numpy() % MAP_BITS
+        return pd.Series((filled[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
     @F.pandas_udf("struct<digest:long,hashes:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in sliced(batches):
             sets = [shingle_set(t, shingle) for t in texts]
-            digests = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
-            at = digests % MAP_BITS
-            held = (filled[at >> 5] >> (at & 31).astype(np.uint32)) & 1
-            yield pd.DataFrame({"digest": digests, "hashes": [s.view(np.int64) if h else None for s, h in zip(sets, held, strict=True)]})
+            yield pd.DataFrame({"digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)), "hashes": [signed64(s) for s in sets]})
 
-    found = docs.select(of(F.col(text_col)).alias("s")).select("s.*").where("hashes IS NOT NULL")
-    return found.groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    found = docs.select(text_key(text_col).alias("tkey"), F.col(text_col).alias("text")).where(held("tkey"))
+    found = found.groupBy("tkey").agg(F.first("text").alias("text"))
+    return found.select(of("text").alias("s")).select("s.*").dropDuplicates(["digest"])
 
 
-def similar_links(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, text_col: str, shingle: int, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (x, y: digests) whose whole shingle sets have that Jaccard similarity, as src and dst."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
-    sets = cut(whole_sets(docs, text_col, shingle, wanted), "sets")
-    sweep(docs)
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
+    sets = cut(whole_sets(docs, text_col, shingle, texts.join(ends, "digest", "left_semi").select("tkey")), "sets")
     told = pairs.join(sets.select(F.col("digest").alias("x"), F.col("hashes").alias("s")), "x").join(sets.select(F.col("digest").alias("y"), F.col("hashes").alias("t")), "y")
     shared = F.size(F.array_intersect("s", "t"))
-    return told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    links = cut(told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
+    release(sets)
+    sweep(docs)
+    return links
+
 
+def fingerprint_pairs(texts: DataFrame, threshold: int, hot: int) -> DataFrame:
+    """Pairs (x, y: digests) that the fingerprints tell of: equal ones with one of them, and those within threshold bits."""
+    held = cut(texts.groupBy("fp").agg(F.min("digest").alias("y")), "held")
+    same = texts.join(held, "fp").select(F.col("digest").alias("x"), "y")
+    near = fingerprint_links(held.select("fp"), threshold, hot)
+    near = near.join(held.select(F.col("fp").alias("src"), F.col("y").alias("x")), "src").join(held.select(F.col("fp").alias("dst"), "y"), "dst").select("x", "y")
+    return same.unionByName(near)
 
-def may_be_similar(similarity: float, n: str, pos: str, n2: str, pos2: str) -> Column:
-    """False where sets of n and n2 hashes, whose first shared hash is the pos-th and the pos2-th, can't be that similar."""
-    most = F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2))
-    return most * (1 + similarity) >= similarity * (F.col(n) + F.col(n2)) - 1e-6
 
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int = 4, hot: int = 256, bands: int = 24, band_rows: int = 5) -> DataFrame:
+    """One row per row of docs: doc_id, component_id, over the links of texts whose shingle sets have that similarity.
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of docs: doc_id, component_id, over the links of all texts whose shingle sets have that similarity.
+    Candidates are the pairs that the fingerprints tell of (simhash_components' probe, within `threshold` bits) and,
+    since 64 bits can't tell a similarity of 0.8, those that share a band of smallest hashes: a pair at the similarity
+    misses all bands with a chance of (1 - similarity ** band_rows) ** bands, 7e-5 by default, whatever the edits are
+    and however long the texts. Each candidate is verified by the whole shingle sets. Equal sets are one text.
 
-    Every two such sets share a hash of their prefixes, whatever the edits are; so no link is missed, and each is
-    verified by the whole sets. Equal sets are one text. All texts that have a prefix hash are first compared with the
-    one of them that has it earliest, so that a large group of copies becomes one component in proportion to its rows.
-    Then every other pair that shares a prefix hash and isn't yet in one component is compared.
+    A band's texts are first compared with one of them, drawn by hash, and of those each text with the one that it
+    meets most often; then with the others that are still in other components; so a large group of copies becomes one
+    component in proportion to its rows. Then every other pair of a band that isn't yet in one component is compared.
     Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
     """
-    common = common_shingles(docs, text_col, shingle)
-    rows = docs.select(F.col(id_col).alias("doc_id"), prefix_columns(F.col(text_col), shingle, similarity, common).alias("p")).select("doc_id", "p.*")
-    rows = cut(rows, "near")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), text_columns(F.col(text_col), shingle, bands, band_rows).alias("p"))
+    rows = cut(rows.select("doc_id", "tkey", "p.*"), "near")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     texts = cut(texts, "texts")
-    sweep(docs)
-    stand = texts.select(F.col("digest").alias("x"), "n", F.posexplode("prefix").alias("pos", "key"))
-    first = stand.groupBy("key").agg(F.min(F.struct("pos", "n", "x")).alias("f"), F.count("*").alias("times")).where("times > 1")
-    first = first.select("key", F.col("f.pos").alias("pos2"), F.col("f.n").alias("n2"), F.col("f.x").alias("y"))
-    stand = cut(stand.join(first, "key"), "stand")
-    sweep(docs)
-    may = may_be_similar(similarity, "n", "pos", "n2", "pos2")
-    pairs = cut(stand.where((F.col("x") != F.col("y")) & may).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    links = cut(similar_links(docs, text_col, shingle, pairs, similarity), "links")
-    sweep(docs)
-    roots = connected_components(links).select(F.col("node").alias("x"), "root")
-    stand = stand.select("key", "x", "n", "pos").join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    span = stand.groupBy("key").agg(F.min("root").alias("home"), F.max("root").alias("last")).where("home != last").select("key", "home")
-    stand = cut(stand.join(span, "key"), "stand")
-    other = stand.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-    apart = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
-    rest = stand.where("root != home").join(other, (F.col("key") == F.col("key2")) & apart & may)
-    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    links = links.unionByName(similar_links(docs, text_col, shingle, cut(rest, "rest"), similarity))
+    stand = texts.select(F.col("digest").alias("x"), F.explode("keys").alias("key"))
+    drawn = stand.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("one"), F.count("*").alias("times")).where("times > 1")
+    stand = cut(stand.join(drawn.select("key", F.col("one.x").alias("y")), "key"), "stand")
+    pairs = stand.select("x", "y").unionByName(fingerprint_pairs(texts, threshold, hot)).where("x != y")
+    pairs = cut(pairs.groupBy(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).agg(F.count("*").alias("votes")), "pairs")
+    best = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
+    links = similar_links(docs, text_col, shingle, texts, cut(best, "best"), similarity)
     roots = connected_components(links)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
+    others = cut(pairs.join(best, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select("x", "y"), "others")
+    if not others.isEmpty():
+        links = links.unionByName(similar_links(docs, text_col, shingle, texts, others, similarity))
+        roots = connected_components(links)
+    stand = stand.select("key", "x").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    sizes = stand.groupBy("key", "root").count()
+    homes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1").select("key", "home")
+    open_ = cut(stand.join(homes, "key"), "open")
+    other = open_.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("root").alias("root2"))
+    unlike = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
+    rest = open_.where("root != home").join(other, (F.col("key") == F.col("key2")) & unlike)
+    rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    rest = cut(rest.join(pairs, ["x", "y"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        roots = connected_components(links.unionByName(similar_links(docs, text_col, shingle, texts, rest, similarity)))
     classes = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
     least = classes.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
     told = cut(classes.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("digest2"), "component_id"), "classes")
@@ -370,15 +381,17 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each component of near_duplicate_components: that of the smallest id; of repeated ids, one row.
 
-    Rows without an id stay only if their component has no id at all, and then one of each distinct text.
+    Rows without an id stay only if their component has no id at all, and then one of each distinct text. All columns
+    of docs stay, whatever their names.
     """
+    keep_col, nth = unused(docs, "keep"), unused(docs, "nth")
     parts = near_duplicate_components(docs, id_col, text_col, **how)
-    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep_col)).distinct()
     keep = cut(keep, "keep")
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # rows lie by id already: no second shuffle
-    kept = named.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(key))).where("_nth = 1").drop("_nth")
-    if keep.where("_keep IS NULL").isEmpty():
+    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(keep_col), "left_semi")
+    key = text_key(text_col)  # rows lie by id already: no second shuffle
+    kept = named.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(key))).where(F.col(nth) == 1).drop(nth)
+    if keep.where(F.col(keep_col).isNull()).isEmpty():
         return kept
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    return kept.unionByName(nameless.where("_nth = 1").drop("_nth"))
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return kept.unionByName(nameless.where(F.col(nth) == 1).drop(nth))
