@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local(df: DataFrame) -> pd.DataFrame:
+    """The rows of a bounded table on the driver, by way of Arrow: arrays stay arrays, not lists of Python objects."""
+    return df.toArrow().to_pandas()
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a table that cut wrote, once nothing that is still to run reads them."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_below, unused
+from .common import local, share_below, unused
 
 #: Hashed n-gram features, and the n-gram lengths.
 FEATURES, ORDERS = 4096, (1, 2, 3)
@@ -125,7 +125,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     if not sizes:
         return Model([], np.ones(FEATURES), np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(13))
     quota = F.create_map(*[F.lit(x) for lang, below in quotas(sizes).items() for x in (lang, below)])
-    sample = rows.where(F.col("h") <= F.element_at(quota, F.col("lang"))).select("lang", grams("text").alias("g")).select("lang", "g.*").orderBy("lang", "at").toPandas()
+    sample = local(rows.where(F.col("h") <= F.element_at(quota, F.col("lang"))).select("lang", "h", grams("text").alias("g")).select("lang", "h", "g.*"))
+    sample = sample.sort_values(["lang", "h"], kind="stable", ignore_index=True)
     counts = np.zeros((len(sample), FEATURES), np.float32)
     for i, (at, of) in enumerate(zip(sample.pop("at"), sample.pop("of"), strict=True)):
         counts[i, at] = of

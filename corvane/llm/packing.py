@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, local, n_words
 
 #: Lengths are told apart exactly up to this one; beyond, in steps of 1 in FINE, so the histogram is bounded.
 EXACT, FINE = 4096, 1024
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     """
     size = n_words(text_col) if tokens is None else tokens.cast("long")
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), size.alias("n_tokens")), "lengths")
-    histogram = rows.groupBy(bin_top(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum")).orderBy("top").toPandas()
+    histogram = local(rows.groupBy(bin_top(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum"))).sort_values("top")
     tops = boundaries(histogram["top"].to_numpy(), histogram["n"].to_numpy(), histogram["sum"].to_numpy(), buckets)
     if not tops:
         tops = [0]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, thin, unused
+from .common import cut, local, release, thin, unused
 from .components import connected_components
 
 BITS = 64
@@ -289,8 +289,8 @@ def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame)
     bit = F.pmod(F.col("tkey"), F.lit(MAP_BITS))
     words = wanted.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(tkey, {MAP_BITS}) & 31 as int))").alias("bit"))
     filled = np.zeros(MAP_BITS // 32, np.int64)
-    for word, bits in words.groupBy("word").agg(F.bit_or("bit")).collect():
-        filled[word] = bits
+    held_words = local(words.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    filled[held_words["word"]] = held_words["bits"]
     filled = filled.astype(np.uint32)
 
     @F.pandas_udf("boolean")
@@ -357,7 +357,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     roots = connected_components(links)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
-    others = cut(pairs.join(best, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select("x", "y"), "others")
+    others = cut(pairs.join(best.hint("merge"), ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select("x", "y"), "others")
     if not others.isEmpty():
         links = links.unionByName(similar_links(docs, text_col, shingle, texts, others, similarity))
         roots = connected_components(links)
@@ -369,7 +369,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     unlike = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
     rest = open_.where("root != home").join(other, (F.col("key") == F.col("key2")) & unlike)
     rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    rest = cut(rest.join(pairs, ["x", "y"], "left_anti"), "rest")
+    rest = cut(rest.join(pairs.hint("merge"), ["x", "y"], "left_anti"), "rest")  # a short file of pairs is long in memory
     if not rest.isEmpty():
         roots = connected_components(links.unionByName(similar_links(docs, text_col, shingle, texts, rest, similarity)))
     classes = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
