@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
@@ -12,7 +12,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
 #: Phrases whose places are counted, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Lines of well-known licenses, with the labels that the method adds. At most 64 words each.
+#: Lines and passages of well-known licenses, with the labels that the method adds.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "released under the mit license": "mit",
@@ -24,9 +24,23 @@ TEMPLATES = {
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under a creative commons attribution": "cc",
     "subject to the terms of the mozilla public license": "mpl",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+    " documentation files the software to deal in the software without restriction including without limitation the"
+    " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+    " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"
+    " and this permission notice shall be included in all copies or substantial portions of the software": "mit-text",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+    " provided that the above copyright notice and this permission notice appear in all copies": "isc-text",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following"
+    " disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and"
+    " the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-text",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2.0-notice",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
+    " warranty of merchantability or fitness for a particular purpose see the gnu general public license for more"
+    " details": "gpl-notice",
 }
-#: A template counts as found from this share of its k-grams on; diagonals this near are one.
-COVERAGE, GAP = 0.7, 3
+#: A template counts as found from this share of its k-grams on; diagonals this near are one. Bits of a mask.
+COVERAGE, GAP, MASK = 0.7, 3, 63
 
 
 def templates() -> list[tuple[int, str, str, bool]]:
@@ -35,50 +49,66 @@ def templates() -> list[tuple[int, str, str, bool]]:
     return [(i, *row) for i, row in enumerate(rows)]
 
 
-def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
-    """One row per template position: hash, gram, tid, offset, and the template's n_grams, label, is_base.
+def gram_hashes(words: Column, k: int) -> Column:
+    """Hash of each run of k words of an array, by place."""
+    out = F.transform(words, lambda w: F.xxhash64(w))
+    for j in range(1, k):
+        later = F.slice(words, F.lit(j + 1), F.greatest(F.size(words) - j, F.lit(0)))
+        out = F.zip_with(out, later, lambda h, w: F.xxhash64(h, w))
+    return F.slice(out, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
+
+
+def gram_at(words: Column, at: Column, k: int) -> Column:
+    return F.array_join(F.slice(words, at + 1, F.lit(k)), " ")
+
+
+def template_grams(spark: SparkSession, k: int = K, listed: list[tuple[int, str, str, bool]] | None = None) -> DataFrame:
+    """One row per template position: hash_t, gram_t, tid, offset, and the template's n_grams, label, is_base.
 
     Template -1 is the empty gram that every document carries once, so that each has a row.
     """
-    rows = [("", -1, 0, 1, "", False)]
-    for tid, phrase, label, base in templates():
-        words = phrase.split(" ")
-        n = len(words) - k + 1
-        rows += [(" ".join(words[i : i + k]), tid, i, n, label, base) for i in range(n)]
-    schema = "gram_t string, tid int, offset int, n_grams int, label string, is_base boolean"
-    return spark.createDataFrame(rows, schema).withColumn("hash_t", F.xxhash64("gram_t"))
+    rows = spark.createDataFrame(templates() if listed is None else listed, "tid int, phrase string, label string, is_base boolean")
+    rows = rows.withColumn("w", F.split("phrase", " ")).where(F.size("w") >= k)
+    rows = rows.withColumn("n_grams", F.size("w") - (k - 1)).select("*", F.posexplode(gram_hashes(F.col("w"), k)).alias("offset", "hash_t"))
+    rows = rows.select("hash_t", gram_at(F.col("w"), F.col("offset"), k).alias("gram_t"), "tid", "offset", "n_grams", "label", "is_base")
+    return rows.unionByName(spark.createDataFrame([(0, "", -1, 0, 1, "", False)], rows.schema))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, gap: int = GAP, k: int = K) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, gap: int = GAP, k: int = K, listed: list[tuple[int, str, str, bool]] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Every rolling k-gram of every text is joined, by hash and then word for word, to the template positions (a fixed
-    list of some hundred rows, broadcast). Hits vote for (document, template, diagonal = place - offset); what a
-    diagonal has matched is a bit mask, so repeated hits count once and votes combine before the shuffle. Diagonals of
+    Every rolling k-gram of every text is hashed. The places whose hash some template has (a fixed list, or `listed`:
+    number, phrase, label, whether its places are counted; of any length) are joined, by hash and then word for word, to
+    the template positions. Hits vote for (document, template, diagonal = place - offset); what a diagonal has matched
+    is kept in bit masks of MASK bits, so repeated hits count once and votes combine before the shuffle. Diagonals of
     one template at most `gap` apart are merged and their masks joined; a template is found from `coverage` of its
-    grams on. A base phrase stands where its diagonal has every gram, which is an exact match. score: the best share
-    found, 0 to 1. Null and empty texts have no words; repeated rows get a row each; a null doc_id stays null; no rows
-    give no rows. Other columns of docs are left out.
+    grams on, each of which has been verified word for word. A base phrase stands where its diagonal has every gram,
+    which is an exact match. score: the best share found, 0 to 1. Null and empty texts have no words; repeated rows get
+    a row each; a null doc_id stays null; no rows give no rows. Other columns of docs are left out.
     """
     spark = docs.sparkSession
+    grams = template_grams(spark, k, listed).collect()  # as long as the list of templates
+    known, masks = sorted({g.hash_t for g in grams}), range(-(-max(g.n_grams for g in grams) // MASK))
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_th"), F.filter(F.split(text, BETWEEN), lambda w: w != "").alias("_w"))
-    after = [F.slice("_w", F.lit(j + 1), F.greatest(F.size("_w") - j, F.lit(0))) for j in range(1, k)]
-    paired = F.transform(F.arrays_zip("_w", *after), lambda g: F.concat_ws(" ", *[g[x] for x in ("_w", *map(str, range(1, k)))]))
-    grams = F.slice(paired, 1, F.greatest(F.size("_w") - (k - 1), F.lit(0)))
-    rows = rows.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.concat(F.array(F.lit("")), grams).alias("_g"))
-    rows = rows.select("doc_id", "_th", "n_words", F.posexplode("_g").alias("_at", "_gram"))  # the words stay behind here
-    rows = rows.withColumn("_hash", F.xxhash64("_gram"))
-    hits = rows.join(F.broadcast(template_grams(spark, k)), (F.col("_hash") == F.col("hash_t")) & (F.col("_gram") == F.col("gram_t")))
-    diagonals = hits.groupBy("doc_id", "_th", "n_words", "tid", "n_grams", "label", "is_base", (F.col("_at") - 1 - F.col("offset")).alias("diag")).agg(
-        F.expr("bit_or(shiftleft(1L, offset))").alias("mask"), F.count("*").alias("n")
-    )
+    places = F.transform(gram_hashes(F.col("_w"), k), lambda h, at: F.when(h.isin(known), F.struct(at.alias("at"), h.alias("hash"))))
+    rows = rows.select("doc_id", "_th", "_w", F.filter(places, lambda p: p.isNotNull()).alias("_p"))
+    told = F.transform("_p", lambda p: F.struct(p["at"].alias("at"), p["hash"].alias("hash"), gram_at(F.col("_w"), p["at"], k).alias("gram")))
+    every = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("gram")))
+    rows = rows.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.explode(F.concat(every, told)).alias("_g"))  # the words stay behind here
+    rows = rows.select("doc_id", "_th", "n_words", F.col("_g.at").alias("_at"), F.col("_g.hash").alias("_hash"), F.col("_g.gram").alias("_gram"))
+    positions = F.broadcast(spark.createDataFrame(grams, "hash_t long, gram_t string, tid int, offset int, n_grams int, label string, is_base boolean"))
+    hits = rows.join(positions, (F.col("_hash") == F.col("hash_t")) & (F.col("_gram") == F.col("gram_t")))
+    bit = F.expr(f"shiftleft(1L, offset % {MASK})")
+    seen = [F.bit_or(F.when(F.floor(F.col("offset") / MASK) == m, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{m}") for m in masks]
+    diagonals = hits.groupBy("doc_id", "_th", "n_words", "tid", "n_grams", "label", "is_base", (F.col("_at") - F.col("offset")).alias("diag")).agg(*seen, F.count("*").alias("n"))
     near = Window.partitionBy("doc_id", "_th", "tid").orderBy("diag")
     far = F.coalesce(F.col("diag") - F.lag("diag").over(near) > gap, F.lit(True))
     merged = diagonals.withColumn("_far", far.cast("int")).withColumn("_run", F.sum("_far").over(near))
-    full = F.bit_count("mask") == F.col("n_grams")
+    bits = lambda of: sum((F.bit_count(of(f"mask{m}")) for m in masks), F.lit(0))
+    full = bits(F.col) == F.col("n_grams")
     spans = merged.groupBy("doc_id", "_th", "n_words", "tid", "n_grams", "label", "is_base", "_run").agg(
-        F.bit_count(F.expr("bit_or(mask)")).alias("votes"), F.sum(full.cast("long")).alias("n_full"),
+        bits(lambda c: F.bit_or(c)).alias("votes"), F.sum(full.cast("long")).alias("n_full"),
         F.min(F.when(full, F.col("diag"))).alias("first"), F.max(F.when(full, F.col("diag"))).alias("last"), F.max("n").alias("n"),
     )
     base = F.col("is_base") & (F.col("n_full") > 0)
@@ -108,11 +138,11 @@ tgg AS (SELECT tid, label, is_base, n_grams, o, tw[o + 1] || ' ' || tw[o + 2] AS
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS pos FROM d),
 g AS (SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] AS gram FROM p),
-diag AS (SELECT doc_id, tid, label, is_base, n_grams, pos - o AS diag, bit_or(1::BIGINT << o) AS mask FROM g JOIN tgg USING (gram) GROUP BY ALL),
+diag AS (SELECT doc_id, tid, label, is_base, n_grams, pos - o AS diag, list(DISTINCT o) AS seen FROM g JOIN tgg USING (gram) GROUP BY ALL),
 far AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) <= {GAP} THEN 0 ELSE 1 END AS f FROM diag),
 run AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS run FROM far),
-span AS (SELECT doc_id, tid, label, is_base, n_grams, run, bit_count(bit_or(mask)) AS votes, count(*) FILTER (bit_count(mask) = n_grams) AS n_full,
-  min(diag) FILTER (bit_count(mask) = n_grams) AS first, max(diag) FILTER (bit_count(mask) = n_grams) AS last FROM run GROUP BY ALL),
+span AS (SELECT doc_id, tid, label, is_base, n_grams, run, len(list_distinct(flatten(list(seen)))) AS votes, count(*) FILTER (len(seen) = n_grams) AS n_full,
+  min(diag) FILTER (len(seen) = n_grams) AS first, max(diag) FILTER (len(seen) = n_grams) AS last FROM run GROUP BY ALL),
 hit AS (SELECT *, votes::DOUBLE / n_grams AS share, is_base AND n_full > 0 AS base, CASE WHEN is_base THEN n_full > 0 ELSE votes::DOUBLE / n_grams >= {COVERAGE} END AS found FROM span),
 a AS (SELECT doc_id, sum(n_full) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels,
