@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, local, release, thin, unused
-from .components import connected_components
+from .components import connected_components, near_labels
 
 BITS = 64
 #: Fingerprints that the plan looks at, about. The plan sets the cost only; every plan finds every pair.
@@ -313,7 +313,8 @@ def similar_links(docs: DataFrame, text_col: str, shingle: int, texts: DataFrame
     """Those of pairs (x, y: digests) whose whole shingle sets have that Jaccard similarity, as src and dst."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
     sets = cut(whole_sets(docs, text_col, shingle, texts.join(ends, "digest", "left_semi").select("tkey")), "sets")
-    told = pairs.join(sets.select(F.col("digest").alias("x"), F.col("hashes").alias("s")), "x").join(sets.select(F.col("digest").alias("y"), F.col("hashes").alias("t")), "y")
+    sets_of = lambda c, s: sets.select(F.col("digest").alias(c), F.col("hashes").alias(s)).hint("merge")  # noqa: E731  a short file of sets is long in memory
+    told = pairs.join(sets_of("x", "s"), "x").join(sets_of("y", "t"), "y")
     shared = F.size(F.array_intersect("s", "t"))
     links = cut(told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
     release(sets)
@@ -354,13 +355,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     pairs = cut(pairs.groupBy(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).agg(F.count("*").alias("votes")), "pairs")
     best = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
     links = similar_links(docs, text_col, shingle, texts, cut(best, "best"), similarity)
-    roots = connected_components(links)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    labels = cut(near_labels(links), "labels")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"root_{c}"))
     apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
     others = cut(pairs.join(best.hint("merge"), ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select("x", "y"), "others")
     if not others.isEmpty():
         links = links.unionByName(similar_links(docs, text_col, shingle, texts, others, similarity))
-        roots = connected_components(links)
+    roots = connected_components(links)
     stand = stand.select("key", "x").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     sizes = stand.groupBy("key", "root").count()
     homes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1").select("key", "home")
