@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..shared import written
 
 
 def scoped(docs: DataFrame, wanted: dict[str, str | list[str] | None], everyone: str = "all") -> DataFrame:
@@ -28,13 +29,17 @@ def top_k(scored: DataFrame, k: int, by: list[str], group: str = "query_id") ->
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, term, tf): term counts of each document and its length in words. Counts combine before the shuffle."""
+    """(doc_id, n, term, tf): term counts of each document and its length in words, written once and read by each leg.
+
+    Every document also has the empty term once, so that lengths and documents without words are counted from here.
+    Counts combine before the shuffle.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("doc_id", F.size("w").alias("n"), "w").select("doc_id", "n", F.explode("w").alias("term"))
-    return rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    rows = rows.select("doc_id", F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    return written(rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")), "postings")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25 with idf ln(1 + (N - df + .5) / (df + .5)), ties to the smaller id.
 
     Only terms that some query holds leave the documents' scan: postings are cut down by a semi join before they are
@@ -42,10 +47,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_i
     """
     terms = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(words(F.col(query_text)))).alias("term"))
     wanted = terms.select("term").distinct()
-    lengths = docs.select(F.size(words(F.col(text_col))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    rows = docs.select(F.col(doc_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("doc_id", F.size("w").alias("n"), "w").select("doc_id", "n", F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    held = rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    post = postings(docs, doc_col, text_col) if posted is None else posted  # each text is split once
+    lengths = post.where("term = ''").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    held = post.join(wanted, "term", "left_semi")
     frequency = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(lengths)  # lengths is one row
     idf = frequency.select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     hits = held.join(terms.join(idf, "term"), "term")
@@ -53,11 +57,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_i
     return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")), k, ["-score", "doc_id"])
 
 
-def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def overlap(docs: DataFrame, queries: DataFrame, k: int = 10, posted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by the number of distinct words shared."""
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    rows = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    hits = rows.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    rows = (postings(docs, "doc_id", "text") if posted is None else posted).select("doc_id", "term")
+    hits = rows.join(terms.select("term").distinct(), "term", "left_semi").join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return top_k(hits, k, ["-score", "doc_id"])
 
 
@@ -65,9 +69,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     """(query_id, vec_id, score, rank) by cosine: every query against every row, in blocks.
 
     A stated set of queries: they are dealt into blocks of `batch`, each block is joined to the rows' blocks, and a task
-    keeps the k best of its rows for each query, so neither side is held whole and pairs are never rows.
+    keeps the k best of its rows for each query, so neither side is held whole and pairs are never rows. Vectors that
+    are null, empty or hold null or non-finite components take no part; a vector is near those of its own length only.
     """
-    rows = vectors.where(where) if where else vectors
+    usable = lambda df: df.where(F.coalesce((F.size(vec_col) > 0) & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
+    rows, queries = usable(vectors.where(where) if where else vectors), usable(queries)
     ask = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     n_q, n_r = max(1, -(-ask.count() // batch)), max(1, -(-rows.count() // (4 * batch)))
     left = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n_r)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
@@ -76,6 +82,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if x.empty or q.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        parts = [block(x[x["v"].map(len) == n], own) for n, own in q.groupby(q["v"].map(len))]
+        return pd.concat([p for p in parts if len(p)] or [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})])
+
+    def block(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if x.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         unit = lambda s: (m := np.array(s.tolist(), float)) / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
         near, ids, out = unit(q["v"]) @ unit(x["v"]).T, x["id"].to_numpy(), []
         for i, own in enumerate(q["id"]):
@@ -108,6 +120,15 @@ def min_max_fusion(legs: list[DataFrame], n: int = 10) -> DataFrame:
     return top_k(scaled.groupBy("query_id", "doc_id").agg(F.round(F.sum("s") / len(legs), 9).alias("score")), n, ["-score", "doc_id"])
 
 
+def arms(legs: dict[str, DataFrame]) -> DataFrame:
+    """Candidates of all legs with their arm's label and their rank in it, from 1."""
+    out = None
+    for name, leg in legs.items():
+        one = leg.select("query_id", "doc_id", F.lit(name).alias("arm"), F.col("rank").alias("arm_rank"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def lexical_rerank(candidates: DataFrame, query_text: Column, doc_text: Column, k: int = 10, miss: float = -5.0) -> DataFrame:
     """Reorders candidates (query_id, doc_id, rank) by shared distinct words, `miss` if none; ties keep their order."""
     shared = F.size(F.array_intersect(words(query_text), words(doc_text))).cast("double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,30 +33,68 @@ def hash_sample(rows: DataFrame, group: list[str], key: list[str], n: int, seed:
 
 
 def largest_remainder(strata: DataFrame, name: str, size: str, total: int) -> DataFrame:
-    """Seats by share of size: whole parts, capped at size, then the largest remainders, ties by name.
+    """Seats by share of size: whole parts, then leftovers in turn to the largest remainders (ties by name) that have room.
 
-    Strata are a bounded list (one row each), so their ranking is a single window over them.
+    No stratum gets more than its size; a total beyond all sizes fills them. Strata are a bounded list (one row each), so
+    their ranking is a single window over them.
     """
     every = Window.partitionBy()
-    exact = F.col(size) * total / F.sum(size).over(every)
-    out = strata.withColumn("_exact", exact).withColumn("_whole", F.least(F.floor("_exact"), F.col(size)).cast("long"))
-    out = out.withColumn("_left", F.lit(total) - F.sum("_whole").over(every)).withColumn("_nth", F.row_number().over(Window.orderBy(F.desc(F.col("_exact") - F.floor("_exact")), name)))
-    return out.withColumn("seats", (F.col("_whole") + F.when((F.col("_nth") <= F.col("_left")) & (F.col("_whole") < F.col(size)), 1).otherwise(0)).cast("long")).drop("_exact", "_whole", "_left", "_nth")
+    all_ = F.sum(size).over(every)
+    out = strata.withColumn("_exact", F.coalesce(F.try_divide(F.col(size) * F.least(F.lit(total), all_), all_), F.lit(0.0)).cast("double"))
+    out = out.withColumn("_whole", F.least(F.floor(F.round("_exact", 9)), F.col(size)).cast("long")).withColumn("_room", F.col(size) - F.col("_whole"))
+    out = out.withColumn("_left", F.least(F.lit(total), all_) - F.sum("_whole").over(every))
+    turn = Window.orderBy("_turn", F.desc(F.round(F.col("_exact") - F.floor(F.round("_exact", 9)), 9)), name)
+    turns = out.where("_room > 0 AND _left > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_room"), F.col("_left")))).alias("_turn"))
+    more = turns.withColumn("_nth", F.row_number().over(turn)).where("_nth <= _left").groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("_more"))
+    out = out.join(more, F.col(name) == F.col("_name"), "left")
+    return out.withColumn("seats", (F.col("_whole") + F.coalesce("_more", F.lit(0))).cast("long")).select(*strata.columns, "seats")
+
+
+def numbered(rows: DataFrame, stratum: str, order: str, run: Column, name: str = "_nth") -> DataFrame:
+    """rows with their place (from 1) in the order of a text column of hex digits, within the stratum.
+
+    Rows are numbered within runs, equal leading digits of the order, and offset by the rows of the runs before: a
+    stratum with most rows is no single task.
+    """
+    rows = rows.withColumn("_run", run)
+    counts = rows.groupBy(stratum, "_run").count()
+    w = Window.partitionBy(stratum)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("count").over(w.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_size": F.sum("count").over(w)})
+    counts = counts.select(F.col(stratum).alias("_s"), F.col("_run").alias("_r"), "_before", "_size")
+    inside = F.row_number().over(Window.partitionBy(stratum, "_run").orderBy(order))
+    return rows.withColumn(name, inside).join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_run") == F.col("_r"))).withColumn(name, F.col(name) + F.col("_before")).drop("_s", "_r", "_run", "_before")
 
 
 def hold_out(rows: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
-    """rows with held_out: round(n x share) of each stratum, one at least and not all, by hash order."""
-    w = Window.partitionBy(stratum)
-    nth = F.row_number().over(w.orderBy(F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(key).cast("string")), 256), key))
-    n = F.count("*").over(w)
-    take = F.least(F.greatest(F.bround(n * F.lit(share)), F.lit(1)), n - 1)
-    return rows.withColumn("held_out", nth <= take)
+    """rows with held_out: round(n x share) of each stratum, one at least and not all, by the order of a hash of the key."""
+    hashed = rows.withColumn("_h", F.concat(F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(key).cast("string")), 256), F.col(key).cast("string")))
+    placed = numbered(hashed, stratum, "_h", F.left("_h", F.lit(3)))
+    take = F.least(F.greatest(F.bround(F.col("_size") * F.lit(share)), F.lit(1)), F.col("_size") - 1)
+    return placed.withColumn("held_out", F.col("_nth") <= take).select(*rows.columns, "held_out")
 
 
 def round_robin(rows: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:
-    """n rows taken in turn from the strata: everyone's first, then everyone's second."""
+    """n rows taken in turn from the strata: everyone's first, then everyone's second. At most n of each are looked at."""
     nth = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    return rows.withColumn("turn", nth).orderBy("turn", stratum, *order).limit(n)
+    return rows.withColumn("turn", nth).where(F.col("turn") <= n).orderBy("turn", stratum, *order).limit(n)
+
+
+def canonical(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows sorted by all of order, so that equal inputs print alike."""
+    return rows.orderBy(*order)
+
+
+def stops(rows: DataFrame, group: str, order: list[str], value: str, limit: int) -> DataFrame:
+    """Per group: the place (from 0) of the row that ends the first losing streak of `limit` rows, null if none does."""
+    streaks = losing_streaks(rows, group, order, value)
+    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    return streaks.withColumn("_at", at).groupBy(group).agg(F.min(F.when(F.col("streak") >= limit, F.col("_at"))).cast("long").alias("stop_at"))
+
+
+def representative(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key, that of the lowest order."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*key, "_row.*").select(*rows.columns)
 
 
 def losing_streaks(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

@@ -47,32 +47,67 @@ def normal_interval(rows: DataFrame, group: list[str], item: str, value: str, le
     return c.select(*group, "n_items", "mean", F.when(enough, F.col("mean") - half).alias("low"), F.when(enough, F.col("mean") + half).alias("high"), (~enough).alias("insufficient"))
 
 
-def bootstrap_interval(rows: DataFrame, group: list[str], item: str, value: str, draws: int = 2000, level: float = 0.95, seed: int = 1729) -> DataFrame:
-    """Percentile interval of the item-equal mean by a Poisson bootstrap over items, then over each item's repeats.
+#: Repeats of an item up to which a draw resamples them one by one; beyond, the drawn mean is normal, which it then is nearly.
+RESAMPLED = 1024
+
+
+def drawn_means(values: np.ndarray, n: int, mean: float, var: float, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of resamples with replacement of n values; of their mean and population variance where they aren't listed."""
+    if n == 1:
+        return np.full(draws, mean)
+    if n > RESAMPLED:
+        return mean + np.sqrt(var / n) * rng.standard_normal(draws)
+    return rng.multinomial(n, np.full(n, 1 / n), draws) @ values / n
+
+
+def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, draws: int, seed: int) -> DataFrame:
+    """(group, draw, m): item-equal means of a two-stage resample, items first, then each item's own repeats.
 
-    Each draw gives every item, and every repeat in it, a Poisson(1) weight seeded by its hash, so weights need no item's
-    neighbours: a partition adds up `draws` weighted sums, and only those are combined. No group is held whole. Repeats
-    enter by a normal draw of the item's mean with its own standard error.
+    Items get Poisson(1) weights and repeats are drawn with replacement, both by a generator seeded by the item's hash,
+    so a partition adds up `draws` weighted sums of its own items and only those are combined; no group is held whole.
+    A draw that weighs every item 0 has no mean.
     """
-    means = item_means(rows, group, item, value).withColumn("_seed", F.xxhash64(F.lit(seed), *group, item))
-    keys = {c: means.schema[c].dataType for c in group}
+    own = rows.where(F.col(value).isNotNull()).select(*group, item, F.col(value).cast("double").alias("v"))
+    sums = own.groupBy(*group, item).agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.count("*").alias("n"))
+    keys_ = [*group, item]
+    small = own.join(sums.where(F.col("n") <= RESAMPLED).select(*keys_), keys_, "left_semi") if group else own.join(sums.where(F.col("n") <= RESAMPLED).select(item), item, "left_semi")
+    lists = small.groupBy(*keys_).agg(F.array_sort(F.collect_list("v")).alias("values"))  # of items with few repeats only
+    items = sums.join(lists, keys_, "left").withColumn("_seed", F.xxhash64(F.lit(seed), *group, item))
+    keys = {c: items.schema[c].dataType for c in group}
 
     def gather(batches):
         held: dict[tuple, np.ndarray] = {}
         for part in batches:
-            for key, own in part.groupby(group, dropna=False) if group else [((), part)]:
+            for key, mine in part.groupby(group, dropna=False) if group else [((), part)]:
                 sums = held.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, draws)))
-                for m, v, n, s in zip(own["item_mean"], own["item_var"], own["reps"], own["_seed"], strict=True):
+                for v, n, m, s2, s in zip(mine["values"], mine["n"], mine["mean"], mine["var"], mine["_seed"], strict=True):
                     rng = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF)
                     w = rng.poisson(1.0, draws)
-                    sums += np.stack((w, w * (m + math.sqrt(v / n) * rng.standard_normal(draws))))
+                    sums[0] += w
+                    sums[1] += w * drawn_means(np.asarray(v if n <= RESAMPLED else [], float), n, m, s2, draws, rng)
         for key, (w, x) in held.items():
             yield pd.DataFrame({**{c: [k] * draws for c, k in zip(group, key, strict=True)}, "draw": np.arange(draws), "w": w, "x": x})
 
     schema = ", ".join(f"{c} {t.simpleString()}" for c, t in keys.items()) + (", " if keys else "") + "draw int, w double, x double"
-    drawn = means.mapInPandas(gather, schema).groupBy(*group, "draw").agg((F.sum("x") / F.sum("w")).alias("m"))
+    drawn = items.select(*group, "values", "n", "mean", "var", "_seed").mapInPandas(gather, schema)
+    return drawn.groupBy(*group, "draw").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
+
+
+def bootstrap_interval(rows: DataFrame, group: list[str], item: str, value: str, draws: int = 2000, level: float = 0.95, seed: int = 1729) -> DataFrame:
+    """Percentile interval of the item-equal mean by bootstrap_draws, with the mean itself and the number of items."""
     tail = (1 - level) / 2
-    return drawn.groupBy(*group).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.avg("m").alias("mean"))
+    drawn = bootstrap_draws(rows, group, item, value, draws, seed)
+    told = drawn.groupBy(*group).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    points = item_equal_mean(rows, group, item, value).select(*group, "mean", "n_items")
+    return told.join(points, group) if group else told.crossJoin(points)  # two single rows
+
+
+def mean_bootstrap(rows: DataFrame, group: list[str], key: str, value: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
+    """Percentile bootstrap of a mean over rows: the draws at places int(draws x 0.025) and int(draws x 0.975), from 0."""
+    drawn = bootstrap_draws(rows, group, key, value, draws, seed).where("m IS NOT NULL")
+    nth = drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("m", "draw")) - 1)  # `draws` rows a group
+    at = lambda p: F.max(F.when(F.col("nth") == int(draws * p), F.col("m")))
+    return nth.groupBy(*group).agg(at(0.025).alias("low"), F.coalesce(at(0.975), F.max("m")).alias("high"))
 
 
 def paired_differences(rows: DataFrame, model: str, item: str, value: str) -> DataFrame:
@@ -99,6 +134,15 @@ def pareto(points: DataFrame, quality: str, cost: str) -> DataFrame:
     return points.join(best, F.col(cost) == F.col("_cost"), "left").withColumn("on_front", F.coalesce(front, F.lit(False))).drop("_cost", "_best", "_before")
 
 
+def nearest_ranks(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group sorted[int(share x n)] for each name: share; from counts of equal values, so no group is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).count()
+    w = Window.partitionBy(*group)
+    placed = counts.withColumns({"_to": F.sum("count").over(w.orderBy(value)), "_n": F.sum("count").over(w)})
+    at = lambda p: F.min(F.when(F.col("_to") > F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
+    return placed.groupBy(*group).agg(*[at(p).alias(n) for n, p in shares.items()])
+
+
 def nearest_rank(values: Column, share: float) -> Column:
     """sorted[int(share x n)] of a gathered array (small groups; use percentile for large ones)."""
     s = F.sort_array(values)
@@ -106,14 +150,20 @@ def nearest_rank(values: Column, share: float) -> Column:
 
 
 def abstention_curve(rows: DataFrame, score: str, answerable: str, thresholds: list[float]) -> DataFrame:
-    """Per threshold: share of answerable rows answered, of unanswerable ones answered, of answerable ones held back."""
-    at = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    held = F.col(score) < F.col("threshold")
-    n_a, n_u = F.sum(F.col(answerable).cast("int")), F.sum((~F.col(answerable)).cast("int"))
-    share = lambda cond, n: F.coalesce(F.try_divide(F.sum(cond.cast("int")).cast("double"), n.cast("double")), F.lit(0.0))
-    return rows.select("*", at.alias("threshold")).groupBy("threshold").agg(
-        share(F.col(answerable) & ~held, n_a).alias("recall"), share(~F.col(answerable) & ~held, n_u).alias("false_answer"), share(F.col(answerable) & held, n_a).alias("false_abstain")
-    )
+    """Per threshold: share of answerable rows answered, of unanswerable ones answered, of answerable ones held back.
+
+    Each row is counted once, by how many of the sorted thresholds its score reaches; curves are running sums of those.
+    """
+    steps = sorted(set(thresholds))
+    reached = sum(((F.col(score) >= t).cast("int") for t in steps), F.lit(0))
+    counts = rows.where(F.col(score).isNotNull()).groupBy(reached.alias("k")).agg(F.sum(F.col(answerable).cast("long")).alias("a"), F.sum((~F.col(answerable)).cast("long")).alias("u"))
+    listed = counts.agg(F.collect_list(F.struct("k", "a", "u")).alias("c"))  # as long as the thresholds
+    over = lambda f, at: F.aggregate(F.filter("c", lambda x: x["k"] > at), F.lit(0).cast("long"), lambda s, x: s + x[f])
+    lines = listed.select("c", F.posexplode(F.array(*[F.lit(float(t)) for t in steps])).alias("i", "threshold"))
+    n_a, n_u = over("a", F.lit(-1)), over("u", F.lit(-1))
+    share = lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(0.0))
+    a_in, u_in = over("a", F.col("i")), over("u", F.col("i"))
+    return lines.select("threshold", share(a_in, n_a).alias("recall"), share(u_in, n_u).alias("false_answer"), share(n_a - a_in, n_a).alias("false_abstain"))
 
 
 def win_rates(verdicts: DataFrame, a: str, b: str, winner: str) -> DataFrame:
@@ -161,8 +211,9 @@ def required_reps(components: DataFrame, half_width: float, z: float = 1.96, lea
 
 
 def paired_bootstrap(rows: DataFrame, model: str, item: str, value: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
-    """For each pair of models a < b: mean difference over shared items, and the two-sided p-value of a paired Poisson
-    bootstrap of the centred differences (1 without items). Draws are added up per partition, as in bootstrap_interval."""
+    """For each pair of models a < b: mean difference over shared items, its percentile interval, and the two-sided p-value
+    of a paired Poisson bootstrap of the centred differences. Draws are added up per partition, as in bootstrap_draws; one
+    that weighs every item 0 counts for nothing."""
     means = item_means(rows, [model], item, value)
     a, b = means.select(F.col(model).alias("a"), F.col(item).alias("i"), F.col("item_mean").alias("x")), means.select(F.col(model).alias("b"), F.col(item).alias("j"), F.col("item_mean").alias("y"))
     pairs = a.join(b, (F.col("i") == F.col("j")) & (F.col("a") < F.col("b"))).select("a", "b", (F.col("x") - F.col("y")).alias("d"), F.xxhash64(F.lit(seed), "i").alias("_seed"))
@@ -181,14 +232,18 @@ def paired_bootstrap(rows: DataFrame, model: str, item: str, value: str, draws:
             yield pd.DataFrame({"a": x, "b": y, "draw": np.arange(draws), "w": w, "x": v})
 
     types = {c: centred.schema[c].dataType.simpleString() for c in ("a", "b")}
-    drawn = centred.mapInPandas(gather, f"a {types['a']}, b {types['b']}, draw int, w double, x double").groupBy("a", "b", "draw").agg((F.sum("x") / F.sum("w")).alias("m"))
-    tested = drawn.join(observed, ["a", "b"]).groupBy("a", "b", "diff", "n_items").agg(F.avg((F.abs("m") >= F.abs("diff")).cast("double")).alias("p_value"))
-    return tested
+    drawn = centred.mapInPandas(gather, f"a {types['a']}, b {types['b']}, draw int, w double, x double").groupBy("a", "b", "draw").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
+    at = lambda p: F.percentile(F.col("m") + F.col("diff"), F.lit(p))
+    return drawn.join(observed, ["a", "b"]).groupBy("a", "b", "diff", "n_items").agg(
+        F.avg((F.abs("m") >= F.abs("diff")).cast("double")).alias("p_value"), at(0.025).alias("low"), at(0.975).alias("high")
+    )
 
 
 def operating_point(curve: DataFrame, ceiling: float) -> DataFrame:
-    """The threshold of the highest recall with false answers within the ceiling, the lowest among equals; a bounded curve."""
-    return curve.where(F.col("false_answer") <= ceiling).orderBy(F.desc("recall"), "threshold").limit(1)
+    """The row of the highest recall with false answers within the ceiling, the lowest threshold among equals; else zeros."""
+    best = F.max_by(F.struct("threshold", "recall", "false_answer", "false_abstain"), F.struct("recall", -F.col("threshold")))
+    one = curve.where(F.col("false_answer") <= ceiling).agg(best.alias("b"))
+    return one.select(*[F.coalesce(f"b.{c}", F.lit(0.0)).alias(c) for c in ("threshold", "recall", "false_answer", "false_abstain")])
 
 
 def merge_orders(verdicts: DataFrame, pair: list[str], winner: str, confidence: str) -> DataFrame:
@@ -211,8 +266,24 @@ def score_separation(scored: DataFrame, group: str, score: str) -> DataFrame:
     return rows.groupBy(group).agg((best - F.avg(F.when(F.col("_nth") > 1, F.col(score)))).alias("top_to_rest"), (best - second).alias("top_to_second"))
 
 
-def discordance(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Share of pairs of a bounded list of variants that two scores order oppositely; ties are not discordant."""
-    listed = rows.agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("l"))
-    pairs = F.flatten(F.transform("l", lambda p, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda q: ((p["x"] - q["x"]) * (p["y"] - q["y"]) < 0).cast("int"))))
-    return listed.select(F.size(pairs).alias("pairs"), F.coalesce(F.try_divide(F.aggregate(pairs, F.lit(0), lambda s, v: s + v).cast("double"), F.size(pairs).cast("double")), F.lit(0.0)).alias("divergence"))
+def discordance(rows: DataFrame, x: str, y: str, runs: int = 64) -> DataFrame:
+    """Share of pairs of rows that two scores order oppositely; ties are not discordant.
+
+    Rows with equal scores are one, of a weight. The rest is dealt into runs of each score's ranks: of two rows in
+    different runs of both, counts decide; rows of one run are compared inside it. Nothing is gathered whole.
+    """
+    points = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    cuts = points.agg(F.percentile_approx("x", [i / runs for i in range(1, runs)]).alias("cx"), F.percentile_approx("y", [i / runs for i in range(1, runs)]).alias("cy"))
+    run_of = lambda c, value: F.size(F.filter(F.array_distinct(c), lambda v: v < value))
+    placed = points.crossJoin(F.broadcast(cuts)).select("x", "y", "n", run_of(F.col("cx"), F.col("x")).alias("rx"), run_of(F.col("cy"), F.col("y")).alias("ry"))  # one row of cuts
+    cells = placed.groupBy("rx", "ry").agg(F.sum("n").alias("n"))  # runs x runs at most
+    a, b = cells.select(F.col("rx").alias("p"), F.col("ry").alias("q"), F.col("n").alias("m")), cells
+    far = b.join(F.broadcast(a), (F.col("rx") < F.col("p")) & (F.col("ry") > F.col("q"))).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).cast("double").alias("far"))
+    other = placed.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.col("rx").alias("rx2"), F.col("ry").alias("ry2"))
+    opposite = (F.col("x") < F.col("x2")) & (F.col("y") > F.col("y2"))
+    in_x = placed.join(other, (F.col("rx") == F.col("rx2")) & opposite)
+    in_y = placed.join(other, (F.col("ry") == F.col("ry2")) & (F.col("rx") != F.col("rx2")) & opposite)
+    near = in_x.select("n", "n2").unionByName(in_y.select("n", "n2")).agg(F.coalesce(F.sum(F.col("n") * F.col("n2")), F.lit(0)).cast("double").alias("near"))
+    total = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    pairs = (F.col("rows") * (F.col("rows") - 1) / 2).cast("long")
+    return total.crossJoin(far).crossJoin(near).select(pairs.alias("pairs"), F.coalesce(F.try_divide(F.col("far") + F.col("near"), pairs.cast("double")), F.lit(0.0)).alias("divergence"))  # single rows

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import bm25, lexical_rerank, overlap, rrf, scoped
+from ..operators.retrieval import bm25, lexical_rerank, overlap, postings, rrf, scoped
 
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, wanted: dict | None = None, candidates: int = 20, k: int = 5) -> DataFrame:
     """(query_id, doc_id, rank, rerank_score): equal queries are searched once and their results joined back."""
     docs = scoped(docs, wanted or {})
-    keyed = queries.withColumn("_key", F.xxhash64("text"))
-    unique = keyed.groupBy(F.col("_key").alias("query_id")).agg(F.min("text").alias("text"))
-    fused = rrf([bm25(docs, unique, candidates), overlap(docs, unique, candidates)], n=candidates)
+    unique = queries.groupBy("text").agg(F.min("query_id").alias("query_id"))  # by the text itself, which no hash can confuse
+    posted = postings(docs, "doc_id", "text")
+    fused = rrf([bm25(docs, unique, candidates, posted=posted), overlap(docs, unique, candidates, posted=posted)], n=candidates)
     texts = fused.join(unique.withColumnRenamed("text", "query_text"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    best = lexical_rerank(texts, F.col("query_text"), F.col("text"), k).select(F.col("query_id").alias("_key"), "doc_id", "rank", "rerank_score")
-    return keyed.select("query_id", "_key").join(best, "_key").drop("_key")
+    best = lexical_rerank(texts, F.col("query_text"), F.col("text"), k).select("query_text", "doc_id", "rank", "rerank_score")
+    return queries.join(best, queries["text"].eqNullSafe(best["query_text"])).select("query_id", "doc_id", "rank", "rerank_score")

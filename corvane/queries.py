@@ -26,8 +26,8 @@ WORDS = W.format("text")
 MEANS = "means AS (SELECT event_type, user_id, avg(value) AS m, coalesce(var_samp(value), 0) AS v, count(value) AS r FROM events WHERE value IS NOT NULL GROUP BY ALL)"
 VC = MEANS + """, s AS (SELECT event_type, count(*) AS n_items, sum(r) AS n_trials, avg(m) AS mean, sum(r * m) / sum(r) AS grand, sum(v * (r - 1)) AS ssw, sum(r * m * m) AS ssa, sum(r * r) AS sq FROM means GROUP BY 1),
 vc AS (SELECT *, ssw / (n_trials - n_items) AS within, greatest(((ssa - n_trials * grand * grand) / (n_items - 1) - ssw / (n_trials - n_items)) / ((n_trials - sq / n_trials) / (n_items - 1)), 0) AS between_ FROM s)"""
-LISTS = """lists AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS every, list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 20) AS g FROM events GROUP BY 1),
-l AS (SELECT user_id, every[1:20] AS ranked, coalesce(g, []) AS gold FROM lists)"""
+LISTS = """lists AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS every, list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 20) AS g FROM events WHERE ts < '2024-01-02' GROUP BY 1),
+l AS (SELECT user_id, every AS ranked, coalesce(g, []) AS gold FROM lists)"""
 BM25 = f"""qt AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS})) AS term FROM benchmark),
 d AS (SELECT doc_id, {WORDS} AS w FROM documents), c AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
 p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
@@ -64,7 +64,8 @@ def questions(spark, d):
 
 def legs(spark, d):
     docs, ask = t(spark, d, "documents"), questions(spark, d)
-    return rt.bm25(docs, ask, 20), rt.overlap(docs, ask, 20)
+    posted = rt.postings(docs, "doc_id", "text")
+    return rt.bm25(docs, ask, 20, posted=posted), rt.overlap(docs, ask, 20, posted=posted)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bm WHERE rank <= 10")
@@ -121,11 +122,11 @@ def hard_negatives(spark, d):
 
 
 def ranked_lists(spark, d):
-    """Each user's first 20 events in order of time, and their larger purchases as what is relevant. Users have bounded histories."""
+    """Each user's first day of events in order of time, and the larger purchases of it as what is relevant."""
     e = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
     g = F.array_sort(F.collect_list(F.when((F.col("event_type") == "purchase") & (F.col("value") > 20), F.struct("ts", "event_id"))))
     ids = lambda c: F.transform(c, lambda x: x["event_id"])
-    return t(spark, d, "events").groupBy("user_id").agg(e.alias("e"), g.alias("g")).select("user_id", F.slice(ids(F.col("e")), 1, 20).alias("ranked"), ids(F.col("g")).alias("gold"))
+    return t(spark, d, "events").where("ts < '2024-01-02'").groupBy("user_id").agg(e.alias("e"), g.alias("g")).select("user_id", ids(F.col("e")).alias("ranked"), ids(F.col("g")).alias("gold"))
 
 
 @query(f"""WITH {LISTS}, h AS (SELECT user_id, ranked, gold, list_transform(ranked, lambda x: list_contains(gold, x)::INTEGER) AS hit, len(gold) AS ng FROM l)
@@ -194,8 +195,7 @@ def value_distribution(spark, d):
 
 @query("WITH l AS (SELECT user_id, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT user_id, v[len(v) // 2 + 1] AS p50, v[least(floor(len(v) * 0.95), len(v) - 1)::INTEGER + 1] AS p95 FROM l")
 def nearest_rank_percentiles(spark, d):
-    rows = t(spark, d, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return rows.select("user_id", st.nearest_rank(F.col("v"), 0.5).alias("p50"), st.nearest_rank(F.col("v"), 0.95).alias("p95"))
+    return st.nearest_ranks(t(spark, d, "events"), ["user_id"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH p AS (SELECT p_brand, avg(p_retailprice) AS cost, avg(p_size) AS quality FROM part GROUP BY 1)

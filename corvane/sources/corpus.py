@@ -55,9 +55,9 @@ def text_of_blocks(content: Column) -> Column:
 
 def latest_keys(metadata: Column) -> Column:
     """A map with keys base-N: of each base the value of the highest N (no number: -1, ties to the first)."""
-    entries = F.transform(F.map_entries(metadata), lambda e: F.struct(
-        F.regexp_replace(e["key"], r"-[0-9]+$", "").alias("base"), F.coalesce(F.nullif(F.regexp_extract(e["key"], r"-([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(-1)).alias("n"), e["value"].alias("value")))
-    best = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["base"] == e["base"]) & (o["n"] > e["n"])))
+    entries = F.transform(F.map_entries(metadata), lambda e, i: F.struct(
+        F.regexp_replace(e["key"], r"-[0-9]+$", "").alias("base"), F.coalesce(F.nullif(F.regexp_extract(e["key"], r"-([0-9]+)$", 1), F.lit("")).cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("n"), e["value"].alias("value"), i.alias("at")))
+    best = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["base"] == e["base"]) & ((o["n"] > e["n"]) | ((o["n"] == e["n"]) & (o["at"] < e["at"])))))
     return F.map_from_entries(F.transform(best, lambda e: F.struct(e["base"], e["value"])))
 
 
