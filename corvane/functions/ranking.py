@@ -70,3 +70,14 @@ def unavailable_if_no_gold(metric: Column, gold: Column) -> Column:
 def retrieval_class(ranked: Column, gold: Column) -> Column:
     """unanswerable, answerable_not_retrieved or answerable_retrievable."""
     return F.when(F.size(gold) == 0, "unanswerable").when(F.arrays_overlap(ranked, gold), "answerable_retrievable").otherwise("answerable_not_retrieved")
+
+
+def retrievable_recall_at_k(ranked: Column, gold: Column, k: int) -> Column:
+    """Distinct relevant ids in the first k places over those ranked anywhere, 0 if none is."""
+    found = F.array_intersect(gold, ranked)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(_top(ranked, k), found)).cast("double"), F.size(found).cast("double")), F.lit(0.0))
+
+
+def reciprocal_rank_at_k(ranked: Column, gold: Column, k: int) -> Column:
+    """1 over the place of the first hit, 0 if that is beyond k."""
+    return reciprocal_rank(_top(ranked, k), gold)

@@ -81,3 +81,31 @@ def live(spark: SparkSession, root: str) -> DataFrame:
 def newer(nodes: DataFrame, changed: str, mark: str | None) -> DataFrame:
     """Nodes changed after the high-water mark; all if there is none."""
     return nodes.where(F.col(changed) > mark) if mark else nodes
+
+
+def body_table(rows: DataFrame, key: str, body: str, order: list[str]) -> DataFrame:
+    """(key, body): the last body of each key that is not blank."""
+    full = rows.where(F.coalesce(F.trim(body), F.lit("")) != "")
+    return full.groupBy(key).agg(F.max_by(body, F.struct(*order)).alias(body))
+
+
+def layered(layers: list[DataFrame], key: list[str]) -> DataFrame:
+    """One row per key from layers of equal columns: that of the last layer that has it."""
+    out = None
+    for i, layer in enumerate(layers):
+        one = layer.withColumn("_layer", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    rest = [c for c in layers[0].columns if c not in key]
+    return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "_layer").alias("_r")).select(*key, "_r.*")
+
+
+def build(rows: DataFrame, metadata: DataFrame, key: str, order: list[str], fields: list[str], default: str = "all") -> DataFrame:
+    """The first row of each key with its metadata; blank or missing fields become the default."""
+    rest = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+    return first.join(metadata, key, "left").withColumns({f: F.coalesce(F.nullif(F.trim(F.col(f).cast("string")), F.lit("")), F.lit(default)) for f in fields})
+
+
+def piped(text: Column) -> Column:
+    """A comma list as a pipe list: trimmed, blanks dropped."""
+    return F.array_join(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), "|")

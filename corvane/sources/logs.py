@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,47 @@ def invalid_events(events: DataFrame, total: str, parts: list[str], rel: float =
 
     whole = sum((F.coalesce(F.col(p), F.lit(0.0)) for p in parts), F.lit(0.0))
     return events.where(F.col("error").isNull() & ~F.coalesce(is_close(F.col(total), whole, rel, absolute), F.lit(False)))
+
+
+def recent(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows in that order."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def last_champions(rows: DataFrame, island: str, champion: Column, order: list[str]) -> DataFrame:
+    """The last champion of each island. Combined before the shuffle."""
+    rest = [c for c in rows.columns if c != island]
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return rows.where(champion).groupBy(island).agg(best).select(island, "_row.*")
+
+
+def violations(events: DataFrame, kind: str, abstention: str, refusal: str, total: str, parts: list[str], rel: float = 1e-6, absolute: float = 1e-3) -> DataFrame:
+    """events with the first rule that each breaks, null for none: abstention is set iff kind is none or partial, refusal
+    iff it is full, and the total is the sum of the parts unless the event failed (error not null)."""
+    from ..functions.scores import is_close
+
+    whole = sum((F.coalesce(F.col(p), F.lit(0.0)) for p in parts), F.lit(0.0))
+    timed = F.col("error").isNotNull() | F.coalesce(is_close(F.col(total), whole, rel, absolute), F.lit(False))
+    broken = F.when(F.col(abstention).isNotNull() != F.col(kind).isin("none", "partial"), "abstention").when(F.col(refusal).isNotNull() != (F.col(kind) == "full"), "refusal").when(~timed, "time")
+    return events.withColumn("violation", broken)
+
+
+def backfill(events: DataFrame, judged: DataFrame, key: str, model: str, models: dict[str, str], session: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(events of known models with their model, place in the session and what judged has; counts of unknown models)."""
+    names = F.create_map(*[F.lit(x) for pair in models.items() for x in pair])
+    known = events.where(F.col(model).isin(*models)).withColumn("model", F.element_at(names, F.col(model)))
+    nth = (F.row_number().over(Window.partitionBy(session, "model").orderBy(*order)) - 1).cast("long")
+    rows = known.withColumn("instance", nth).join(judged, key, "left")
+    unknown = events.where(~F.coalesce(F.col(model).isin(*models), F.lit(False))).groupBy(model).agg(F.count("*").alias("n"))
+    return rows, unknown
+
+
+def as_lines(rows: DataFrame) -> DataFrame:
+    """Rows as JSON texts that read_log reads back alike, nulls included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report's rows as one sorted JSON text: equal reports are equal files. Reports are aggregates, hence short."""
+    columns = sorted(rows.columns)
+    rows.select(*columns).orderBy(*columns).coalesce(1).write.mode("overwrite").json(path)
