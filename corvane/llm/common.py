@@ -46,6 +46,12 @@ def local(df: DataFrame) -> pd.DataFrame:
     return df.toArrow().to_pandas()
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df, never to be broadcast: Spark guesses a side's size from its files, where repeated values and rows that an
+    explode makes hardly count, while in memory they do."""
+    return df.hint("merge")
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a table that cut wrote, once nothing that is still to run reads them."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, local, release, thin, unused
+from .common import cut, local, release, thin, unsent, unused
 from .components import connected_components, near_labels
 
 BITS = 64
@@ -178,17 +178,17 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4, hot: int | None = 4
     crowded = cut(standing.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"), "crowded") if hot else None
     found = []
     if crowded and not crowded.isEmpty():
-        inside = standing.join(crowded, ["part", "key"], "left_semi").select("fp")
-        inside = inside.unionByName(asking.join(crowded, same, "left_semi").select(F.col("fp2").alias("fp"))).distinct()
+        inside = standing.join(unsent(crowded), ["part", "key"], "left_semi").select("fp")
+        inside = inside.unionByName(asking.join(unsent(crowded), same, "left_semi").select(F.col("fp2").alias("fp"))).distinct()
         near = inside.select("fp", F.explode(flipped(F.col("fp"), flips(list(range(BITS)), threshold // 2))).alias("mask"))
         least = near.groupBy("mask").agg(F.min("fp").alias("low")).select(F.col("mask").alias("mask2"), "low")
-        found.append(near.join(least, F.col("mask") == F.col("mask2")).where("fp != low").select(F.col("fp").alias("src"), F.col("low").alias("dst")))
-        standing = standing.join(crowded, ["part", "key"], "left_anti")
+        found.append(near.join(unsent(least), F.col("mask") == F.col("mask2")).where("fp != low").select(F.col("fp").alias("src"), F.col("low").alias("dst")))
+        standing = standing.join(unsent(crowded), ["part", "key"], "left_anti")
     apart = F.col("fp").bitwiseXOR(F.col("fp2"))
     close = F.bit_count(apart) <= threshold
     for i, (bits, radius) in enumerate(plan[:-1]):  # those that meet in an earlier partition come from there
         close = close & ((F.col("part") <= i) | (F.bit_count(apart.bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))) > radius))
-    found.append(standing.join(asking, same & (F.col("fp") < F.col("fp2")) & close).select(F.col("fp").alias("src"), F.col("fp2").alias("dst")))
+    found.append(standing.join(unsent(asking), same & (F.col("fp") < F.col("fp2")) & close).select(F.col("fp").alias("src"), F.col("fp2").alias("dst")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -249,29 +249,54 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return masks, np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(n)], np.uint64)
 
 
-def band_keys(hashes: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
-    """One hash per band, of the band's smallest values of the set: equal in a band for sets of Jaccard J at J ** band_rows."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    masks, factors = permutations(bands * band_rows)
-    lows = np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
+def smallest(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The smallest value of a set (not empty) under each of n hash functions: equal for sets of Jaccard J at chance J."""
+    masks, factors = permutations(n)
+    lows = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 2048):
         lows = np.minimum(lows, ((hashes[i : i + 2048, None] ^ masks) * factors).min(0))
+    return lows
+
+
+def sketch_of(lows: np.ndarray) -> np.ndarray:
+    """The last 4 bits of each smallest value, 15 of them to a long."""
+    last = np.zeros(-(-len(lows) // 15) * 15, np.uint64)
+    last[: len(lows)] = lows & np.uint64(15)
+    return (last.reshape(-1, 15) << (np.uint64(4) * np.arange(15, dtype=np.uint64))).sum(1, dtype=np.uint64)
+
+
+def sketches_allow(a: str, b: str, n: int, similarity: float) -> Column:
+    """False where so many of n smallest values differ that sets of that similarity have a chance of about 1e-5 for it."""
+    same = similarity + (1 - similarity) / 16
+    most = int(np.ceil(n * (1 - same) + 4.3 * np.sqrt(n * same * (1 - same))))
+    differ = F.lit(0)
+    for i in range(-(-n // 15)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftright(x, 1))
+        x = x.bitwiseOR(F.shiftright(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x111111111111111)))
+    return differ <= most
+
+
+def band_keys(lows: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
+    """One hash per band, of the band's smallest values: equal in a band for sets of Jaccard J at chance J ** band_rows."""
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(lows.reshape(bands, band_rows))], np.uint64)
 
 
 def text_columns(text: Column, shingle: int, bands: int, band_rows: int) -> Column:
-    """Struct of the digest of a text's shingle set, its fingerprint and the band keys of its set."""
+    """Struct of the digest of a text's shingle set, its fingerprint, and the band keys and sketch of its set, if not empty."""
 
-    @F.pandas_udf("struct<digest:long,fp:long,keys:array<long>>")
+    @F.pandas_udf("struct<digest:long,fp:long,keys:array<long>,sketch:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in sliced(batches):
             hashes = [shingle_hashes(text_words(t), shingle) for t in texts]
             sets = [np.unique(h) for h in hashes]
+            lows = [smallest(s, bands * band_rows) if len(s) else None for s in sets]
             yield pd.DataFrame({
                 "digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)),
                 "fp": signed64(np.array([majority_bits(h) for h in hashes], np.uint64)),
-                "keys": [signed64(band_keys(s, bands, band_rows)) for s in sets],
+                "keys": [None if x is None else signed64(band_keys(x, bands, band_rows)) for x in lows],
+                "sketch": [None if x is None else signed64(sketch_of(x)) for x in lows],
             })
 
     return of(text)
@@ -313,8 +338,8 @@ def similar_links(docs: DataFrame, text_col: str, shingle: int, texts: DataFrame
     """Those of pairs (x, y: digests) whose whole shingle sets have that Jaccard similarity, as src and dst."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
     sets = cut(whole_sets(docs, text_col, shingle, texts.join(ends, "digest", "left_semi").select("tkey")), "sets")
-    sets_of = lambda c, s: sets.select(F.col("digest").alias(c), F.col("hashes").alias(s)).hint("merge")  # noqa: E731  a short file of sets is long in memory
-    told = pairs.join(sets_of("x", "s"), "x").join(sets_of("y", "t"), "y")
+    sets_of = lambda c, s: sets.select(F.col("digest").alias(c), F.col("hashes").alias(s))
+    told = pairs.join(unsent(sets_of("x", "s")), "x").join(unsent(sets_of("y", "t")), "y")
     shared = F.size(F.array_intersect("s", "t"))
     links = cut(told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
     release(sets)
@@ -341,16 +366,17 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     A band's texts are first compared with one of them, drawn by hash, and of those each text with the one that it
     meets most often; then with the others that are still in other components; so a large group of copies becomes one
-    component in proportion to its rows. Then every other pair of a band that isn't yet in one component is compared.
+    component in proportion to its rows. Then every other pair of a band that isn't yet in one component is compared,
+    unless their sketches of all smallest values differ by more than chance leaves to a pair at the similarity (1e-5).
     Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), text_columns(F.col(text_col), shingle, bands, band_rows).alias("p"))
     rows = cut(rows.select("doc_id", "tkey", "p.*"), "near")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     texts = cut(texts, "texts")
     stand = texts.select(F.col("digest").alias("x"), F.explode("keys").alias("key"))
     drawn = stand.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("one"), F.count("*").alias("times")).where("times > 1")
-    stand = cut(stand.join(drawn.select("key", F.col("one.x").alias("y")), "key"), "stand")
+    stand = cut(stand.join(unsent(drawn.select("key", F.col("one.x").alias("y"))), "key"), "stand")
     pairs = stand.select("x", "y").unionByName(fingerprint_pairs(texts, threshold, hot)).where("x != y")
     pairs = cut(pairs.groupBy(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).agg(F.count("*").alias("votes")), "pairs")
     best = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
@@ -358,19 +384,22 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     labels = cut(near_labels(links), "labels")
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"root_{c}"))
     apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
-    others = cut(pairs.join(best.hint("merge"), ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select("x", "y"), "others")
+    others = cut(pairs.join(unsent(best), ["x", "y"], "left_anti").join(unsent(of("x")), "x", "left").join(unsent(of("y")), "y", "left").where(apart).select("x", "y"), "others")
     if not others.isEmpty():
         links = links.unionByName(similar_links(docs, text_col, shingle, texts, others, similarity))
     roots = connected_components(links)
-    stand = stand.select("key", "x").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    stand = stand.select("key", "x").join(unsent(roots.select(F.col("node").alias("x"), "root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    stand = cut(stand, "rooted")
     sizes = stand.groupBy("key", "root").count()
     homes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1").select("key", "home")
-    open_ = cut(stand.join(homes, "key"), "open")
-    other = open_.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("root").alias("root2"))
+    open_ = stand.join(unsent(homes), "key").join(unsent(texts.select(F.col("digest").alias("x"), "sketch")), "x")
+    open_ = cut(open_, "open")
+    other = open_.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
     unlike = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
-    rest = open_.where("root != home").join(other, (F.col("key") == F.col("key2")) & unlike)
+    unlike = unlike & sketches_allow("sketch", "sketch2", bands * band_rows, similarity)
+    rest = open_.where("root != home").join(unsent(other), (F.col("key") == F.col("key2")) & unlike)
     rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    rest = cut(rest.join(pairs.hint("merge"), ["x", "y"], "left_anti"), "rest")  # a short file of pairs is long in memory
+    rest = cut(rest.join(unsent(pairs), ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = connected_components(links.unionByName(similar_links(docs, text_col, shingle, texts, rest, similarity)))
     classes = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
