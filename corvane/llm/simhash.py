@@ -22,6 +22,8 @@ BITS = 64
 PLAN_SAMPLE = 8192
 #: Seconds for writing and shuffling one probe and for verifying one candidate pair, for the plan's comparison.
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
+#: Smallest values that a sketch is made of.
+SKETCHED = 960
 #: Bits of the map of wanted texts, a power of two.
 MAP_BITS = 1 << 23
 
@@ -284,9 +286,9 @@ def band_keys(lows: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
 
 
 def text_columns(text: Column, shingle: int, bands: int, band_rows: int) -> Column:
-    """Struct of the digest of a text's shingle set, its fingerprint, and the band keys and sketch of its set, if not empty."""
+    """Struct of the digest of a text's shingle set, its fingerprint, and the band keys of its set, if not empty."""
 
-    @F.pandas_udf("struct<digest:long,fp:long,keys:array<long>,sketch:array<long>>")
+    @F.pandas_udf("struct<digest:long,fp:long,keys:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in sliced(batches):
             hashes = [shingle_hashes(text_words(t), shingle) for t in texts]
@@ -296,7 +298,6 @@ def text_columns(text: Column, shingle: int, bands: int, band_rows: int) -> Colu
                 "digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)),
                 "fp": signed64(np.array([majority_bits(h) for h in hashes], np.uint64)),
                 "keys": [None if x is None else signed64(band_keys(x, bands, band_rows)) for x in lows],
-                "sketch": [None if x is None else signed64(sketch_of(x)) for x in lows],
             })
 
     return of(text)
@@ -306,8 +307,8 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(digest, hashes) of the shingle sets of the texts whose text_key is in wanted (column tkey), and of few others.
+def wanted_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(text) once each, of those whose text_key is in wanted (column tkey), and of few others.
 
     A bit map of bounded size, made from wanted, leaves out most other texts before anything is shuffled or hashed.
     """
@@ -323,14 +324,21 @@ def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame)
         at = tkey.to_numpy() % MAP_BITS
         return pd.Series((filled[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
 
+    found = docs.select(text_key(text_col).alias("tkey"), F.col(text_col).alias("text")).where(held("tkey"))
+    return found.groupBy("tkey").agg(F.first("text").alias("text")).select("text")
+
+
+def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame, values: int | None = None) -> DataFrame:
+    """(digest, hashes) of the shingle sets of wanted_texts; with values, instead of the hashes the sketch of so many smallest values."""
+    made = (lambda s: signed64(s)) if values is None else lambda s: signed64(sketch_of(smallest(s, values))) if len(s) else None
+
     @F.pandas_udf("struct<digest:long,hashes:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in sliced(batches):
             sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame({"digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)), "hashes": [signed64(s) for s in sets]})
+            yield pd.DataFrame({"digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)), "hashes": [made(s) for s in sets]})
 
-    found = docs.select(text_key(text_col).alias("tkey"), F.col(text_col).alias("text")).where(held("tkey"))
-    found = found.groupBy("tkey").agg(F.first("text").alias("text"))
+    found = wanted_texts(docs, text_col, wanted)
     return found.select(of("text").alias("s")).select("s.*").dropDuplicates(["digest"])
 
 
@@ -372,7 +380,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), text_columns(F.col(text_col), shingle, bands, band_rows).alias("p"))
     rows = cut(rows.select("doc_id", "tkey", "p.*"), "near")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     texts = cut(texts, "texts")
     stand = texts.select(F.col("digest").alias("x"), F.explode("keys").alias("key"))
     drawn = stand.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("one"), F.count("*").alias("times")).where("times > 1")
@@ -392,11 +400,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     stand = cut(stand, "rooted")
     sizes = stand.groupBy("key", "root").count()
     homes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1").select("key", "home")
-    open_ = stand.join(unsent(homes), "key").join(unsent(texts.select(F.col("digest").alias("x"), "sketch")), "x")
-    open_ = cut(open_, "open")
+    open_ = cut(stand.join(unsent(homes), "key"), "open")
+    ends = texts.join(unsent(open_.select(F.col("x").alias("digest")).distinct()), "digest", "left_semi")
+    sketches = cut(whole_sets(docs, text_col, shingle, ends.select("tkey"), SKETCHED), "sketches")
+    open_ = open_.join(unsent(sketches.select(F.col("digest").alias("x"), F.col("hashes").alias("sketch"))), "x")
     other = open_.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
     unlike = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
-    unlike = unlike & sketches_allow("sketch", "sketch2", bands * band_rows, similarity)
+    unlike = unlike & sketches_allow("sketch", "sketch2", SKETCHED, similarity)
     rest = open_.where("root != home").join(unsent(other), (F.col("key") == F.col("key2")) & unlike)
     rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     rest = cut(rest.join(unsent(pairs), ["x", "y"], "left_anti"), "rest")
