@@ -344,7 +344,7 @@ def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame,
 
 def similar_links(docs: DataFrame, text_col: str, shingle: int, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (x, y: digests) whose whole shingle sets have that Jaccard similarity, as src and dst."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
+    ends = pairs.select(F.col("x").alias("digest")).distinct().unionByName(pairs.select(F.col("y").alias("digest")).distinct()).distinct()
     sets = cut(whole_sets(docs, text_col, shingle, texts.join(ends, "digest", "left_semi").select("tkey")), "sets")
     sets_of = lambda c, s: sets.select(F.col("digest").alias(c), F.col("hashes").alias(s))
     told = pairs.join(unsent(sets_of("x", "s")), "x").join(unsent(sets_of("y", "t")), "y")
