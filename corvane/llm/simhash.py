@@ -22,8 +22,8 @@ BITS = 64
 PLAN_SAMPLE = 8192
 #: Seconds for writing and shuffling one probe and for verifying one candidate pair, for the plan's comparison.
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
-#: Smallest values that a sketch is made of.
-SKETCHED = 960
+#: Smallest values that a sketch is made of, one bit of each; a multiple of 64.
+SKETCHED = 2048
 #: Bits of the map of wanted texts, a power of two.
 MAP_BITS = 1 << 23
 
@@ -254,29 +254,28 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 def smallest(hashes: np.ndarray, n: int) -> np.ndarray:
     """The smallest value of a set (not empty) under each of n hash functions: equal for sets of Jaccard J at chance J."""
     masks, factors = permutations(n)
-    lows = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        lows = np.minimum(lows, ((hashes[i : i + 2048, None] ^ masks) * factors).min(0))
+    lows, block = np.full(n, np.iinfo(np.uint64).max, np.uint64), max(1, (1 << 18) // n)
+    for i in range(0, len(hashes), block):
+        lows = np.minimum(lows, ((hashes[i : i + block, None] ^ masks) * factors).min(0))
     return lows
 
 
 def sketch_of(lows: np.ndarray) -> np.ndarray:
-    """The last 4 bits of each smallest value, 15 of them to a long."""
-    last = np.zeros(-(-len(lows) // 15) * 15, np.uint64)
-    last[: len(lows)] = lows & np.uint64(15)
-    return (last.reshape(-1, 15) << (np.uint64(4) * np.arange(15, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    """One bit of each smallest value, 64 of them to a long.
+
+    The bit is the highest of a product, which every bit of the value moves: the lowest bits of a smallest value are
+    those of its shingle under every hash function, and so would not tell shingles apart independently.
+    """
+    return np.packbits(((lows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).view(np.uint64)
 
 
 def sketches_allow(a: str, b: str, n: int, similarity: float) -> Column:
-    """False where so many of n smallest values differ that sets of that similarity have a chance of about 1e-5 for it."""
-    same = similarity + (1 - similarity) / 16
-    most = int(np.ceil(n * (1 - same) + 4.3 * np.sqrt(n * same * (1 - same))))
+    """False where so many of n bits differ that sets of that similarity have a chance of about 1e-5 for it."""
+    apart = (1 - similarity) / 2
+    most = int(np.ceil(n * apart + 4.3 * np.sqrt(n * apart * (1 - apart))))
     differ = F.lit(0)
-    for i in range(-(-n // 15)):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        x = x.bitwiseOR(F.shiftright(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x111111111111111)))
+    for i in range(n // 64):
+        differ = differ + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
     return differ <= most
 
 

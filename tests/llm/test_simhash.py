@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from corvane.llm.common import ship
-from corvane.llm.simhash import drop_near_duplicates, near_duplicate_components, fingerprint, fingerprint_links, plan_partitions, simhash_components
+from corvane.llm.simhash import SKETCHED, drop_near_duplicates, near_duplicate_components, fingerprint, fingerprint_links, plan_partitions, simhash_components
 
 
 def slow_print(text, k):
@@ -196,3 +196,19 @@ def just_apart(seed, n=150):
 def test_long_texts_are_told_apart_by_their_whole_sets(spark):
     rows = just_apart(6)
     assert near_components(spark, rows) == brute_components(rows)
+
+
+def test_sketches_tell_the_similarity_of_sets_that_differ_in_few_shingles():
+    import numpy as np
+
+    from corvane.llm.simhash import sketch_of, smallest
+
+    rng = np.random.default_rng(3)
+    for n, own, alike in ((200, 22, 0.8), (900, 100, 0.8), (40, 20, 0.5), (300, 0, 1.0)):
+        off = []
+        for _ in range(60):
+            both = rng.integers(0, 2**64, n, np.uint64)
+            a, b = (sketch_of(smallest(np.r_[both, rng.integers(0, 2**64, own, np.uint64)], SKETCHED)) for _ in range(2))
+            off.append(np.bitwise_count(a ^ b).sum() / SKETCHED - (1 - n / (n + 2 * own)) / 2)
+        apart = (1 - alike) / 2
+        assert abs(np.mean(off)) < 0.01 and np.std(off) < 1.5 * np.sqrt(apart * (1 - apart) / SKETCHED) + 1e-9
