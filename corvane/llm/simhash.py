@@ -22,8 +22,10 @@ BITS = 64
 PLAN_SAMPLE = 8192
 #: Seconds for writing and shuffling one probe and for verifying one candidate pair, for the plan's comparison.
 PROBE_S, CANDIDATE_S = 1e-6, 5e-8
-#: Smallest values that a sketch is made of, one bit of each; a multiple of 64.
-SKETCHED = 2048
+#: Texts, and shingles of all its texts, that a block of a band's texts holds, about.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 21
+#: Entries of the matrix of texts by shingles that a comparison holds at once.
+MATRIX = 1 << 22
 #: Bits of the map of wanted texts, a power of two.
 MAP_BITS = 1 << 23
 
@@ -260,25 +262,6 @@ def smallest(hashes: np.ndarray, n: int) -> np.ndarray:
     return lows
 
 
-def sketch_of(lows: np.ndarray) -> np.ndarray:
-    """One bit of each smallest value, 64 of them to a long.
-
-    The bit is the highest of a product, which every bit of the value moves: the lowest bits of a smallest value are
-    those of its shingle under every hash function, and so would not tell shingles apart independently.
-    """
-    return np.packbits(((lows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).view(np.uint64)
-
-
-def sketches_allow(a: str, b: str, n: int, similarity: float) -> Column:
-    """False where so many of n bits differ that sets of that similarity have a chance of about 1e-5 for it."""
-    apart = (1 - similarity) / 2
-    most = int(np.ceil(n * apart + 4.3 * np.sqrt(n * apart * (1 - apart))))
-    differ = F.lit(0)
-    for i in range(n // 64):
-        differ = differ + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return differ <= most
-
-
 def band_keys(lows: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
     """One hash per band, of the band's smallest values: equal in a band for sets of Jaccard J at chance J ** band_rows."""
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(lows.reshape(bands, band_rows))], np.uint64)
@@ -327,15 +310,14 @@ def wanted_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
     return found.groupBy("tkey").agg(F.first("text").alias("text")).select("text")
 
 
-def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame, values: int | None = None) -> DataFrame:
-    """(digest, hashes) of the shingle sets of wanted_texts; with values, instead of the hashes the sketch of so many smallest values."""
-    made = (lambda s: signed64(s)) if values is None else lambda s: signed64(sketch_of(smallest(s, values))) if len(s) else None
+def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(digest, hashes) of the shingle sets of wanted_texts."""
 
     @F.pandas_udf("struct<digest:long,hashes:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in sliced(batches):
             sets = [shingle_set(t, shingle) for t in texts]
-            yield pd.DataFrame({"digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)), "hashes": [made(s) for s in sets]})
+            yield pd.DataFrame({"digest": signed64(np.array([set_digest(s) for s in sets], np.uint64)), "hashes": [signed64(s) for s in sets]})
 
     found = wanted_texts(docs, text_col, wanted)
     return found.select(of("text").alias("s")).select("s.*").dropDuplicates(["digest"])
@@ -354,6 +336,100 @@ def similar_links(docs: DataFrame, text_col: str, shingle: int, texts: DataFrame
     return links
 
 
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the sets numbered left share with those numbered right: products of 0-1 matrices, some columns at a time."""
+    sizes = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner, column = np.repeat(np.arange(len(sets)), sizes)[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n, step = int((times > 1).sum()), max(1, MATRIX // len(sets))
+    ends, counts = np.searchsorted(column, np.arange(0, n + step, step)), np.zeros((len(left), len(right)))
+    for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        has = np.zeros((len(sets), min(step, n - k * step)), np.float32)
+        has[owner[i:j], column[i:j] - k * step] = 1
+        counts += has[left] @ has[right].T
+    return counts
+
+
+def cell_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (src, dst), at most one per text, that connect what the similar pairs of a cell connect.
+
+    The texts of side 0 are compared with those of side 1, or with each other if all are of one side, unless they
+    have one root; similar means a Jaccard similarity of the whole sets from `similarity` on.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not len(left) or not len(right)
+    if within:
+        left = right = np.arange(len(ids))
+    sizes = np.array([len(s) for s in sets])
+    shared = shared_counts(sets, left, right)
+    near = shared >= similarity * (sizes[left][:, None] + sizes[right] - shared) - 1e-9
+    near &= roots[left][:, None] != roots[right]
+    i, j = np.nonzero(np.triu(near, 1) if within else near)
+    i, j = left[i], right[j]
+    least, before = np.arange(len(ids)), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        np.minimum.at(least, j, least[i])
+        np.minimum.at(least, i, least[j])
+    moved = least != np.arange(len(ids))
+    return ids[moved], ids[least[moved]]
+
+
+def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each value of `by` in one frame, of rows sorted by it."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if rows.empty:
+            continue
+        values = [rows[c].to_numpy() for c in by]
+        starts = [0, *(np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1).tolist(), len(rows)]
+        if held and any(held[-1][c].iloc[-1] != v[0] for c, v in zip(by, values, strict=True)):
+            yield pd.concat(held)
+            held = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            held.append(rows.iloc[a:b])
+            if b < len(rows):
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pd.concat(held)
+
+
+def open_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) that join the components (root) of members (key, x, root, home) whose sets are similar, key by key.
+
+    Of each key, the members outside its component `home` are compared with each other and with those inside. Both are
+    dealt out over blocks by a hash, and each pair of blocks is a cell of its own, of bounded size; a cell returns at
+    most a row per text, never pairs. sets: (digest, hashes) of every x.
+    """
+    sized = members.join(unsent(sets.select(F.col("digest").alias("x"), F.size("hashes").alias("size"))), "x").withColumn("inside", F.col("root") == F.col("home"))
+    blocks = lambda inside: F.ceil(F.greatest(F.count_if(inside) / BLOCK_TEXTS, F.sum(F.when(inside, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    counted = sized.groupBy("key").agg(blocks(F.col("inside")).alias("ins"), blocks(~F.col("inside")).alias("outs"))
+    own = F.pmod(F.xxhash64("x"), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
+    cell = lambda a, b, across, side: F.struct(a.alias("a"), b.alias("b"), F.lit(across).alias("across"), side.alias("side"))
+    outs, ins = F.sequence(F.lit(0), F.col("outs") - 1), F.sequence(F.lit(0), F.col("ins") - 1)
+    met = F.transform(outs, lambda o: cell(o, own, True, F.lit(1)))
+    meets = F.concat(
+        F.transform(outs, lambda o: cell(F.least(own, o), F.greatest(own, o), False, (own > o).cast("int"))),
+        F.transform(ins, lambda i: cell(own, i, True, F.lit(0))),
+    )
+    by = ["key", "a", "b", "across"]
+    cells = sized.join(unsent(counted), "key").select("key", "x", "root", F.explode(F.when(F.col("inside"), met).otherwise(meets)).alias("cell")).select("x", "root", "key", "cell.*")
+    dealt = cells.join(unsent(sets.select(F.col("digest").alias("x"), "hashes")), "x").repartition(*by).sortWithinPartitions(*by)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in runs(batches, by):
+            if len(rows) > 1:
+                src, dst = cell_links(rows["x"].to_numpy(), rows["root"].to_numpy(), rows["hashes"].tolist(), rows["side"].to_numpy(), similarity)
+                if len(src):
+                    yield pd.DataFrame({"src": src, "dst": dst})
+
+    return dealt.mapInPandas(compare, "src long, dst long")
+
+
 def fingerprint_pairs(texts: DataFrame, threshold: int, hot: int) -> DataFrame:
     """Pairs (x, y: digests) that the fingerprints tell of: equal ones with one of them, and those within threshold bits."""
     held = cut(texts.groupBy("fp").agg(F.min("digest").alias("y")), "held")
@@ -373,8 +449,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     A band's texts are first compared with one of them, drawn by hash, and of those each text with the one that it
     meets most often; then with the others that are still in other components; so a large group of copies becomes one
-    component in proportion to its rows. Then every other pair of a band that isn't yet in one component is compared,
-    unless their sketches of all smallest values differ by more than chance leaves to a pair at the similarity (1e-5).
+    component in proportion to its rows. Then every other pair of a band that isn't yet in one component is compared by
+    whole sets too, in cells of two blocks of bounded size that return no pairs. That part's arithmetic still grows with
+    the square of a group whose texts are alike, but not alike enough to join one component.
     Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), text_columns(F.col(text_col), shingle, bands, band_rows).alias("p"))
@@ -400,17 +477,14 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     sizes = stand.groupBy("key", "root").count()
     homes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1").select("key", "home")
     open_ = cut(stand.join(unsent(homes), "key"), "open")
-    ends = texts.join(unsent(open_.select(F.col("x").alias("digest")).distinct()), "digest", "left_semi")
-    sketches = cut(whole_sets(docs, text_col, shingle, ends.select("tkey"), SKETCHED), "sketches")
-    open_ = open_.join(unsent(sketches.select(F.col("digest").alias("x"), F.col("hashes").alias("sketch"))), "x")
-    other = open_.select(F.col("key").alias("key2"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
-    unlike = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("home")) | (F.col("x") < F.col("y")))
-    unlike = unlike & sketches_allow("sketch", "sketch2", SKETCHED, similarity)
-    rest = open_.where("root != home").join(unsent(other), (F.col("key") == F.col("key2")) & unlike)
-    rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    rest = cut(rest.join(unsent(pairs), ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        roots = connected_components(links.unionByName(similar_links(docs, text_col, shingle, texts, rest, similarity)))
+    if not open_.isEmpty():
+        ends = texts.join(unsent(open_.select(F.col("x").alias("digest")).distinct()), "digest", "left_semi")
+        sets = cut(whole_sets(docs, text_col, shingle, ends.select("tkey")), "sets")
+        rest = cut(open_links(open_, sets, similarity).distinct(), "rest")
+        release(sets)
+        sweep(docs)
+        if not rest.isEmpty():
+            roots = connected_components(links.unionByName(rest))
     classes = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
     least = classes.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
     told = cut(classes.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("digest2"), "component_id"), "classes")

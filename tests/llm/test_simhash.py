@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from corvane.llm.common import ship
-from corvane.llm.simhash import SKETCHED, drop_near_duplicates, near_duplicate_components, fingerprint, fingerprint_links, plan_partitions, simhash_components
+from corvane.llm.simhash import drop_near_duplicates, near_duplicate_components, fingerprint, fingerprint_links, plan_partitions, simhash_components
 
 
 def slow_print(text, k):
@@ -198,17 +198,44 @@ def test_long_texts_are_told_apart_by_their_whole_sets(spark):
     assert near_components(spark, rows) == brute_components(rows)
 
 
-def test_sketches_tell_the_similarity_of_sets_that_differ_in_few_shingles():
+def test_cells_join_the_components_whose_sets_are_similar(spark, monkeypatch):
     import numpy as np
 
-    from corvane.llm.simhash import sketch_of, smallest
-
-    rng = np.random.default_rng(3)
-    for n, own, alike in ((200, 22, 0.8), (900, 100, 0.8), (40, 20, 0.5), (300, 0, 1.0)):
-        off = []
-        for _ in range(60):
-            both = rng.integers(0, 2**64, n, np.uint64)
-            a, b = (sketch_of(smallest(np.r_[both, rng.integers(0, 2**64, own, np.uint64)], SKETCHED)) for _ in range(2))
-            off.append(np.bitwise_count(a ^ b).sum() / SKETCHED - (1 - n / (n + 2 * own)) / 2)
-        apart = (1 - alike) / 2
-        assert abs(np.mean(off)) < 0.01 and np.std(off) < 1.5 * np.sqrt(apart * (1 - apart) / SKETCHED) + 1e-9
+    from corvane.llm import simhash
+    from corvane.llm.components import connected_components
+
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 5)
+    monkeypatch.setattr(simhash, "MATRIX", 200)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63 - 1, 60)
+    sets = {i: np.unique(np.r_[rng.choice(base, 56, False), rng.integers(-(2**63), 2**63 - 1, 1 + i % 4)]) for i in range(40)}
+    root = {i: 0 if i < 12 else 30 if i in (30, 31) else i for i in sets}
+    keys = {7: list(range(40)), 8: [0, 1, 20], 9: [33, 34]}
+    members = [(k, i, root[i], max(set(root[i] for i in at), key=lambda r: (sum(root[i] == r for i in at), r))) for k, at in keys.items() for i in at]
+    links = simhash.open_links(
+        spark.createDataFrame(members, "key long, x long, root long, home long"),
+        spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "digest long, hashes array<long>"),
+        0.8,
+    ).collect()
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    like = {(i, j) for i in sets for j in sets if i < j and root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8}
+    assert 20 < len(like) < 600
+
+    def groups(pairs):
+        found = connected_components(spark.createDataFrame([*pairs, *((i, r) for i, r in root.items())], "src long, dst long"))
+        return {r.node: r.root for r in found.collect()}
+
+    assert groups([(r.src, r.dst) for r in links]) == groups(like)
+    assert all(i in sets and j in sets for i, j in ((r.src, r.dst) for r in links))
+
+
+def test_frames_of_a_key_that_spans_batches_stay_whole():
+    import pandas as pd
+
+    from corvane.llm.simhash import runs
+
+    rows = pd.DataFrame({"k": [1, 1, 2, 2, 2, 3], "a": [0, 0, 0, 0, 1, 1], "x": range(6)})
+    for size in range(1, 7):
+        batches = [rows.iloc[i : i + size] for i in range(0, 6, size)]
+        assert [f["x"].tolist() for f in runs(iter([rows.iloc[:0], *batches]), ["k", "a"])] == [[0, 1], [2, 3], [4], [5]]
+    assert list(runs(iter([]), ["k"])) == []
