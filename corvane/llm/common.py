@@ -97,3 +97,14 @@ def n_words(text: str | Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """cut, after which the shuffle files of the job that wrote the table are removed: nothing can read them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut(df, tag)
+    finally:
+        conf.set(key, before)
