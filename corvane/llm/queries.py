@@ -20,6 +20,8 @@ from .embedding_dedup import embedding_dedup
 from .importance import importance_resample
 from .importance import oracle as importance_oracle
 from .simhash import hex_print, simhash_components
+from .spelling import oracle as spelling_oracle
+from .spelling import spelling_variants
 from .token_count import count_tokens
 
 
@@ -83,12 +85,17 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing, op6_lm_scoring, op12_importance_resampling)
+    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing, op6_lm_scoring, op11_spelling_variants, op12_importance_resampling)
 }
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle(), "op9_source_mixing": mixing_oracle(), "op12_importance_resampling": importance_oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle(), "op9_source_mixing": mixing_oracle(), "op11_spelling_variants": spelling_oracle(), "op12_importance_resampling": importance_oracle()}
