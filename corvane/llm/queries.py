@@ -22,6 +22,8 @@ from .importance import oracle as importance_oracle
 from .simhash import hex_print, simhash_components
 from .spelling import oracle as spelling_oracle
 from .spelling import spelling_variants
+from .substring_dedup import oracle as repeats_oracle
+from .substring_dedup import without_repeats
 from .token_count import count_tokens
 
 
@@ -95,7 +97,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing, op6_lm_scoring, op11_spelling_variants, op12_importance_resampling)
+    f.__name__: f for f in (op1_simhash_dedup, op5_license_scan, op10_token_count, op3_embedding_dedup, op7_ann_search, op4_language_id, op8_quality_classifier, op9_source_mixing, op2_packing, op6_lm_scoring, op11_spelling_variants, op12_importance_resampling, op13_substring_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle(), "op9_source_mixing": mixing_oracle(), "op11_spelling_variants": spelling_oracle(), "op12_importance_resampling": importance_oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": ls.oracle(), "op9_source_mixing": mixing_oracle(), "op11_spelling_variants": spelling_oracle(), "op12_importance_resampling": importance_oracle(), "op13_substring_dedup": repeats_oracle()}
