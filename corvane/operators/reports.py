@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,11 +197,32 @@ def pool_ranks(rows: DataFrame, pool: str, score: str, order: str, gold: str) ->
 
 
 def combinations_of(rows: DataFrame, pool: str, member: str, k: int, most: int) -> DataFrame:
-    """The first `most` k-combinations of each pool's members in their order. Pools are small lists."""
-    listed = F.array_sort(F.collect_set(member))
-    out = rows.groupBy(pool).agg(listed.alias("_m")).select(pool, "_m", F.explode("_m").alias("_last"), ).withColumn("members", F.array("_last"))
-    for _ in range(k - 1):
-        out = out.select(pool, "_m", "members", F.explode(F.filter("_m", lambda x: x > F.element_at("members", -1))).alias("_last"))
-        out = out.withColumn("members", F.concat("members", F.array("_last")))
-    nth = F.row_number().over(Window.partitionBy(pool).orderBy("members"))
-    return out.withColumn("nth", nth).where(F.col("nth") <= most).select(pool, "nth", "members")
+    """(pool, nth, members): the first `most` k-combinations of each pool's distinct members, in the order of their members.
+
+    The nth one is told from n alone, by counting how many combinations begin with each choice, so no more than `most`
+    rows a pool ever exist. A pool is held as one sorted list.
+    """
+
+    @F.pandas_udf("array<int>")
+    def places(size: pd.Series, nth: pd.Series) -> pd.Series:
+        from math import comb
+
+        def unranked(n: int, at: int) -> list[int]:
+            out, c = [], 0
+            for left in range(k - 1, -1, -1):
+                while at >= (behind := comb(n - 1 - c, left)):
+                    at, c = at - behind, c + 1
+                out.append(c)
+                c += 1
+            return out
+
+        return pd.Series([unranked(n, at) for n, at in zip(size, nth, strict=True)])
+
+    pools = rows.groupBy(pool).agg(F.array_sort(F.collect_set(member)).alias("_m")).withColumn("_n", F.size("_m")).where(F.col("_n") >= k)
+    # as many as there are, or `most`: factors of the binomial coefficient, stopped once they pass it
+    ways = F.lit(1.0)
+    for i in range(k):
+        ways = ways * (F.col("_n") - i) / (i + 1)
+    nth = F.explode(F.sequence(F.lit(1), F.least(F.round(ways), F.lit(float(most))).cast("int"))).alias("nth")
+    out = pools.select(pool, "_m", "_n", nth).withColumn("_at", places("_n", F.col("nth") - 1))
+    return out.select(pool, "nth", F.transform("_at", lambda i: F.get("_m", i)).alias("members"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def item_means(rows: DataFrame, group: list[str], item: str, value: str) -> DataFrame:
     """Per group and item: mean, variance (sample) and number of the values that are not null."""
@@ -47,69 +49,6 @@ def normal_interval(rows: DataFrame, group: list[str], item: str, value: str, le
     return c.select(*group, "n_items", "mean", F.when(enough, F.col("mean") - half).alias("low"), F.when(enough, F.col("mean") + half).alias("high"), (~enough).alias("insufficient"))
 
 
-#: Repeats of an item up to which a draw resamples them one by one; beyond, the drawn mean is normal, which it then is nearly.
-RESAMPLED = 1024
-
-
-def drawn_means(values: np.ndarray, n: int, mean: float, var: float, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Means of resamples with replacement of n values; of their mean and population variance where they aren't listed."""
-    if n == 1:
-        return np.full(draws, mean)
-    if n > RESAMPLED:
-        return mean + np.sqrt(var / n) * rng.standard_normal(draws)
-    return rng.multinomial(n, np.full(n, 1 / n), draws) @ values / n
-
-
-def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, draws: int, seed: int) -> DataFrame:
-    """(group, draw, m): item-equal means of a two-stage resample, items first, then each item's own repeats.
-
-    Items get Poisson(1) weights and repeats are drawn with replacement, both by a generator seeded by the item's hash,
-    so a partition adds up `draws` weighted sums of its own items and only those are combined; no group is held whole.
-    A draw that weighs every item 0 has no mean.
-    """
-    own = rows.where(F.col(value).isNotNull()).select(*group, item, F.col(value).cast("double").alias("v"))
-    sums = own.groupBy(*group, item).agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.count("*").alias("n"))
-    keys_ = [*group, item]
-    small = own.join(sums.where(F.col("n") <= RESAMPLED).select(*keys_), keys_, "left_semi") if group else own.join(sums.where(F.col("n") <= RESAMPLED).select(item), item, "left_semi")
-    lists = small.groupBy(*keys_).agg(F.array_sort(F.collect_list("v")).alias("values"))  # of items with few repeats only
-    items = sums.join(lists, keys_, "left").withColumn("_seed", F.xxhash64(F.lit(seed), *group, item))
-    keys = {c: items.schema[c].dataType for c in group}
-
-    def gather(batches):
-        held: dict[tuple, np.ndarray] = {}
-        for part in batches:
-            for key, mine in part.groupby(group, dropna=False) if group else [((), part)]:
-                sums = held.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, draws)))
-                for v, n, m, s2, s in zip(mine["values"], mine["n"], mine["mean"], mine["var"], mine["_seed"], strict=True):
-                    rng = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF)
-                    w = rng.poisson(1.0, draws)
-                    sums[0] += w
-                    sums[1] += w * drawn_means(np.asarray(v if n <= RESAMPLED else [], float), n, m, s2, draws, rng)
-        for key, (w, x) in held.items():
-            yield pd.DataFrame({**{c: [k] * draws for c, k in zip(group, key, strict=True)}, "draw": np.arange(draws), "w": w, "x": x})
-
-    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in keys.items()) + (", " if keys else "") + "draw int, w double, x double"
-    drawn = items.select(*group, "values", "n", "mean", "var", "_seed").mapInPandas(gather, schema)
-    return drawn.groupBy(*group, "draw").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
-
-
-def bootstrap_interval(rows: DataFrame, group: list[str], item: str, value: str, draws: int = 2000, level: float = 0.95, seed: int = 1729) -> DataFrame:
-    """Percentile interval of the item-equal mean by bootstrap_draws, with the mean itself and the number of items."""
-    tail = (1 - level) / 2
-    drawn = bootstrap_draws(rows, group, item, value, draws, seed)
-    told = drawn.groupBy(*group).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    points = item_equal_mean(rows, group, item, value).select(*group, "mean", "n_items")
-    return told.join(points, group) if group else told.crossJoin(points)  # two single rows
-
-
-def mean_bootstrap(rows: DataFrame, group: list[str], key: str, value: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
-    """Percentile bootstrap of a mean over rows: the draws at places int(draws x 0.025) and int(draws x 0.975), from 0."""
-    drawn = bootstrap_draws(rows, group, key, value, draws, seed).where("m IS NOT NULL")
-    nth = drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("m", "draw")) - 1)  # `draws` rows a group
-    at = lambda p: F.max(F.when(F.col("nth") == int(draws * p), F.col("m")))
-    return nth.groupBy(*group).agg(at(0.025).alias("low"), F.coalesce(at(0.975), F.max("m")).alias("high"))
-
-
 def paired_differences(rows: DataFrame, model: str, item: str, value: str) -> DataFrame:
     """For each pair of models a < b: mean difference of item means over shared items, its normal interval, the winner."""
     means = item_means(rows, [model], item, value)
@@ -210,35 +149,6 @@ def required_reps(components: DataFrame, half_width: float, z: float = 1.96, lea
     return components.withColumn("reps", F.least(F.greatest(F.coalesce(need, F.lit(most)), F.lit(least)), F.lit(most)).cast("long")).withColumn("unreachable", room <= 0)
 
 
-def paired_bootstrap(rows: DataFrame, model: str, item: str, value: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
-    """For each pair of models a < b: mean difference over shared items, its percentile interval, and the two-sided p-value
-    of a paired Poisson bootstrap of the centred differences. Draws are added up per partition, as in bootstrap_draws; one
-    that weighs every item 0 counts for nothing."""
-    means = item_means(rows, [model], item, value)
-    a, b = means.select(F.col(model).alias("a"), F.col(item).alias("i"), F.col("item_mean").alias("x")), means.select(F.col(model).alias("b"), F.col(item).alias("j"), F.col("item_mean").alias("y"))
-    pairs = a.join(b, (F.col("i") == F.col("j")) & (F.col("a") < F.col("b"))).select("a", "b", (F.col("x") - F.col("y")).alias("d"), F.xxhash64(F.lit(seed), "i").alias("_seed"))
-    observed = pairs.groupBy("a", "b").agg(F.avg("d").alias("diff"), F.count("*").alias("n_items"))
-    centred = pairs.join(observed, ["a", "b"]).select("a", "b", (F.col("d") - F.col("diff")).alias("c"), "_seed")
-
-    def gather(batches):
-        held: dict[tuple, np.ndarray] = {}
-        for part in batches:
-            for key, own in part.groupby(["a", "b"]):
-                sums = held.setdefault(key, np.zeros((2, draws)))
-                for c, s in zip(own["c"], own["_seed"], strict=True):
-                    w = np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF).poisson(1.0, draws)
-                    sums += np.stack((w, w * c))
-        for (x, y), (w, v) in held.items():
-            yield pd.DataFrame({"a": x, "b": y, "draw": np.arange(draws), "w": w, "x": v})
-
-    types = {c: centred.schema[c].dataType.simpleString() for c in ("a", "b")}
-    drawn = centred.mapInPandas(gather, f"a {types['a']}, b {types['b']}, draw int, w double, x double").groupBy("a", "b", "draw").agg(F.try_divide(F.sum("x"), F.sum("w")).alias("m"))
-    at = lambda p: F.percentile(F.col("m") + F.col("diff"), F.lit(p))
-    return drawn.join(observed, ["a", "b"]).groupBy("a", "b", "diff", "n_items").agg(
-        F.avg((F.abs("m") >= F.abs("diff")).cast("double")).alias("p_value"), at(0.025).alias("low"), at(0.975).alias("high")
-    )
-
-
 def operating_point(curve: DataFrame, ceiling: float) -> DataFrame:
     """The row of the highest recall with false answers within the ceiling, the lowest threshold among equals; else zeros."""
     best = F.max_by(F.struct("threshold", "recall", "false_answer", "false_abstain"), F.struct("recall", -F.col("threshold")))
@@ -266,24 +176,53 @@ def score_separation(scored: DataFrame, group: str, score: str) -> DataFrame:
     return rows.groupBy(group).agg((best - F.avg(F.when(F.col("_nth") > 1, F.col(score)))).alias("top_to_rest"), (best - second).alias("top_to_second"))
 
 
-def discordance(rows: DataFrame, x: str, y: str, runs: int = 64) -> DataFrame:
-    """Share of pairs of rows that two scores order oppositely; ties are not discordant.
+def inversions_in_run():
+    """A function for the weight of a run's pairs of points (x, y, n) of which one has the smaller x and the larger y: a pass
+    for each bit of y's rank. It is made here so that workers need nothing but numpy and pandas."""
+
+    def count(points: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((points["y"], points["x"]))  # of equal x the smaller y first, so that those never count
+        rank = np.unique(points["y"].to_numpy()[order], return_inverse=True)[1]
+        n = points["n"].to_numpy(float)[order]
+        total = 0.0
+        for bit in range(int(rank.max()).bit_length()):
+            at = np.argsort(rank >> (bit + 1), kind="stable")
+            high = (rank[at] >> bit) & 1
+            before = np.cumsum(n[at] * high)
+            block = rank[at] >> (bit + 1)
+            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            base = np.repeat(np.r_[0.0, before[start[1:] - 1]], np.diff(np.r_[start, len(block)]))
+            total += float(np.sum(n[at] * (1 - high) * (before - base)))
+        return pd.DataFrame({"near": [total]})
+
+    return count
+
+
+def discordance(rows: DataFrame, x: str, y: str, run: int = 200_000) -> DataFrame:
+    """Share of pairs of rows that two scores order oppositely, and the number of pairs; ties are not discordant.
 
-    Rows with equal scores are one, of a weight. The rest is dealt into runs of each score's ranks: of two rows in
-    different runs of both, counts decide; rows of one run are compared inside it. Nothing is gathered whole.
+    Equal points are one, of a weight. Each score's range is cut at quantiles into runs of about `run` points, a value
+    that is a cut being a run of its own, in which nothing can be discordant. Pairs in different runs of both scores are
+    counted from the table of cells by prefix sums; those within one run of x, and those within one run of y across runs
+    of x, are counted inside the run, in n log n. No pair is a row. Nulls take no part.
     """
-    points = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
-    cuts = points.agg(F.percentile_approx("x", [i / runs for i in range(1, runs)]).alias("cx"), F.percentile_approx("y", [i / runs for i in range(1, runs)]).alias("cy"))
-    run_of = lambda c, value: F.size(F.filter(F.array_distinct(c), lambda v: v < value))
+    points = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n")), "points")
+    runs = max(2, -(-points.count() // run))
+    shares = [i / runs for i in range(1, runs)]
+    cuts = points.agg(F.percentile_approx("x", shares, 10 * runs).alias("cx"), F.percentile_approx("y", shares, 10 * runs).alias("cy"))
+    # below, at or above each cut: even numbers are the stretches between cuts, odd ones the cuts themselves
+    run_of = lambda c, v: F.size(F.filter(F.array_distinct(c), lambda k: k < v)) * 2 + F.array_contains(c, v).cast("int")
     placed = points.crossJoin(F.broadcast(cuts)).select("x", "y", "n", run_of(F.col("cx"), F.col("x")).alias("rx"), run_of(F.col("cy"), F.col("y")).alias("ry"))  # one row of cuts
-    cells = placed.groupBy("rx", "ry").agg(F.sum("n").alias("n"))  # runs x runs at most
-    a, b = cells.select(F.col("rx").alias("p"), F.col("ry").alias("q"), F.col("n").alias("m")), cells
-    far = b.join(F.broadcast(a), (F.col("rx") < F.col("p")) & (F.col("ry") > F.col("q"))).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).cast("double").alias("far"))
-    other = placed.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.col("rx").alias("rx2"), F.col("ry").alias("ry2"))
-    opposite = (F.col("x") < F.col("x2")) & (F.col("y") > F.col("y2"))
-    in_x = placed.join(other, (F.col("rx") == F.col("rx2")) & opposite)
-    in_y = placed.join(other, (F.col("ry") == F.col("ry2")) & (F.col("rx") != F.col("rx2")) & opposite)
-    near = in_x.select("n", "n2").unionByName(in_y.select("n", "n2")).agg(F.coalesce(F.sum(F.col("n") * F.col("n2")), F.lit(0)).cast("double").alias("near"))
+    cells = placed.groupBy("rx", "ry").agg(F.sum("n").cast("double").alias("n"))
+    grid = cells.select("rx").distinct().crossJoin(cells.select("ry").distinct())  # at most (2 runs) squared cells
+    full = grid.join(cells, ["rx", "ry"], "left").na.fill(0.0, ["n"])
+    left = F.coalesce(F.sum("n").over(Window.partitionBy("ry").orderBy("rx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    above = F.coalesce(F.sum("left").over(Window.partitionBy("rx").orderBy(F.desc("ry")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    far = full.withColumn("left", left).withColumn("above", above).agg(F.coalesce(F.sum(F.col("n") * F.col("above")), F.lit(0.0)).alias("far"))
+    count = inversions_in_run()
+    in_x = placed.where("rx % 2 = 0").groupBy("rx").applyInPandas(count, "near double")
+    in_y = placed.where("ry % 2 = 0").groupBy("ry", F.col("rx").cast("double").alias("x"), "y").agg(F.sum("n").alias("n")).groupBy("ry").applyInPandas(count, "near double")
+    near = in_x.unionByName(in_y).agg(F.coalesce(F.sum("near"), F.lit(0.0)).alias("near"))
     total = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
     pairs = (F.col("rows") * (F.col("rows") - 1) / 2).cast("long")
     return total.crossJoin(far).crossJoin(near).select(pairs.alias("pairs"), F.coalesce(F.try_divide(F.col("far") + F.col("near"), pairs.cast("double")), F.lit(0.0)).alias("divergence"))  # single rows

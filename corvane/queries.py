@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .functions import ranking as rk
 from .functions import scores as sc
 from .functions import text as tx
+from .operators import bootstrap as bs
+from .operators import calibration as cal
 from .operators import retrieval as rt
 from .operators import selection as sel
 from .operators import statistics as st
@@ -171,7 +173,7 @@ def normal_intervals(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return st.bootstrap_interval(t(spark, d, "events"), ["event_type"], "user_id", "value")
+    return bs.bootstrap_interval(t(spark, d, "events"), ["event_type"], "user_id", "value")
 
 
 @query(f"""WITH {VC}, q AS (SELECT *, 16.0::DOUBLE / (1.96 * 1.96) - between_ / n_items AS room FROM vc)
@@ -408,7 +410,7 @@ def sample_spread(spark, d):
 
 @query()
 def paired_p_values(spark, d):
-    return st.paired_bootstrap(t(spark, d, "events"), "event_type", "user_id", "value")
+    return bs.paired_bootstrap(t(spark, d, "events"), "event_type", "user_id", "value")
 
 
 CURVE = """c AS (SELECT unnest(range(0, 300, 10))::DOUBLE AS threshold), k AS (SELECT threshold, count(*) FILTER (event_type <> 'error' AND value >= threshold) / count(*) FILTER (event_type <> 'error')::DOUBLE AS recall,

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators import bootstrap as bs
 from .operators import planning as pl
 from .operators import reports as rp
 from .operators import selection as sel
@@ -323,4 +324,4 @@ def running_counters(spark, d):
 
 @query()
 def mean_intervals(spark, d):
-    return st.mean_bootstrap(events(spark, d), ["event_type"], "event_id", "value")
+    return bs.mean_bootstrap(events(spark, d), ["event_type"], "event_id", "value")

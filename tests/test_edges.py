@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators.retrieval import knn
 from corvane.operators.selection import largest_remainder
-from corvane.operators.statistics import bootstrap_interval, discordance, paired_bootstrap
+from corvane.operators.bootstrap import bootstrap_interval, paired_bootstrap
+from corvane.operators.statistics import discordance
 from corvane.sources.corpus import latest_keys
 
 
@@ -54,4 +55,4 @@ def test_discordance_equals_all_pairs(spark):
     rng = np.random.default_rng(2)
     points = rng.integers(0, 30, (200, 2)).astype(float)
     want = sum((a[0] - b[0]) * (a[1] - b[1]) < 0 for i, a in enumerate(points) for b in points[:i]) / (200 * 199 / 2)
-    assert abs(discordance(spark.createDataFrame(points.tolist(), "x double, y double"), "x", "y", runs=5).first().divergence - want) < 1e-9
+    assert abs(discordance(spark.createDataFrame(points.tolist(), "x double, y double"), "x", "y", run=40).first().divergence - want) < 1e-9

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from corvane import queries_more, queries_reports, queries_scoring  # noqa: F401  they add theirs
 from corvane.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
