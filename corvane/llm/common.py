@@ -100,11 +100,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """cut, after which the shuffle files of the job that wrote the table are removed: nothing can read them again."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
+    """cut, after which the shuffle files of the job that wrote the table are removed: nothing can read them again. Files
+    are compressed more tightly than by default."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
     try:
-        return cut(df, tag)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(key, before)
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -155,10 +155,10 @@ def candidates(texts: DataFrame, hits: DataFrame, window: int, cell_bits: int) -
             return around(group.slice(0, 0), hit)
         row, doc, at, k1, k2 = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((at, doc, k2, k1))
-        row, doc, at, k1, k2 = row[order], doc[order], at[order], k1[order], k2[order]
-        new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc != doc[head]) | (at != at[head])
+        new = np.r_[True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])]
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = np.zeros(len(order), dtype=bool)  # in the rows' own order, which is what packs well
+        later[order] = (doc[order] != doc[head]) | (at[order] != at[head])
         keys = [pa.array(k.view(np.int64), mask=later) for k in (k1, k2)]
         return pa.table([pa.array(row), pa.array(doc), pa.array(at), *keys], names=["row", "doc", "at", "k1", "k2"])
 
