@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .functions import text as tx
 from .operators import calibration as cal
 from .operators import similarity as sim
-from .queries import query, r6, t
+from .queries import VC, query, r6, t
+from .shared import scratch
+from .sources import published
+from .streaming import keyed, live
 
 #: Newton steps that the SQL takes for a calibration; beyond about ten nothing moves.
 NEWTON = 14
@@ -36,3 +40,61 @@ def similar_parts(spark, d):
     rows = t(spark, d, "part").select("p_partkey", F.concat(F.split(whole, " "), F.array(F.concat(F.lit("size"), F.floor(F.col("p_size") / 5).cast("string")))).alias("tokens"))
     edges, _ = sim.similarity_edges(rows, "p_partkey", "tokens", 0.6)
     return edges.select("a", "b", *r6("jaccard"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS changed, o_totalprice > 150000 AS dear FROM orders),
+e AS (SELECT * FROM o WHERE changed < '1998-01-01'), s AS (SELECT (SELECT count(*) FROM e) AS early, (SELECT max(changed) FROM e) AS early_mark, (SELECT count(*) FROM o) AS every, (SELECT max(changed) FROM o) AS mark, (SELECT count(*) FROM o WHERE dear) AS dear)
+SELECT 1 AS step, 'promoted' AS status, early::BIGINT AS indexed, 0::BIGINT AS skipped, early::BIGINT AS live_rows, early_mark AS live_mark FROM s
+UNION ALL SELECT 2, 'unchanged', 0, 0, early, early_mark FROM s UNION ALL SELECT 3, 'kept', every - dear, dear, early, early_mark FROM s
+UNION ALL SELECT 4, 'empty', 0, 0, early, early_mark FROM s UNION ALL SELECT 5, 'kept', every, 0, early, early_mark FROM s UNION ALL SELECT 6, 'promoted', every, 0, every, mark FROM s""")
+def published_orders(spark, d):
+    """An index of orders rebuilt six times: promoted, unchanged, held back by skipped rows, empty, short of what was expected, promoted."""
+    root = f"{scratch(spark)}/published-{uuid.uuid4().hex}"
+    orders = t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("changed"), (F.col("o_totalprice") > 150000).alias("dear"))
+    early, plain = orders.where("changed < '1998-01-01'"), lambda rows: rows.withColumn("skip_reason", F.lit(None).cast("string"))
+    picky = lambda rows: rows.withColumn("skip_reason", F.when(F.col("dear"), "too dear"))
+    steps = [(early, plain, None), (early, plain, None), (orders, picky, None), (orders.where(F.lit(False)), plain, None), (orders, plain, 10**12), (orders, plain, None)]
+    told = []
+    for i, (rows, index, expected) in enumerate(steps, 1):
+        done = published.rebuild(rows, root, "changed", index, expected)
+        now = published.pointer(spark, root)
+        told.append((i, done.status, done.indexed, done.skipped, published.live(spark, root).count(), now["mark"]))
+    return spark.createDataFrame(told, "step int, status string, indexed long, skipped long, live_rows long, live_mark string")
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS nth FROM events)
+SELECT user_id, event_type, event_id, value FROM l WHERE nth = 1""")
+def upserted_events(spark, d):
+    """Each user's and type's event after three batches, one of them handed over twice with other rows, and a compaction."""
+    root = f"{scratch(spark)}/keyed-{uuid.uuid4().hex}"
+    rows = t(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    key, sink = ["user_id", "event_type"], keyed.upsert_sink(root, ["user_id", "event_type"], ["ts", "event_id"])
+    for n in (0, 1):
+        sink(rows.where(F.col("event_id") % 3 == n), n)
+    sink(rows.withColumn("value", F.lit(-1.0)), 1)  # it has been in already
+    keyed.compact(spark, root, key, rows.schema)
+    sink(rows.withColumn("value", F.lit(-1.0)), 0)
+    sink(rows.where(F.col("event_id") % 3 == 2), 2)
+    return keyed.current(spark, root, key, rows.schema).select("user_id", "event_type", "event_id", "value")
+
+
+@query("""WITH plan AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events))
+SELECT p.* FROM plan p ANTI JOIN (SELECT user_id, event_type FROM events WHERE value <= 10) e USING (user_id, event_type)""")
+def unfinished_trials(spark, d):
+    e = t(spark, d, "events")
+    types = e.select("event_type").distinct().agg(F.collect_list("event_type").alias("types"))  # a handful of types
+    planned = e.select("user_id").distinct().crossJoin(F.broadcast(types)).select("user_id", F.explode("types").alias("event_type"))
+    return keyed.unfinished(planned, e, ["user_id", "event_type"], F.col("value") > 10)
+
+
+@query(f"""WITH e2 AS (SELECT * FROM events WHERE value IS NOT NULL), {VC.replace('FROM events WHERE value IS NOT NULL', 'FROM e2')}, h AS (SELECT *, 1.959963984540054 * sqrt(between_ / n_items + within / n_trials) AS half FROM vc)
+SELECT event_type, n_items::BIGINT AS n_items, n_trials::BIGINT AS n_trials, round(mean, 6) AS mean, round(mean - half, 6) AS low, round(mean + half, 6) AS high, n_items < 2 AS insufficient, false AS blended FROM h""")
+def live_intervals(spark, d):
+    """Intervals after the events have come in as three micro-batches."""
+    root = f"{scratch(spark)}/live-{uuid.uuid4().hex}"
+    e = t(spark, d, "events").select("event_type", "user_id", "value", F.lit("full").alias("kind"), (F.col("event_id") % 3).alias("part"))
+    for n in range(3):
+        e.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/log")
+    stream = spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    out = live.live_intervals(stream, ["event_type"], "kind", "user_id", "value", f"{root}/state")
+    return out.select("event_type", "n_items", "n_trials", *r6("mean", "low", "high"), "insufficient", "blended")

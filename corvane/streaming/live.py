@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import scratch
+from .keyed import store, stored
 
 
 def once_each(stream: DataFrame, key: list[str], time: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -36,3 +40,88 @@ def run_available(aggregate: DataFrame, mode: str = "complete") -> DataFrame:
     query.awaitTermination()
     last = query.lastProgress["batchId"]
     return spark.read.schema(aggregate.schema).parquet(f"{base}/state-{last}")
+
+
+#: What a group's interval is made of, as sums over its items: of trials, of each item's mean, of r m, r m^2, of squares
+#: within, of r^2 (r: an item's trials, m: its mean).
+SUMS = ["items", "trials", "means", "rm", "rmm", "within", "rr"]
+
+
+def interval_changes(stream: DataFrame, group: list[str], kind: str, item: str, value: str) -> DataFrame:
+    """(group, kind, a change of each of SUMS): what the rows of a micro-batch change in the sums of their groups.
+
+    State is kept per item (trials, sum, sum of squares), on whichever executor has the item; a group's sums change by
+    the difference between what its item gave before and gives now. Null values are skipped.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = {c: stream.schema[c].dataType.simpleString() for c in [*group, kind]}
+    keys = [*group, kind]
+
+    class Items(StatefulProcessor):
+        def init(self, handle):
+            self.state = handle.getValueState("item", "r long, s double, q double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            r, s, q = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
+            old = told(r, s, q)
+            for part in rows:
+                v = part["v"].to_numpy(float)
+                r, s, q = r + len(v), s + float(v.sum()), q + float((v * v).sum())
+            self.state.update((r, s, q))
+            yield pd.DataFrame({**{c: [k] for c, k in zip(keys, key)}, **{n: [float(b - a)] for n, a, b in zip(SUMS_, old, told(r, s, q))}})
+
+        def close(self):
+            pass
+
+    def told(r, s, q):
+        return (1, r, s / r, s, s * s / r, q - s * s / r, r * r) if r else (0,) * 7
+
+    SUMS_ = list(SUMS)
+    rows = stream.where(F.col(value).isNotNull()).select(*keys, F.col(item).alias("i"), F.col(value).cast("double").alias("v"))
+    schema = ", ".join(f"{c} {n}" for c, n in names.items()) + ", " + ", ".join(f"{n} double" for n in SUMS)
+    return rows.groupBy(*keys, "i").transformWithStateInPandas(Items(), schema, "Update", "None")
+
+
+def intervals(changes: DataFrame, group: list[str], kind: str, level: float = 0.95, least_items: int = 2) -> DataFrame:
+    """Per group the item-equal mean and its normal interval, from all changes so far.
+
+    blended: the group holds several kinds of question, which no average should blend; it has no mean then. insufficient:
+    under least_items items there is a mean but no interval. An item belongs to one kind.
+    """
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    by_kind = changes.groupBy(*group, kind).agg(*[F.sum(c).alias(c) for c in SUMS])
+    t = by_kind.groupBy(*group).agg(*[F.sum(c).alias(c) for c in SUMS], F.count("*").alias("kinds"))
+    n, trials = F.col("items"), F.col("trials")
+    within = F.coalesce(F.try_divide(F.col("within"), trials - n), F.lit(0.0))
+    between_ms = F.try_divide(F.col("rmm") - F.col("rm") * F.col("rm") / trials, n - 1)
+    between = F.greatest(F.coalesce(F.try_divide(between_ms - within, F.try_divide(trials - F.col("rr") / trials, n - 1)), F.lit(0.0)), F.lit(0.0))
+    half, blended, enough = z * F.sqrt(between / n + within / trials), F.col("kinds") > 1, n >= least_items
+    mean = F.when(~blended, F.col("means") / n)
+    return t.select(*group, n.cast("long").alias("n_items"), trials.cast("long").alias("n_trials"), mean.alias("mean"), F.when(enough, mean - half).alias("low"), F.when(enough, mean + half).alias("high"), (~enough).alias("insufficient"), blended.alias("blended"))
+
+
+def live_intervals(stream: DataFrame, group: list[str], kind: str, item: str, value: str, root: str, after: Callable[[int], None] | None = None) -> DataFrame:
+    """Runs over what the stream's source holds now; the intervals over all rows so far, from a table of changes in root.
+
+    Each micro-batch adds a few sums per group, once: a batch that comes again after a failure is the same batch.
+    after(batch) is called when a batch is in.
+    """
+    spark: SparkSession = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    changes = interval_changes(stream, group, kind, item, value)
+    schema = changes.schema
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        store(rows.groupBy(*group, kind).agg(*[F.sum(c).alias(c) for c in SUMS]), batch, root)
+        if after:
+            after(batch)
+
+    try:
+        query = changes.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return intervals(stored(spark, root, schema), group, kind)
