@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..shared import written
+from ..shared import dropped, written
 
 
 def scoped(docs: DataFrame, wanted: dict[str, str | list[str] | None], everyone: str = "all") -> DataFrame:
@@ -28,41 +28,74 @@ def top_k(scored: DataFrame, k: int, by: list[str], group: str = "query_id") ->
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, term, tf): term counts of each document and its length in words, written once and read by each leg.
+class Postings(NamedTuple):
+    """Term counts of the documents for the terms of some queries: (row, doc_id, n, term, tf), n being the document's length
+    in words; how many documents there are in all, and their mean length."""
 
-    Every document also has the empty term once, so that lengths and documents without words are counted from here.
-    Counts combine before the shuffle.
+    rows: DataFrame
+    docs: int
+    mean: float
+
+
+#: Rows up to which a table of query terms is broadcast; beyond, Spark joins it like any other.
+TERMS = 200_000
+
+
+def bounded(small: DataFrame, n: int) -> DataFrame:
+    """small, broadcast if its n rows are within TERMS."""
+    return F.broadcast(small) if n <= TERMS else small
+
+
+def query_terms(queries: DataFrame, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    return queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("term"))
+
+
+def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Postings:
+    """Postings of docs for terms (query_id, term), in one pass over the texts.
+
+    Words that no query asks for go before anything is shuffled; what is shuffled and written grows with the hits. The
+    number of documents and their lengths are observed in the same pass. Rows of equal ids are documents of their own;
+    null and empty texts are documents without words.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("doc_id", F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
-    return written(rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")), "postings")
+    wanted = terms.select("term").distinct()
+    seen = Observation()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    rows = rows.observe(seen, F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean"))
+    held = rows.select("row", "doc_id", F.size("w").alias("n"), F.explode("w").alias("term")).join(bounded(wanted, wanted.count()), "term", "left_semi")
+    out = written(held.groupBy("row", "doc_id", "n", "term").agg(F.count("*").alias("tf")), "postings")
+    return Postings(out, seen.get["docs"], seen.get["mean"] or 0.0)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75, posted: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75, posted: Postings | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25 with idf ln(1 + (N - df + .5) / (df + .5)), ties to the smaller id.
 
-    Only terms that some query holds leave the documents' scan: postings are cut down by a semi join before they are
-    counted and joined. Document frequencies are read off the same postings.
+    Postings are dealt by document once; scores are added up where the document lies, and each task keeps its k best a
+    query before those meet. Postings made here are deleted at the end, those that are given are not.
     """
-    terms = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(words(F.col(query_text)))).alias("term"))
-    wanted = terms.select("term").distinct()
-    post = postings(docs, doc_col, text_col) if posted is None else posted  # each text is split once
-    lengths = post.where("term = ''").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    held = post.join(wanted, "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(lengths)  # lengths is one row
-    idf = frequency.select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    hits = held.join(terms.join(idf, "term"), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")), k, ["-score", "doc_id"])
+    terms = query_terms(queries, query_col, query_text)
+    post = postings(docs, terms, doc_col, text_col) if posted is None else posted
+    idf = F.log(1 + (F.lit(post.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = terms.join(post.rows.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", idf.alias("idf"))
+    hits = post.rows.repartition("row").join(bounded(asked, terms.count()), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(post.mean or 1.0)))
+    scored = hits.groupBy("row", "query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).drop("row")
+    out = top_k(scored, k, ["-score", "doc_id"])
+    if posted is None:
+        out = written(out, "bm25")
+        dropped(post.rows)
+    return out
 
 
-def overlap(docs: DataFrame, queries: DataFrame, k: int = 10, posted: DataFrame | None = None) -> DataFrame:
+def overlap(docs: DataFrame, queries: DataFrame, k: int = 10, posted: Postings | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by the number of distinct words shared."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    rows = (postings(docs, "doc_id", "text") if posted is None else posted).select("doc_id", "term")
-    hits = rows.join(terms.select("term").distinct(), "term", "left_semi").join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return top_k(hits, k, ["-score", "doc_id"])
+    terms = query_terms(queries)
+    post = postings(docs, terms) if posted is None else posted
+    hits = post.rows.select("row", "doc_id", "term").repartition("row").join(bounded(terms, terms.count()), "term")
+    out = top_k(hits.groupBy("row", "query_id", "doc_id").agg(F.count("*").cast("double").alias("score")).drop("row"), k, ["-score", "doc_id"])
+    if posted is None:
+        out = written(out, "overlap")
+        dropped(post.rows)
+    return out
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", where: str | None = None, batch: int = 2048) -> DataFrame:

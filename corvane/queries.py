@@ -5,6 +5,7 @@ Events stand for a trial log (event_type: model, user_id: item, value: score), b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from .operators import retrieval as rt
 from .operators import selection as sel
 from .operators import statistics as st
 from .plans.hybrid import hybrid_search
+from .shared import scratch
 from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +68,7 @@ def questions(spark, d):
 
 def legs(spark, d):
     docs, ask = t(spark, d, "documents"), questions(spark, d)
-    posted = rt.postings(docs, "doc_id", "text")
+    posted = rt.postings(docs, rt.query_terms(ask))
     return rt.bm25(docs, ask, 20, posted=posted), rt.overlap(docs, ask, 20, posted=posted)
 
 
@@ -104,9 +106,21 @@ def lexical_rerank_top5(spark, d):
     return rt.lexical_rerank(pool, F.col("q"), F.col("text"), 5).select("query_id", "doc_id", "arm_rank", "rerank_score", "rank")
 
 
-@query()
+@query(f"""WITH {BM25}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+k AS (SELECT item_id AS query_id, x.vec_id AS doc_id, round(list_cosine_similarity(q.e, x.e), 9) AS score FROM benchmark JOIN v q ON q.vec_id = item_id JOIN v x ON x.vec_id IN (SELECT doc_id FROM documents) AND x.vec_id <> item_id),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 20),
+f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY ALL),
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS arm_rank FROM f QUALIFY arm_rank <= 20),
+x AS (SELECT query_id, a.doc_id, arm_rank, len(list_intersect({W.format('b.text')}, w)) AS shared FROM a JOIN benchmark b ON item_id = query_id JOIN d USING (doc_id))
+SELECT query_id, doc_id, CASE WHEN shared = 0 THEN -5.0 ELSE shared END::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, arm_rank)::INTEGER AS rank FROM x QUALIFY rank <= 5""")
 def hybrid_top5(spark, d):
-    return hybrid_search(t(spark, d, "documents"), questions(spark, d))
+    """Documents and questions go by the vector of their number; results are kept and asked for twice."""
+    v = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    docs = t(spark, d, "documents").join(v, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "text", "vector")
+    ask = questions(spark, d).join(v, F.col("query_id") == F.col("vec_id"), "left").select("query_id", "text", "vector")
+    memo = f"{scratch(spark)}/memo-{uuid.uuid4().hex}"
+    hybrid_search(docs, ask.where("query_id % 2 = 0"), memo=memo)
+    return hybrid_search(docs, ask, memo=memo)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
