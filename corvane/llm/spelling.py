@@ -74,7 +74,7 @@ def light_entries(words: DataFrame) -> DataFrame:
     ends = words.select(F.col("word").alias("stem"), F.lit(None).cast("string").alias("letter"), F.lit(0).cast("long").alias("size"))
     best = F.max(F.when(F.col("letter").isNotNull(), F.struct("size", (-F.ascii("letter")).alias("low"), "letter")))
     forks = nodes.unionByName(ends).groupBy("stem").agg(best.alias("best"), F.count("*").alias("ways")).where("ways > 1 AND best IS NOT NULL")
-    forks = forks.select(F.col("stem").alias("_stem"), F.col("best.letter").alias("heavy"))
+    forks = settled(forks.select(F.col("stem").alias("_stem"), F.col("best.letter").alias("heavy")), "forks")  # a table of its own, so that the join's crowded stems can be split
     leaving = steps.select("stem", "letter", F.expr("substring(word, depth + 2)").alias("rest"), "word", "n")
     leaving = leaving.unionByName(words.select(F.col("word").alias("stem"), F.lit(None).cast("string").alias("letter"), F.lit("").alias("rest"), "word", "n"))
     return leaving.join(forks, (F.col("stem") == F.col("_stem")) & ((F.col("letter") != F.col("heavy")) | F.col("letter").isNull())).drop("_stem")
