@@ -57,11 +57,11 @@ def ideal_text(wants: Column, gold: Column) -> Column:
     return F.array_join(F.filter(F.concat(F.array(full(wants)), bodies), lambda b: b.isNotNull()), "\n\n")
 
 
-def used_fragments(answer: Column, ids: Column, texts: Column, least: int = 2, share: float = 0.5) -> Column:
-    """Ids that the answer cites; without any, those of which some sentence has `least` words and `share` of its own."""
+def used_fragments(answer: Column, ids: Column, texts: Column, stop: list[str] = (), least: int = 2, share: float = 0.5) -> Column:
+    """Ids that the answer cites; without any, those of which some sentence has `least` content words and `share` of its own."""
     cited = cited_places(answer, ids)
-    sentences = sentence_words(answer)
-    pairs = F.arrays_zip(ids.alias("id"), F.transform(texts, lambda t: F.array_distinct(words(t))).alias("w"))
+    sentences = sentence_words(answer, stop)
+    pairs = F.arrays_zip(ids.alias("id"), F.transform(texts, lambda t: content_words(t, stop)).alias("w"))
 
     def hit(p: Column) -> Column:
         shared = lambda s: F.size(F.array_intersect(s, p["w"]))
@@ -109,29 +109,45 @@ def reference_kind(turn: Column, kind: Column) -> Column:
     return F.when(kind == "none", "abstention").when(turn <= 1, "gold").otherwise("wants")
 
 
-def coverage(reference: Column, answer: Column, texts: Column, stop: list[str]) -> tuple[Column, Column, Column]:
-    """Context precision, context recall, factuality by shared content words, to four places; null without a reference.
+def coverage(reference: Column, texts: Column, stop: list[str]) -> tuple[Column, Column]:
+    """Context precision and recall by content words, to four places; null without a reference, 0 without texts.
 
-    A text is relevant if it shares a word with the reference; recall is the reference's share of words that some text
-    has; factuality the answer's share of words that some text has.
+    A text is relevant if it shares a word with the reference; recall is the share of the reference's words that the
+    texts have between them.
     """
-    ref, held = content_words(reference, stop), F.array_distinct(F.flatten(F.transform(texts, lambda t: content_words(t, stop))))
+    ref, held = content_words(reference, stop), _held(texts, stop)
     relevant = F.size(F.filter(texts, lambda t: F.arrays_overlap(content_words(t, stop), ref)))
-    part = lambda a, b: F.bround(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 4)
-    said = content_words(answer, stop)
-    out = part(relevant, F.size(texts)), part(F.size(F.array_intersect(ref, held)), F.size(ref)), part(F.size(F.array_intersect(said, held)), F.size(said))
+    out = _share(relevant, F.size(texts)), _share(F.size(F.array_intersect(ref, held)), F.size(ref))
     return tuple(F.when(F.size(ref) > 0, x) for x in out)
 
 
-def grounded_fraction(texts: Column, answer: Column, least: float = 0.4) -> Column:
-    """Share of the texts of which the answer has at least `least` of the distinct words; 0 without texts."""
-    said = F.array_distinct(words(answer))
+def cross_checks(answer: Column, reference: Column, texts: Column, stop: list[str]) -> tuple[Column, Column]:
+    """Faithfulness (share of the answer's content words that the texts have; 1 for an answer without any, which claims
+    nothing) and factual correctness (share of the reference's words that the answer has; null without a reference)."""
+    said, ref = content_words(answer, stop), content_words(reference, stop)
+    faithful = F.when(F.size(said) == 0, 1.0).otherwise(_share(F.size(F.array_intersect(said, _held(texts, stop))), F.size(said)))
+    return faithful, F.when(F.size(ref) > 0, _share(F.size(F.array_intersect(ref, said)), F.size(ref)))
+
+
+def _held(texts: Column, stop: list[str]) -> Column:
+    return F.array_distinct(F.flatten(F.transform(texts, lambda t: content_words(t, stop))))
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.bround(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 4)
+
+
+def grounded_fraction(texts: Column, answer: Column, stop: list[str] = (), least: float = 0.4) -> Column:
+    """Share of the texts that are not blank of which the answer has at least `least` of the content words; 0 without texts
+    or without content words in the answer."""
+    said = content_words(answer, stop)
+    full = F.filter(texts, lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")
 
     def held(t: Column) -> Column:
-        own = F.array_distinct(words(t))
-        return (F.size(own) > 0) & (F.size(F.array_intersect(own, said)) >= least * F.size(own))
+        own = content_words(t, stop)
+        return (F.size(own) > 0) & (F.size(said) > 0) & (F.size(F.array_intersect(own, said)) >= least * F.size(own))
 
-    return F.coalesce(F.try_divide(F.size(F.filter(texts, held)).cast("double"), F.size(texts).cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.size(F.filter(full, held)).cast("double"), F.size(full).cast("double")), F.lit(0.0))
 
 
 def bag_of_words(text: Column, slots: int = 32) -> Column:
@@ -141,9 +157,9 @@ def bag_of_words(text: Column, slots: int = 32) -> Column:
 
 
 def gain(base: Column, new: Column) -> tuple[Column, Column]:
-    """Absolute gain, and in per cent of the base: infinite for a gain on a base of 0 or less, 0 without gain."""
+    """Absolute gain, and in per cent of the base: infinite for any base of 0 or less. A null has no gain."""
     up = new - base
-    return up, F.when(base > 0, 100 * up / F.when(base > 0, base)).when(up > 0, F.lit(float("inf"))).otherwise(0.0)
+    return up, F.when(base > 0, 100 * up / F.when(base > 0, base)).when(base <= 0, F.lit(float("inf")))
 
 
 def log_safe(ms: Column, floor: float = 1.0) -> Column:

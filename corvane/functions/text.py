@@ -19,9 +19,9 @@ def content_words(text: Column, stop: list[str]) -> Column:
     return F.array_distinct(F.array_except(words(text), F.array(*[F.lit(w) for w in stop]).cast("array<string>")))
 
 
-def sentence_words(text: Column) -> Column:
-    """Word sets of the sentences, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.array_distinct(words(s))), lambda w: F.size(w) > 0)
+def sentence_words(text: Column, stop: list[str] = ()) -> Column:
+    """Content word sets of the sentences, empty ones left out."""
+    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: content_words(s, stop)), lambda w: F.size(w) > 0)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -65,6 +65,22 @@ def token_estimate(text: Column, chars_per_token: float) -> Column:
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / F.lit(chars_per_token)).cast("long")
 
 
+def pair_totals(question: Column, texts: Column, chars_per_token: float, limit: int) -> dict[str, Column]:
+    """Of a question and the texts to rank for it: tokens by estimate in all and at most, the largest pair of question and
+    text, how many pairs are over the limit, and bytes. No texts: zeros."""
+    asked, sizes = token_estimate(question, chars_per_token), F.transform(texts, lambda t: token_estimate(t, chars_per_token))
+    none = F.lit(0).cast("long")
+    return {
+        "tokens": F.aggregate(sizes, none, lambda a, x: a + x), "longest": F.coalesce(F.array_max(sizes), none), "pair_longest": F.coalesce(F.array_max(sizes) + asked, none),
+        "over": F.size(F.filter(sizes, lambda x: x + asked > limit)).cast("long"), "bytes": F.aggregate(texts, none, lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0))),
+    }
+
+
+def rank_input(texts: Column, most: int = 32_000) -> Column:
+    """Copies of the texts to hand to a reranker, cut to `most` characters; a null text is empty."""
+    return F.transform(texts, lambda t: F.left(F.coalesce(t, F.lit("")), F.lit(most)))
+
+
 def key_hash(*parts: Column, n: int = 16) -> Column:
     """First n hex digits of the SHA-256 of the parts joined by the unit separator."""
     return F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(n))

@@ -119,14 +119,19 @@ def mean_bootstrap(rows: DataFrame, group: list[str], key: str, value: str, draw
     return drawn.groupBy(*group).agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def difference_bootstrap(rows: DataFrame, group: list[str], item: str, value: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
+    """Per group of differences: their mean, its percentile interval, and the two-sided p-value: the share of resamples whose
+    mean lies as far from the observed one as that does from 0."""
+    observed = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(group)]).agg(F.avg(value).alias("diff"), F.count("*").alias("n_items"))
+    drawn = bootstrap_draws(rows, group, item, value, draws, seed).join(observed, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(group)])
+    at = lambda p: F.percentile("m", F.lit(p))
+    return drawn.groupBy(*group, "diff", "n_items").agg(
+        F.avg((F.abs(F.col("m") - F.col("diff")) >= F.abs("diff") * F.lit(1 - 1e-12)).cast("double")).alias("p_value"), at(0.025).alias("low"), at(0.975).alias("high"))
+
+
 def paired_bootstrap(rows: DataFrame, model: str, item: str, value: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
-    """For each pair of models a < b: mean difference of item means over shared items, its percentile interval, and the
-    two-sided p-value: the share of resamples whose mean lies as far from the observed one as that does from 0."""
+    """For each pair of models a < b: difference_bootstrap of their item means over shared items."""
     means = item_means(rows, [model], item, value)
     a, b = means.select(F.col(model).alias("a"), F.col(item).alias("i"), F.col("item_mean").alias("x")), means.select(F.col(model).alias("b"), F.col(item).alias("j"), F.col("item_mean").alias("y"))
     pairs = a.join(b, (F.col("i") == F.col("j")) & (F.col("a") < F.col("b"))).select("a", "b", "i", (F.col("x") - F.col("y")).alias("d"))
-    observed = pairs.groupBy("a", "b").agg(F.avg("d").alias("diff"), F.count("*").alias("n_items"))
-    at = lambda p: F.percentile("m", F.lit(p))
-    return bootstrap_draws(pairs, ["a", "b"], "i", "d", draws, seed).join(observed, ["a", "b"]).groupBy("a", "b", "diff", "n_items").agg(
-        F.avg((F.abs(F.col("m") - F.col("diff")) >= F.abs("diff") * F.lit(1 - 1e-12)).cast("double")).alias("p_value"), at(0.025).alias("low"), at(0.975).alias("high")
-    )
+    return difference_bootstrap(pairs, ["a", "b"], "i", "d", draws, seed)

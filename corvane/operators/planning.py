@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import unused
+from .ordering import running
+
 
 def rungs(strata: DataFrame, name: str, size: str, total: int) -> DataFrame:
     """strata with seats: one each as far as total goes, the rest by spare size, leftovers to the largest spare sizes.
@@ -32,39 +35,61 @@ def strides(n: int, axis: dict[str, int]) -> list[Column]:
     return out
 
 
-def sized_strata(components: DataFrame, half_width: float, budget: int, z: float = 1.96, least: int = 2, most: int = 50) -> DataFrame:
-    """Components per stratum (n_items, between, within) with reps, scaled down together where they exceed the budget."""
+def sized_strata(components: DataFrame, half_width: float, budget: int, z: float = 1.96, least: int = 2, most: int = 50, multi: Column | None = None, multi_floor: int = 2) -> DataFrame:
+    """Components per stratum (n_items, between, within) with reps, scaled down together where they exceed the budget, to no
+    fewer than `least`. Strata of several turns (multi) need at least multi_floor before that. One row a stratum."""
     room = F.lit(half_width**2 / z**2) - F.col("between") / F.col("n_items")
     need = F.when(room > 0, F.ceil(F.col("within") / (F.col("n_items") * F.when(room > 0, room))))
     out = components.withColumn("needed", F.least(F.greatest(F.coalesce(need, F.lit(most)), F.lit(least)), F.lit(most)).cast("long"))
+    if multi is not None:
+        out = out.withColumn("needed", F.when(multi, F.greatest("needed", F.lit(multi_floor))).otherwise(F.col("needed")).cast("long"))
     trials = F.sum(F.col("needed") * F.col("n_items")).over(Window.partitionBy())
     scaled = F.greatest(F.floor(F.col("needed") * F.lit(float(budget)) / trials), F.lit(least)).cast("long")
     return out.withColumn("reps", F.when(trials > budget, scaled).otherwise(F.col("needed")))
 
 
-def promotion(diff: Column, low: Column, n: Column, least_gain: float, least_n: int) -> Column:
-    """promote, hold or reject a challenger by its paired difference, the interval's lower bound and the items."""
-    return F.when(n < least_n, "hold").when((low > 0) & (diff >= least_gain), "promote").when(diff <= 0, "reject").otherwise("hold")
+def promotion(champion: Column, challenger: Column, threshold: float, usable: Column) -> Column:
+    """Whether a challenger takes the champion's place: it is usable and better by at least the threshold. Nothing else
+    decides; a null score or a null usable does not promote."""
+    return F.coalesce(usable & (challenger - champion >= threshold), F.lit(False))
 
 
-def escalates(mean: Column, half_width: Column, champion: float, losses: Column, limit: int) -> Column:
-    """Whether a variant goes to the next rung: its upper bound reaches the champion and it has not lost too often."""
-    return (mean + half_width >= champion) & (losses < limit)
+def escalates(score: Column, prior: Column, half_width: Column, improved: Column, slack: float = 1.0) -> Column:
+    """Whether a champion goes to the next rung: there was a promotion at this one, and its score is no more than `slack` half
+    widths below that of the rung before; a null prior (the first rung) asks for the promotion only."""
+    return F.coalesce(improved & (prior.isNull() | (score >= prior - slack * half_width)), F.lit(False))
 
 
-def tournament(variants: DataFrame, variant: str, mean: str, half_width: str, levers: str) -> DataFrame:
-    """The winner: of those whose interval reaches the best mean, the one with the fewest levers, then the best mean."""
-    top = variants.agg(F.max(mean).alias("_top"))
-    tied = variants.crossJoin(F.broadcast(top)).where(F.col(mean) + F.col(half_width) >= F.col("_top"))  # top is one row
-    return tied.orderBy(levers, F.desc(mean), variant).limit(1).drop("_top")
+def tournament(variants: DataFrame, variant: str, score: str, half_width: str, threshold: float) -> DataFrame:
+    """The winner, a row with tie: by score, then the smaller half width, then the smaller variant; tie if it is not ahead of
+    the next by the threshold. Variants without a score take no part. Only the best two are compared."""
+    best = variants.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc_nulls_last(half_width), variant).limit(2)
+    two = best.agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(half_width).alias("h"), F.col(variant).alias("v")))).alias("l")).where(F.size("l") > 0)
+    first, second = F.col("l")[0], F.get("l", F.lit(1))
+    # a null half width sorts first in an array and last above: of equal scores the row with one is taken
+    swap = second.isNotNull() & (first["s"] == second["s"]) & first["h"].isNull() & second["h"].isNotNull()
+    won = F.when(swap, second).otherwise(first)
+    return two.select(won["v"].alias(variant), (-won["s"]).alias(score), won["h"].alias(half_width), F.coalesce(second["s"] - first["s"] < threshold, F.lit(False)).alias("tie"))
 
 
-def spec_pairs(edges: DataFrame, a: str, b: str, topic_a: str, topic_b: str, personas: list[str]) -> DataFrame:
-    """edges with their place (those across topics first) and a persona in turn. A bounded list of related pairs."""
-    order = F.row_number().over(Window.orderBy((F.col(topic_a) == F.col(topic_b)).cast("int"), a, b))
-    return edges.withColumn("place", order).withColumn("persona", F.element_at(F.array(*[F.lit(p) for p in personas]), F.pmod(F.col("place") - 1, F.lit(len(personas))) + 1))
+def ladder(items: DataFrame, stratum: str, order: list[str], totals: list[int]) -> DataFrame:
+    """items of the ladder with rung, the first (from 0) that holds them: each rung takes `totals` items in all, shared out by
+    rungs, and of each stratum a prefix of its order, so that a rung holds all that the rungs before it hold."""
+    sizes = items.groupBy(stratum).agg(F.count("*").alias("size"))
+    seats = None
+    for i, total in enumerate(totals):
+        one = rungs(sizes, stratum, "size", total).select(F.col(stratum).alias("_s"), F.lit(i).alias("_i"), F.col("seats").alias("_n"))
+        seats = one if seats is None else seats.unionByName(one)
+    seats = seats.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_i", "_n"))).alias("_l"))  # a rung a row
+    nth, most, name = unused(items, "nth"), unused(items, "seats"), unused(items, "stratum")
+    held = items.join(seats.select(F.col("_s").alias(name), F.transform("_l", lambda x: x["_n"]).alias(most)), F.col(stratum).eqNullSafe(F.col(name))).drop(name)
+    placed = held.withColumn(nth, F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    rung = F.array_position(F.transform(most, lambda n: n >= F.col(nth)), True) - 1
+    return placed.withColumn("rung", rung.cast("int")).where("rung >= 0").select(*items.columns, "rung")
 
 
-def catalog(spark, entries: list[tuple[str, str, int, bool]]) -> DataFrame:
-    """(metric, family, priority, in_scope) as a table."""
-    return spark.createDataFrame(entries, "metric string, family string, priority int, in_scope boolean")
+def spec_pairs(edges: DataFrame, a: str, b: str, topic_a: str, topic_b: str, personas: list[str]) -> DataFrame:
+    """edges with their place (those across topics first, then by ends) and a persona in turn. Ends tell edges apart."""
+    across = unused(edges, "across")
+    placed = running(edges.withColumn(across, (F.col(topic_a) == F.col(topic_b)).cast("int")), [], [across, a, b], "place").drop(across)
+    return placed.withColumn("place", (F.col("place") + 1).cast("int")).withColumn("persona", F.element_at(F.array(*[F.lit(p) for p in personas]), F.pmod(F.col("place") - 1, F.lit(len(personas))) + 1))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import unused, written
+from .ordering import running
 
 
 def item_means(rows: DataFrame, group: list[str], item: str, value: str) -> DataFrame:
@@ -67,65 +68,80 @@ def pareto(points: DataFrame, quality: str, cost: str) -> DataFrame:
     The best quality at each cost is compared with the running best of lower costs, so no pair of points is formed.
     Points are one per model, a bounded list.
     """
-    best = points.where(F.col(cost).isNotNull()).groupBy(F.col(cost).alias("_cost")).agg(F.max(quality).alias("_best"))
-    best = best.withColumn("_before", F.max("_best").over(Window.orderBy("_cost").rowsBetween(Window.unboundedPreceding, -1)))
-    front = (F.col(quality) == F.col("_best")) & (F.col("_before").isNull() | (F.col(quality) > F.col("_before")))
-    return points.join(best, F.col(cost) == F.col("_cost"), "left").withColumn("on_front", F.coalesce(front, F.lit(False))).drop("_cost", "_best", "_before")
+    at, top, before = (unused(points, c) for c in ("cost", "best", "before"))
+    best = points.where(F.col(cost).isNotNull()).groupBy(F.col(cost).alias(at)).agg(F.max(quality).alias(top))
+    best = best.withColumn(before, F.max(top).over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)))
+    front = (F.col(quality) == F.col(top)) & (F.col(before).isNull() | (F.col(quality) > F.col(before)))
+    return points.join(best, F.col(cost) == F.col(at), "left").withColumn("on_front", F.coalesce(front, F.lit(False))).drop(at, top, before)
 
 
 def nearest_ranks(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Per group sorted[int(share x n)] for each name: share; from counts of equal values, so no group is gathered."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).count()
-    w = Window.partitionBy(*group)
-    placed = counts.withColumns({"_to": F.sum("count").over(w.orderBy(value)), "_n": F.sum("count").over(w)})
-    at = lambda p: F.min(F.when(F.col("_to") > F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
+    """Per group sorted[int(share x n)] for each name: share; from running counts of equal values, so no group is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_count"))
+    placed = running(counts, group, [value], "_to", F.col("_count"), "_n")
+    at = lambda p: F.min(F.when(F.col("_to") + F.col("_count") > F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
     return placed.groupBy(*group).agg(*[at(p).alias(n) for n, p in shares.items()])
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """sorted[int(share x n)] of a gathered array (small groups; use percentile for large ones)."""
-    s = F.sort_array(values)
-    return F.get(s, F.least(F.floor(F.size(s) * share), F.size(s) - 1).cast("int"))
+#: What a question can be: nothing answers it; something does and was found; something does but was not found.
+UNANSWERABLE, RETRIEVABLE, NOT_RETRIEVED = "unanswerable", "answerable_retrievable", "answerable_not_retrieved"
 
 
-def abstention_curve(rows: DataFrame, score: str, answerable: str, thresholds: list[float]) -> DataFrame:
-    """Per threshold: share of answerable rows answered, of unanswerable ones answered, of answerable ones held back.
+def abstention_curve(rows: DataFrame, score: str, kind: str, thresholds: list[float], group: list[str] = ()) -> DataFrame:
+    """Per group and threshold, rows whose score is below it being held back: recall (share of unanswerable rows held back),
+    false_answer (share of them answered), false_abstain (share of retrievable rows held back).
 
-    Each row is counted once, by how many of the sorted thresholds its score reaches; curves are running sums of those.
+    Answerable rows whose answer was not found take no part, nor do null scores; a share of nothing is 0. Each row is
+    counted once, by how many of the sorted thresholds its score reaches; curves are running sums of those counts.
     """
     steps = sorted(set(thresholds))
     reached = sum(((F.col(score) >= t).cast("int") for t in steps), F.lit(0))
-    counts = rows.where(F.col(score).isNotNull()).groupBy(reached.alias("k")).agg(F.sum(F.col(answerable).cast("long")).alias("a"), F.sum((~F.col(answerable)).cast("long")).alias("u"))
-    listed = counts.agg(F.collect_list(F.struct("k", "a", "u")).alias("c"))  # as long as the thresholds
-    over = lambda f, at: F.aggregate(F.filter("c", lambda x: x["k"] > at), F.lit(0).cast("long"), lambda s, x: s + x[f])
-    lines = listed.select("c", F.posexplode(F.array(*[F.lit(float(t)) for t in steps])).alias("i", "threshold"))
-    n_a, n_u = over("a", F.lit(-1)), over("u", F.lit(-1))
+    is_a = lambda k: F.sum((F.col(kind) == k).cast("long"))
+    counts = rows.where(F.col(score).isNotNull()).groupBy(*group, reached.alias("k")).agg(is_a(UNANSWERABLE).alias("u"), is_a(RETRIEVABLE).alias("r"))
+    listed = counts.groupBy(*group).agg(F.collect_list(F.struct("k", "u", "r")).alias("c"))  # as long as the thresholds
+    to = lambda f, at: F.aggregate(F.filter("c", lambda x: x["k"] <= at), F.lit(0).cast("long"), lambda s, x: s + x[f])
+    lines = listed.select(*group, "c", F.posexplode(F.array(*[F.lit(float(t)) for t in steps])).alias("i", "threshold"))
     share = lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(0.0))
-    a_in, u_in = over("a", F.col("i")), over("u", F.col("i"))
-    return lines.select("threshold", share(a_in, n_a).alias("recall"), share(u_in, n_u).alias("false_answer"), share(n_a - a_in, n_a).alias("false_abstain"))
+    n_u, n_r, u, r = to("u", F.lit(len(steps))), to("r", F.lit(len(steps))), to("u", F.col("i")), to("r", F.col("i"))
+    return lines.select(*group, "threshold", share(u, n_u).alias("recall"), share(n_u - u, n_u).alias("false_answer"), share(r, n_r).alias("false_abstain"))
 
 
-def win_rates(verdicts: DataFrame, a: str, b: str, winner: str) -> DataFrame:
-    """(model, other, games, rate): wins and half the ties over games, for each ordered pair; a null winner is a tie."""
+def win_rates(verdicts: DataFrame, a: str, b: str, winner: str, models: DataFrame | None = None) -> DataFrame:
+    """(model, other, games, rate): wins and half the ties over games, for each ordered pair; a null winner is a tie.
+
+    With models (a column model, a short list) every ordered pair of them has a row, 0.5 where they never met.
+    """
     won = lambda me: F.when(F.col(winner).isNull(), 0.5).when(F.col(winner) == F.col(me), 1.0).otherwise(0.0)
     both = verdicts.select(F.col(a).alias("model"), F.col(b).alias("other"), won(a).alias("w")).unionByName(verdicts.select(F.col(b).alias("model"), F.col(a).alias("other"), won(b).alias("w")))
-    return both.groupBy("model", "other").agg(F.count("*").alias("games"), F.avg("w").alias("rate"))
+    met = both.groupBy("model", "other").agg(F.count("*").alias("games"), F.avg("w").alias("rate"))
+    if models is None:
+        return met
+    names = models.select("model").distinct()
+    grid = names.crossJoin(F.broadcast(names.withColumnRenamed("model", "other"))).where("model <> other")  # models squared
+    return grid.join(met, ["model", "other"], "left").na.fill({"games": 0, "rate": 0.5})
+
 
+def pooled_scores(rates: DataFrame) -> DataFrame:
+    """(model, games, score): wins and half the ties over all games of a model against everyone; 0.5 without games."""
+    score = F.coalesce(F.try_divide(F.sum(F.col("rate") * F.col("games")), F.sum("games").cast("double")), F.lit(0.5))
+    return rates.groupBy("model").agg(F.sum("games").alias("games"), score.alias("score"))
 
-def agreement(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Spearman (average ranks), Pearson, mean absolute difference; null correlations for constants or under two rows.
+
+def agreement(rows: DataFrame, group: list[str], x: str, y: str, least: float = 0.6) -> DataFrame:
+    """Spearman (average ranks), Pearson, mean absolute difference; null correlations for constants or under two rows; low
+    where Spearman is null or under `least`.
 
     Ranks come from counts of equal values, summed in order, so ties of any size are one row.
     """
-    base = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    base = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, *dict.fromkeys([x, y]))
     for c in (x, y):
-        n = base.groupBy(*group, c).count()
-        w = Window.partitionBy(*group).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = n.withColumn(f"_r{c}", F.coalesce(F.sum("count").over(w), F.lit(0)) + (F.col("count") + 1) / 2).drop("count")
+        ranks = running(base.groupBy(*group, c).agg(F.count("*").alias("_count")), group, [c], "_before", F.col("_count"))
+        ranks = ranks.select(*group, c, (F.col("_before") + (F.col("_count") + 1) / 2).alias(f"_r{c}"))
         base = base.join(ranks, [*group, c])
+
     def corr(a: str, b: str) -> Column:
         return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return base.groupBy(*group).agg(F.count("*").alias("n"), corr(f"_r{x}", f"_r{y}").alias("spearman"), corr(x, y).alias("pearson"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae"))
+    return base.groupBy(*group).agg(F.count("*").alias("n"), corr(f"_r{x}", f"_r{y}").alias("spearman"), corr(x, y).alias("pearson"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae")).withColumn("low", F.coalesce(F.col("spearman") < least, F.lit(True)))
 
 
 def trend(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -149,11 +165,14 @@ def required_reps(components: DataFrame, half_width: float, z: float = 1.96, lea
     return components.withColumn("reps", F.least(F.greatest(F.coalesce(need, F.lit(most)), F.lit(least)), F.lit(most)).cast("long")).withColumn("unreachable", room <= 0)
 
 
-def operating_point(curve: DataFrame, ceiling: float) -> DataFrame:
-    """The row of the highest recall with false answers within the ceiling, the lowest threshold among equals; else zeros."""
-    best = F.max_by(F.struct("threshold", "recall", "false_answer", "false_abstain"), F.struct("recall", -F.col("threshold")))
-    one = curve.where(F.col("false_answer") <= ceiling).agg(best.alias("b"))
-    return one.select(*[F.coalesce(f"b.{c}", F.lit(0.0)).alias(c) for c in ("threshold", "recall", "false_answer", "false_abstain")])
+def operating_point(curve: DataFrame, ceiling: float, group: list[str] = ()) -> DataFrame:
+    """Per group the point of the highest recall with false answers within the ceiling, the lowest threshold among equals;
+    zeros where none is within it."""
+    names = ("threshold", "recall", "false_answer", "false_abstain")
+    within = F.col("false_answer") <= ceiling
+    best = F.max_by(F.struct(*names), F.when(within, F.struct("recall", -F.col("threshold"))))
+    one = curve.groupBy(*group).agg(F.when(F.bool_or(within), best).alias("b"))
+    return one.select(*group, *[F.coalesce(f"b.{c}", F.lit(0.0)).alias(c) for c in names])
 
 
 def merge_orders(verdicts: DataFrame, pair: list[str], winner: str, confidence: str) -> DataFrame:

@@ -16,6 +16,7 @@ from .functions import scores as sc
 from .functions import text as tx
 from .operators import bootstrap as bs
 from .operators import calibration as cal
+from .operators import reports as rp
 from .operators import retrieval as rt
 from .operators import selection as sel
 from .operators import statistics as st
@@ -30,7 +31,7 @@ WORDS = W.format("text")
 MEANS = "means AS (SELECT event_type, user_id, avg(value) AS m, coalesce(var_samp(value), 0) AS v, count(value) AS r FROM events WHERE value IS NOT NULL GROUP BY ALL)"
 VC = MEANS + """, s AS (SELECT event_type, count(*) AS n_items, sum(r) AS n_trials, avg(m) AS mean, sum(r * m) / sum(r) AS grand, sum(v * (r - 1)) AS ssw, sum(r * m * m) AS ssa, sum(r * r) AS sq FROM means GROUP BY 1),
 vc AS (SELECT *, ssw / (n_trials - n_items) AS within, greatest(((ssa - n_trials * grand * grand) / (n_items - 1) - ssw / (n_trials - n_items)) / ((n_trials - sq / n_trials) / (n_items - 1)), 0) AS between_ FROM s)"""
-LISTS = """lists AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS every, list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 20) AS g FROM events WHERE ts < '2024-01-02' GROUP BY 1),
+LISTS = """lists AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS every, list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 20) AS g FROM events GROUP BY 1),
 l AS (SELECT user_id, every AS ranked, coalesce(g, []) AS gold FROM lists)"""
 BM25 = f"""qt AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS})) AS term FROM benchmark),
 d AS (SELECT doc_id, {WORDS} AS w FROM documents), c AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
@@ -138,11 +139,11 @@ def hard_negatives(spark, d):
 
 
 def ranked_lists(spark, d):
-    """Each user's first day of events in order of time, and the larger purchases of it as what is relevant."""
+    """Each user's events in order of time, and the larger purchases among them as what is relevant."""
     e = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
     g = F.array_sort(F.collect_list(F.when((F.col("event_type") == "purchase") & (F.col("value") > 20), F.struct("ts", "event_id"))))
     ids = lambda c: F.transform(c, lambda x: x["event_id"])
-    return t(spark, d, "events").where("ts < '2024-01-02'").groupBy("user_id").agg(e.alias("e"), g.alias("g")).select("user_id", ids(F.col("e")).alias("ranked"), ids(F.col("g")).alias("gold"))
+    return t(spark, d, "events").groupBy("user_id").agg(e.alias("e"), g.alias("g")).select("user_id", ids(F.col("e")).alias("ranked"), ids(F.col("g")).alias("gold"))
 
 
 @query(f"""WITH {LISTS}, h AS (SELECT user_id, ranked, gold, list_transform(ranked, lambda x: list_contains(gold, x)::INTEGER) AS hit, len(gold) AS ng FROM l)
@@ -226,13 +227,24 @@ def high_variance(spark, d):
     return st.high_variance_items(t(spark, d, "events"), ["event_type"], "user_id", "value", 40).select("event_type", "user_id", *r6("sd"), "reps")
 
 
-@query("""WITH th AS (SELECT unnest([10.0, 50.0, 100.0, 200.0])::DOUBLE AS threshold)
-SELECT threshold, round(count(*) FILTER (event_type <> 'error' AND value >= threshold) / count(*) FILTER (event_type <> 'error')::DOUBLE, 6) AS recall,
-round(count(*) FILTER (event_type = 'error' AND value >= threshold) / count(*) FILTER (event_type = 'error')::DOUBLE, 6) AS false_answer,
-round(count(*) FILTER (event_type <> 'error' AND value < threshold) / count(*) FILTER (event_type <> 'error')::DOUBLE, 6) AS false_abstain FROM events, th GROUP BY 1""")
+#: The kinds of question that events stand for: nothing answers an error, what a click asks for was not found.
+KINDS = "CASE event_type WHEN 'error' THEN 'unanswerable' WHEN 'click' THEN 'answerable_not_retrieved' ELSE 'answerable_retrievable' END"
+
+
+def kinds(spark, d):
+    kind = F.when(F.col("event_type") == "error", "unanswerable").when(F.col("event_type") == "click", "answerable_not_retrieved").otherwise("answerable_retrievable")
+    return t(spark, d, "events").select("event_id", "user_id", "value", kind.alias("kind"))
+
+
+def sql_curve(thresholds: str) -> str:
+    return f"""e AS (SELECT value, {KINDS} AS kind FROM events), th AS (SELECT unnest({thresholds})::DOUBLE AS threshold),
+k AS (SELECT threshold, count(*) FILTER (kind = 'unanswerable' AND value < threshold) / count(*) FILTER (kind = 'unanswerable')::DOUBLE AS recall, count(*) FILTER (kind = 'unanswerable' AND value >= threshold) / count(*) FILTER (kind = 'unanswerable')::DOUBLE AS false_answer,
+count(*) FILTER (kind = 'answerable_retrievable' AND value < threshold) / count(*) FILTER (kind = 'answerable_retrievable')::DOUBLE AS false_abstain FROM e, th GROUP BY 1)"""
+
+
+@query(f"WITH {sql_curve('[10.0, 50.0, 100.0, 200.0]')} SELECT threshold, round(recall, 6) AS recall, round(false_answer, 6) AS false_answer, round(false_abstain, 6) AS false_abstain FROM k")
 def abstention(spark, d):
-    e = t(spark, d, "events").select("value", (F.col("event_type") != "error").alias("answerable"))
-    return st.abstention_curve(e, "value", "answerable", [10.0, 50.0, 100.0, 200.0]).select("threshold", *r6("recall", "false_answer", "false_abstain"))
+    return st.abstention_curve(kinds(spark, d), "value", "kind", [10.0, 50.0, 100.0, 200.0]).select("threshold", *r6("recall", "false_answer", "false_abstain"))
 
 
 VERDICTS = "verdicts AS (SELECT x.event_type AS a, y.event_type AS b, CASE WHEN x.m > y.m THEN x.event_type WHEN y.m > x.m THEN y.event_type END AS w FROM means x JOIN means y ON x.user_id = y.user_id AND x.event_type < y.event_type)"
@@ -250,6 +262,14 @@ def win_matrix(spark, d):
     return st.win_rates(verdicts(spark, d), "a", "b", "w").select("model", "other", "games", *r6("rate"))
 
 
+@query(f"""WITH {MEANS}, {VERDICTS}, u AS (SELECT a AS model, CASE WHEN w IS NULL THEN 0.5 WHEN w = a THEN 1 ELSE 0 END AS s FROM verdicts UNION ALL SELECT b, CASE WHEN w IS NULL THEN 0.5 WHEN w = b THEN 1 ELSE 0 END FROM verdicts)
+SELECT model, count(*)::BIGINT AS games, round(avg(s), 6)::DOUBLE AS score FROM u GROUP BY ALL UNION ALL SELECT 'unplayed', 0, 0.5""")
+def pooled_win_scores(spark, d):
+    """Every model's score over all of its games; one that never played has half."""
+    models = t(spark, d, "events").select(F.col("event_type").alias("model")).distinct().unionByName(spark.createDataFrame([("unplayed",)], "model string"))
+    return st.pooled_scores(st.win_rates(verdicts(spark, d), "a", "b", "w", models)).select("model", "games", *r6("score"))
+
+
 @query(f"""WITH {MEANS}, {VERDICTS}, c AS (SELECT a, b, count(*) FILTER (w = a) AS hits, count(*) AS n FROM verdicts GROUP BY ALL), p AS (SELECT *, hits / n::DOUBLE AS p, 1.96 AS z FROM c)
 SELECT a, b, n::BIGINT AS n, round(greatest((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 0), 6) AS low, round(least((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 1), 6) AS high FROM p""")
 def wilson_intervals(spark, d):
@@ -261,10 +281,10 @@ def wilson_intervals(spark, d):
 RANKED = "rows_ AS (SELECT l_returnflag AS g, l_quantity AS x, round(l_extendedprice, -3) AS y FROM lineitem), k AS (SELECT g, x, y, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry FROM rows_)"
 
 
-@query(f"WITH {RANKED} SELECT g, count(*)::BIGINT AS n, round(corr(rx, ry), 6) AS spearman, round(corr(x, y), 6) AS pearson, round(avg(abs(x - y)), 4) AS mae FROM k GROUP BY 1")
+@query(f"WITH {RANKED} SELECT g, count(*)::BIGINT AS n, round(corr(rx, ry), 6) AS spearman, round(corr(x, y), 6) AS pearson, round(avg(abs(x - y)), 4) AS mae, coalesce(corr(rx, ry) < 0.6, true) AS low FROM k GROUP BY 1")
 def rank_agreement(spark, d):
     rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.round("l_extendedprice", -3).alias("y"))
-    return st.agreement(rows, ["g"], "x", "y").select("g", "n", *r6("spearman", "pearson"), F.round("mae", 4).alias("mae"))
+    return st.agreement(rows, ["g"], "x", "y").select("g", "n", *r6("spearman", "pearson"), F.round("mae", 4).alias("mae"), "low")
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
@@ -273,9 +293,14 @@ def trend_lines(spark, d):
     return o.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "n")
 
 
-@query("""SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS n_items, min(ts) AS first, max(ts) AS last, round(sum(value), 4) AS total, count(*) FILTER (value > 100)::BIGINT AS large FROM events GROUP BY 1""")
+@query("""WITH c AS (SELECT l_returnflag AS model, l_shipmode AS kind, count(*) AS n FROM (SELECT l_returnflag, CASE WHEN l_quantity > 25 THEN 'large' ELSE 'small' END AS l_shipmode FROM lineitem) GROUP BY ALL), m AS (SELECT model, map_from_entries(list((kind, n) ORDER BY kind)) AS kind_counts FROM c GROUP BY 1)
+SELECT l_returnflag, count(*)::BIGINT AS n_trials, count(DISTINCT l_orderkey)::BIGINT AS n_items, round(avg(l_quantity), 6)::DOUBLE AS l_quantity_mean, quantile_cont(l_quantity, 0.5)::DOUBLE AS l_quantity_p50, quantile_cont(l_quantity, 0.9)::DOUBLE AS l_quantity_p90, quantile_cont(l_quantity, 0.95)::DOUBLE AS l_quantity_p95,
+round(avg(l_extendedprice), 4)::DOUBLE AS mean_l_extendedprice, round(avg(l_discount), 6)::DOUBLE AS mean_l_discount, any_value(kind_counts['large'])::BIGINT AS large, any_value(kind_counts['small'])::BIGINT AS small FROM lineitem JOIN m ON model = l_returnflag GROUP BY 1""")
 def model_cards(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_items"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.round(F.sum("value"), 4).alias("total"), F.count(F.when(F.col("value") > 100, 1)).alias("large"))
+    rows = t(spark, d, "lineitem").withColumn("kind", F.when(F.col("l_quantity") > 25, "large").otherwise("small"))
+    cards = rp.model_cards(rows, "l_returnflag", "l_orderkey", ["l_quantity"], ["l_extendedprice"], ["l_discount"], ["kind"])
+    spread = [f"l_quantity_{x}" for x in ("p50", "p90", "p95")]
+    return cards.select("l_returnflag", "n_trials", "n_items", *r6("l_quantity_mean"), *spread, F.round("mean_l_extendedprice", 4).alias("mean_l_extendedprice"), *r6("mean_l_discount"), F.col("kind_counts")["large"].alias("large"), F.col("kind_counts")["small"].alias("small"))
 
 
 @query("SELECT event_id, CASE WHEN value IS NOT NULL THEN round(avg(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) END AS moving_mean FROM events")
@@ -382,11 +407,11 @@ def scoped_documents(spark, d):
     return rt.scoped(docs, {"langs": "en", "sources": ["src1"], "unknown": "x", "text": None}, everyone="src0").select("doc_id", "source", "lang")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def pending_customers(spark, d):
     from .sources.logs import pending
 
-    return pending(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return pending(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, max(value) AS highest FROM events GROUP BY 1")
@@ -427,15 +452,10 @@ def paired_p_values(spark, d):
     return bs.paired_bootstrap(t(spark, d, "events"), "event_type", "user_id", "value")
 
 
-CURVE = """c AS (SELECT unnest(range(0, 300, 10))::DOUBLE AS threshold), k AS (SELECT threshold, count(*) FILTER (event_type <> 'error' AND value >= threshold) / count(*) FILTER (event_type <> 'error')::DOUBLE AS recall,
-count(*) FILTER (event_type = 'error' AND value >= threshold) / count(*) FILTER (event_type = 'error')::DOUBLE AS false_answer FROM events, c GROUP BY 1)"""
-
-
-@query(f"WITH {CURVE} SELECT threshold, round(recall, 6) AS recall, round(false_answer, 6) AS false_answer FROM k WHERE false_answer <= 0.3 ORDER BY k.recall DESC, threshold LIMIT 1")
+@query(f"WITH {sql_curve('range(0, 300, 10)')} SELECT threshold, round(recall, 6) AS recall, round(false_answer, 6) AS false_answer, round(false_abstain, 6) AS false_abstain FROM k WHERE false_answer <= 0.3 ORDER BY k.recall DESC, threshold LIMIT 1")
 def operating_point(spark, d):
-    e = t(spark, d, "events").select("value", (F.col("event_type") != "error").alias("answerable"))
-    curve = st.abstention_curve(e, "value", "answerable", [float(x) for x in range(0, 300, 10)])
-    return st.operating_point(curve, 0.3).select("threshold", *r6("recall", "false_answer"))
+    curve = st.abstention_curve(kinds(spark, d), "value", "kind", [float(x) for x in range(0, 300, 10)])
+    return st.operating_point(curve, 0.3).select("threshold", *r6("recall", "false_answer", "false_abstain"))
 
 
 @query("""WITH o AS (SELECT user_id, event_type AS m, CASE WHEN value > 50 THEN 'a' WHEN value > 20 THEN 'b' END AS w, value FROM events)
@@ -507,11 +527,11 @@ def joined_totals(spark, d):
     return t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce(F.round("spent", 4), F.lit(0.0)).alias("spent"))
 
 
-@query("""SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))::BIGINT AS orphans, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))::BIGINT AS lost_lines""")
+@query("""SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'))::BIGINT AS orphans, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'))::BIGINT AS lost_lines""")
 def integrity(spark, d):
-    o, c, li = t(spark, d, "orders"), t(spark, d, "customer"), t(spark, d, "lineitem")
+    o, c, li = t(spark, d, "orders"), t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), t(spark, d, "lineitem")
     a = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count("*").alias("orphans"))
-    return a.crossJoin(li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("lost_lines")))  # two single rows
+    return a.crossJoin(li.join(o.where("o_orderstatus <> 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("lost_lines")))  # two single rows
 
 
 @query("SELECT event_id, user_id, round(value, 4) AS value FROM events WHERE event_type = 'error' AND value > 50 ORDER BY events.value DESC, event_id LIMIT 12")

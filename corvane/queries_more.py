@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .functions import markup as mk
 from .operators import calibration as cal
 from .operators import similarity as sim
 from .queries import VC, query, r6, t
-from .shared import scratch
+from .shared import scratch, written
 from .sources import published
 from .streaming import keyed, live
 
@@ -98,3 +99,19 @@ def live_intervals(spark, d):
     stream = spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     out = live.live_intervals(stream, ["event_type"], "kind", "user_id", "value", f"{root}/state")
     return out.select("event_type", "n_items", "n_trials", *r6("mean", "low", "high"), "insufficient", "blended")
+
+
+#: Documents as markdown: a heading, a list of two items, a paragraph with bold words and a link.
+MARKDOWN = "'# Number ' || doc_id || chr(10) || '- first **' || lang || '** item' || chr(10) || '- second' || chr(10) || chr(10) || 'From [' || source || '](http://x.org/' || doc_id || ') with ' || coalesce(n_chars, 0) || ' characters' || chr(10) || 'in all'"
+
+
+def markdown(spark, d):
+    return t(spark, d, "documents").select("doc_id", "lang", "source", F.expr(MARKDOWN.replace("chr(10)", "'\\n'")).alias("text"))
+
+
+@query("""SELECT doc_id, 3::INTEGER AS n_blocks, 'h1,ul,p' AS kinds, 'Number ' || doc_id || ' first ' || lang || ' item second From ' || source || ' (http://x.org/' || doc_id || ') with ' || coalesce(n_chars, 0) || ' characters in all' AS plain, true AS same FROM documents""")
+def markdown_blocks(spark, d):
+    """Blocks of every document's card, their text, and whether writing them and reading them again gives the same blocks."""
+    rows = written(markdown(spark, d).withColumn("b", mk.blocks(F.col("text"))), "blocks")
+    again = mk.blocks(mk.markdown_of(F.col("b")))
+    return rows.select("doc_id", F.size("b").alias("n_blocks"), F.array_join(F.transform("b", lambda x: x["kind"]), ",").alias("kinds"), mk.plain_text(F.col("b")).alias("plain"), (again == F.col("b")).alias("same"))

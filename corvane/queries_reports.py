@@ -71,10 +71,10 @@ def rejected_documents(spark, d):
     return rp.rejected(docs, "text", ["langs"]).select("doc_id", "reason")
 
 
-@query("""WITH e AS (SELECT event_id, least(value / 100, 1) AS recall, least(value / 150, 1) AS ndcg, (event_id % 10) / 10.0::DOUBLE AS score FROM events)
-SELECT event_id, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, score FROM e WHERE greatest(recall, ndcg) >= 0.75 AND score < 0.35 ORDER BY e.recall + e.ndcg DESC, score, event_id LIMIT 12""")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN least(value / 100, 1) END AS recall, least(value / 150, 1) AS ndcg, (event_id % 10) / 10.0::DOUBLE AS score FROM events)
+SELECT event_id, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, score FROM e WHERE recall IS NOT NULL AND greatest(recall, ndcg) >= 0.75 AND score < 0.35 ORDER BY e.recall + e.ndcg DESC, score, event_id LIMIT 12""")
 def retrieval_regressions(spark, d):
-    e = events(spark, d).select("event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("recall"), F.least(F.col("value") / 150, F.lit(1.0)).alias("ndcg"), (F.col("event_id") % 10 / 10.0).alias("score"))
+    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 5 > 0, F.least(F.col("value") / 100, F.lit(1.0))).alias("recall"), F.least(F.col("value") / 150, F.lit(1.0)).alias("ndcg"), (F.col("event_id") % 10 / 10.0).alias("score"))
     return rp.retrieval_regressions(e, "recall", "ndcg", "score", ["event_id"]).select("event_id", *r6("recall", "ndcg"), "score")
 
 
@@ -132,16 +132,42 @@ def judge_summaries(spark, d):
     return rp.judge_summary(rows, ["event_type"], "s", ["value"], "event_id").select("event_type", "n", *r6("mean", "mean_value", "pass_rate"), "worst", "median", "best")
 
 
-@query("""SELECT turn, count(*)::BIGINT AS n, CASE WHEN count(*) >= 2 THEN round(avg(length(text)), 6) END AS mean, round(avg((length(text) > 100)::INTEGER) FILTER (conv_id % 3 <> 0), 6) AS judged_fraction FROM conversations GROUP BY 1""")
+
+#: Turns of conversations as answers of three models, some of them failed.
+TURN_ROWS = """r AS (SELECT conv_id, 'm' || conv_id % 3 AS model, turn + 1 AS turn, length(text) / 100.0::DOUBLE AS score, text, CASE WHEN conv_id % 7 = 0 THEN 'abstention' WHEN turn = 0 THEN 'gold' ELSE 'wants' END AS kind, length(text) > 100 AS judged, (conv_id + turn) % 11 = 0 AS failed FROM conversations), ok AS (SELECT * FROM r WHERE NOT failed)"""
+
+
+def turn_rows(spark, d):
+    c, n = F.col("conv_id"), F.length("text")
+    kind = F.when(c % 7 == 0, "abstention").when(F.col("turn") == 0, "gold").otherwise("wants")
+    return t(spark, d, "conversations").select(
+        "conv_id", F.concat(F.lit("m"), (c % 3).cast("string")).alias("model"), (F.col("turn") + 1).alias("turn"), (n / 100.0).alias("score"), "text", kind.alias("kind"), (n > 100).alias("judged"), ((c + F.col("turn")) % 11 == 0).alias("failed"))
+
+
+@query(f"""WITH {TURN_ROWS}, s AS (SELECT model, turn, grouping(turn) AS all_, count(*) AS n, avg(score) AS mean, avg(score) FILTER (turn = 1) AS first_mean, avg(score) FILTER (turn > 1) AS later_mean, count(*) FILTER (kind = 'gold') AS gold, count(*) FILTER (kind = 'wants') AS wants, count(*) FILTER (kind = 'abstention') AS abstention,
+coalesce(avg(judged::INTEGER) FILTER (kind <> 'abstention'), 0) AS judged_fraction FROM ok GROUP BY GROUPING SETS ((model, turn), (model)))
+SELECT model, turn, n::BIGINT AS n, CASE WHEN all_ = 0 AND n < 2 THEN NULL ELSE round(mean, 6) END AS mean, round(first_mean, 6) AS first_mean, round(later_mean, 6) AS later_mean, gold::BIGINT AS gold, wants::BIGINT AS wants, abstention::BIGINT AS abstention, round(judged_fraction, 6)::DOUBLE AS judged_fraction, all_ = 0 AND n < 2 AS insufficient FROM s""")
 def turn_summaries(spark, d):
-    rows = t(spark, d, "conversations").select("turn", F.length("text").alias("score"), (F.length("text") > 100).alias("judged"), (F.col("conv_id") % 3 == 0).alias("abstention"))
-    return rp.turn_summary(rows, "turn", "score", "judged", "abstention").select("turn", "n", *r6("mean", "judged_fraction"))
+    told = rp.turn_summary(turn_rows(spark, d), "model", "turn", "score", "kind", "judged", "failed")
+    return told.select("model", "turn", "n", *r6("mean", "first_mean", "later_mean"), "gold", "wants", "abstention", *r6("judged_fraction"), "insufficient")
+
+
+@query(f"""WITH {TURN_ROWS}, m AS (SELECT model, conv_id, avg(score) AS m FROM ok GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY m, conv_id) AS nth, count(*) OVER (PARTITION BY model) AS n FROM m),
+e AS (SELECT model, conv_id, unnest(list_filter([CASE WHEN nth = 1 THEN 'worst' END, CASE WHEN nth = (n + 1) // 2 THEN 'median' END, CASE WHEN nth = n THEN 'best' END], lambda x: x IS NOT NULL)) AS example FROM p)
+SELECT model, example, conv_id, turn, round(score, 6) AS score, left(text, 280) AS excerpt FROM e JOIN ok USING (model, conv_id)""")
+def turn_examples(spark, d):
+    return rp.turn_examples(turn_rows(spark, d), "model", "conv_id", "turn", "score", "text", "failed").select("model", "example", "conv_id", "turn", *r6("score"), "excerpt")
 
 
-@query(f"""WITH {MEANS}, s AS (SELECT event_type, count(*) AS n, avg(m) AS mean, coalesce(stddev_samp(m), 0) AS sd FROM means GROUP BY 1)
-SELECT event_type, n::BIGINT AS conversations, round(mean, 6) AS mean, round(sd, 6) AS sd, round(1.96 * sd / sqrt(n), 6) AS half_width FROM s""")
+@query("""WITH r AS (SELECT event_type, user_id, value, CASE WHEN event_id % 3 > 0 THEN value / 10 END AS tone, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS right_, value > 80 AS unsure FROM events),
+c AS (SELECT event_type, user_id, avg(value) AS m FROM r GROUP BY ALL), s AS (SELECT event_type, count(m) AS n, avg(m) AS mean, coalesce(stddev_samp(m), 0) AS sd FROM c GROUP BY 1),
+w AS (SELECT event_type, avg(coalesce(tone, 0)) AS tone, avg(right_::INTEGER) AS abstention_reward, avg(unsure::INTEGER) AS unsure_rate FROM r GROUP BY 1)
+SELECT event_type, n::BIGINT AS conversations, round(mean, 6) AS mean, round(sd, 6) AS sd, round(1.96 * sd / sqrt(n), 6) AS half_width, round(mean - 1.96 * sd / sqrt(n), 6) AS low, round(tone, 6) AS mean_tone, round(abstention_reward, 6) AS abstention_reward, round(unsure_rate, 6) AS unsure_rate FROM s JOIN w USING (event_type)""")
 def slice_scores(spark, d):
-    return rp.slice_scores(events(spark, d), "event_type", "user_id", "value").select("event_type", "conversations", *r6("mean", "sd", "half_width"))
+    i = F.col("event_id")
+    rows = events(spark, d).select("event_type", "user_id", "value", F.when(i % 3 > 0, F.col("value") / 10).alias("tone"), F.when(i % 4 == 0, i % 8 == 0).alias("right"), (F.col("value") > 80).alias("unsure"))
+    told = rp.slice_scores(rows, "event_type", "user_id", "value", ["tone"], {"abstention_reward": "right", "unsure_rate": "unsure"})
+    return told.select("event_type", "conversations", *r6("mean", "sd", "half_width", "low", "mean_tone", "abstention_reward", "unsure_rate"))
 
 
 @query("""WITH m AS (SELECT p_brand, round(avg(p_size), 9) AS mean, max(p_partkey % 4) AS levers, count(*) AS n FROM part GROUP BY 1)
@@ -156,11 +182,11 @@ def category_counts(spark, d):
     return rp.grouped(t(spark, d, "orders"), ["o_orderstatus"], ["o_orderstatus", "o_orderpriority"], n=F.count("*"))
 
 
-@query("""SELECT n_nationkey, count(s_suppkey)::BIGINT AS n, count(*) FILTER (s_acctbal < 0)::BIGINT AS errored, round(quantile_cont(s_acctbal, 0.5) FILTER (s_acctbal >= 0), 6) AS p50, round(quantile_cont(s_acctbal, 0.9) FILTER (s_acctbal >= 0), 6) AS p90, round(avg(s_acctbal) FILTER (s_acctbal >= 0), 6) AS mean
-FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
+@query("""SELECT n_nationkey, count(*) FILTER (s_acctbal >= 0)::BIGINT AS n, count(*) FILTER (s_acctbal < 0)::BIGINT AS errored, round(quantile_cont(s_acctbal, 0.5) FILTER (s_acctbal >= 0), 6) AS p50, round(quantile_cont(s_acctbal, 0.9) FILTER (s_acctbal >= 0), 6) AS p90, round(avg(s_acctbal) FILTER (s_acctbal >= 0), 6) AS mean,
+quantile_cont(s_suppkey, 0.5) FILTER (s_acctbal >= 0)::DOUBLE AS first_p50 FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""")
 def seeded_stats(spark, d):
-    rows = t(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal", (F.col("s_acctbal") < 0).alias("error"))
-    return rp.seeded_stats(rows, t(spark, d, "nation"), "n_nationkey", "s_acctbal", "error").select("n_nationkey", "n", "errored", *r6("p50", "p90", "mean"))
+    rows = t(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal", "s_suppkey", (F.col("s_acctbal") < 0).alias("error"))
+    return rp.seeded_stats(rows, t(spark, d, "nation"), "n_nationkey", "s_acctbal", "error", "s_suppkey").select("n_nationkey", "n", "errored", *r6("p50", "p90", "mean"), "first_p50")
 
 
 @query("SELECT p_brand, p_type, round(avg(p_retailprice), 6) AS latency, round(avg(p_size), 6) AS quality, count(*)::BIGINT AS n FROM part GROUP BY ALL")
@@ -168,20 +194,73 @@ def size_curves(spark, d):
     return rp.size_curve(t(spark, d, "part"), "p_brand", "p_type", "p_retailprice", "p_size").select("p_brand", "p_type", *r6("latency", "quality"), "n")
 
 
-@query(f"""WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM events), {MEANS}, m AS (SELECT event_type, avg(m) AS mean, count(*) AS n_items, sum(r) AS n_trials FROM means GROUP BY 1), u AS (
-SELECT 'models' AS section, event_type AS name, 'mean' AS metric, mean AS value FROM m UNION ALL SELECT 'models', event_type, 'n_items', n_items FROM m UNION ALL SELECT 'models', event_type, 'n_trials', n_trials FROM m
-UNION ALL SELECT 'kinds', kind, 'mean', avg(value) FROM e GROUP BY kind UNION ALL SELECT 'kinds', kind, 'n', count(*) FROM e GROUP BY kind UNION ALL SELECT 'heat', event_type || '/' || kind, 'n', count(*) FROM e GROUP BY event_type, kind)
-SELECT section, name, metric, round(value, 6)::DOUBLE AS value FROM u""")
+def sql_interval(name: str, dims: str) -> str:
+    """CTE `name`: item-equal means of e by dims with their normal intervals."""
+    return f"""{name}_i AS (SELECT {dims}, user_id, avg(value) AS m, coalesce(var_samp(value), 0) AS v, count(value) AS r FROM e WHERE value IS NOT NULL GROUP BY ALL),
+{name}_s AS (SELECT {dims}, count(*) AS n_items, sum(r) AS n_trials, avg(m) AS mean, sum(r * m) / sum(r) AS grand, sum(v * (r - 1)) AS ssw, sum(r * m * m) AS ssa, sum(r * r) AS sq FROM {name}_i GROUP BY ALL),
+{name}_v AS (SELECT *, coalesce(ssw / nullif(n_trials - n_items, 0), 0) AS within_ FROM {name}_s),
+{name}_b AS (SELECT *, greatest(coalesce(((ssa - n_trials * grand * grand) / nullif(n_items - 1, 0) - within_) / nullif((n_trials - sq / n_trials) / nullif(n_items - 1, 0), 0), 0), 0) AS between_ FROM {name}_v),
+{name} AS (SELECT {dims}, n_items, n_trials, mean, CASE WHEN n_items >= 2 THEN mean - 1.959963984540054 * sqrt(between_ / n_items + within_ / n_trials) END AS low, CASE WHEN n_items >= 2 THEN mean + 1.959963984540054 * sqrt(between_ / n_items + within_ / n_trials) END AS high FROM {name}_b)"""
+
+
+def sql_metrics(section: str, name: str, source: str, *metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {name} AS name, '{m}' AS metric, {m}::DOUBLE AS value FROM {source}" for m in metrics)
+
+
+@query(f"""WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, (event_id % 40)::DOUBLE AS ms FROM events), {sql_interval('a', 'event_type')}, {sql_interval('b', 'kind')}, {sql_interval('c', 'event_type, kind')},
+p AS (SELECT event_type, quantile_cont(ms, 0.5) AS cost, count(*) AS rows, count(value) AS scored FROM e GROUP BY 1), q AS (SELECT event_type, mean, cost, rows, scored FROM a JOIN p USING (event_type)),
+f AS (SELECT *, (NOT EXISTS (SELECT 1 FROM q o WHERE o.mean >= q.mean AND o.cost <= q.cost AND (o.mean > q.mean OR o.cost < q.cost)))::INTEGER AS on_front FROM q), u AS (
+{sql_metrics('models', 'event_type', 'a', 'mean', 'low', 'high', 'n_items', 'n_trials')} UNION ALL {sql_metrics('kinds', 'kind', 'b', 'mean', 'low', 'high', 'n_items', 'n_trials')}
+UNION ALL {sql_metrics('heat', "event_type || '/' || kind", 'c', 'mean', 'low', 'high', 'n_items', 'n_trials')} UNION ALL {sql_metrics('frontier', 'event_type', 'f', 'cost', 'on_front')} UNION ALL {sql_metrics('provenance', 'event_type', 'f', 'rows', 'scored')})
+SELECT section, name, metric, round(value, 5) AS value FROM u WHERE value IS NOT NULL""")
 def report_rows(spark, d):
-    rows = events(spark, d).withColumn("kind", F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd"))
-    return rp.report(rows, "event_type", "kind", "user_id", "value").select("section", "name", "metric", *r6("value"))
+    rows = events(spark, d).withColumn("kind", F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd")).withColumn("ms", (F.col("event_id") % 40).cast("double"))
+    return rp.report(rows, "event_type", "kind", "user_id", "value", "ms").select("section", "name", "metric", F.round("value", 5).alias("value"))
 
 
-@query("""WITH s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1), v AS (SELECT event_type, user_id FROM events GROUP BY ALL HAVING count(value) >= 2 AND stddev_samp(value) > 40), u AS (
-SELECT 'distribution' AS section, event_type AS name, 'n' AS metric, n::DOUBLE AS value FROM s UNION ALL SELECT 'distribution', event_type, 'mean', mean FROM s UNION ALL SELECT 'distribution', event_type, 'p50', p50 FROM s UNION ALL SELECT 'distribution', event_type, 'p90', p90 FROM s
-UNION ALL SELECT 'unsteady', event_type, 'items', count(*) FROM v GROUP BY event_type) SELECT section, name, metric, round(value, 6) AS value FROM u""")
+@query(f"""WITH e AS (SELECT *, 'k' || event_id % 2 AS kind, 'z' || event_id % 3 AS zone, (event_id % 40)::DOUBLE AS ms FROM events), s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, avg(ms) AS ms FROM e GROUP BY 1),
+v AS (SELECT event_type, count(*) AS items FROM (SELECT event_type, user_id FROM events GROUP BY ALL HAVING count(value) >= 2 AND stddev_samp(value) > 40) GROUP BY 1), {sql_interval('a', 'event_type, kind')}, {sql_interval('b', 'event_type, zone')},
+w AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL), p AS (SELECT x.event_type || '/' || y.event_type AS pair, count(*) AS n, avg(x.m - y.m) AS diff, coalesce(stddev_samp(x.m - y.m), 0) AS sd FROM w x JOIN w y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1),
+pd AS (SELECT pair, diff, diff - 1.96 * sd / sqrt(n) AS low, diff + 1.96 * sd / sqrt(n) AS high FROM p), u AS (
+{sql_metrics('distribution', 'event_type', 's', 'n', 'mean', 'p50', 'p90')} UNION ALL {sql_metrics('unsteady', 'event_type', 'v', 'items')} UNION ALL {sql_metrics('timings', 'event_type', 's', 'ms')}
+UNION ALL {sql_metrics('kind', "event_type || '/' || kind", 'a', 'mean', 'low', 'high', 'n_items')} UNION ALL {sql_metrics('zone', "event_type || '/' || zone", 'b', 'mean', 'low', 'high', 'n_items')} UNION ALL {sql_metrics('paired', 'pair', 'pd', 'diff', 'low', 'high')})
+SELECT section, name, metric, round(value, 5) AS value FROM u WHERE value IS NOT NULL""")
 def diagnostic_rows(spark, d):
-    return rp.diagnostics(events(spark, d), "event_type", "user_id", "value", 40).select("section", "name", "metric", *r6("value"))
+    i = F.col("event_id")
+    rows = events(spark, d).withColumns({"kind": F.concat(F.lit("k"), (i % 2).cast("string")), "zone": F.concat(F.lit("z"), (i % 3).cast("string")), "ms": (i % 40).cast("double")})
+    return rp.diagnostics(rows, "event_type", "user_id", "value", 40, ["kind", "zone"], ["ms"]).select("section", "name", "metric", F.round("value", 5).alias("value"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS q, o_orderpriority AS pri, list(CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 25 THEN 1 ELSE 0 END ORDER BY l_linenumber, l_partkey, CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS rels, any_value(o_totalprice) AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+r AS (SELECT *, len(list_filter(rels, lambda x: x > 0)) AS found, q % 4 = 0 AS none_, (q % 100) / 100.0::DOUBLE AS score, CASE WHEN q % 4 = 0 THEN 'unanswerable' WHEN len(list_filter(rels, lambda x: x > 0)) > 0 THEN 'answerable_retrievable' ELSE 'answerable_not_retrieved' END AS kind FROM l),
+m AS (SELECT *, CASE WHEN NOT none_ THEN coalesce(list_sum(list_transform(rels[1:3], lambda x, i: x / log2(i + 1))) / nullif(list_sum(list_transform(list_reverse_sort(rels)[1:3], lambda x, i: x / log2(i + 1))), 0), 0) END AS ndcg,
+CASE WHEN NOT none_ AND found > 0 THEN len(list_filter(rels[1:3], lambda x: x > 0)) / found::DOUBLE END AS recall, CASE WHEN NOT none_ THEN coalesce(1.0 / nullif(list_position(list_transform(rels[1:3], lambda x: x > 0), true), 0), 0) END AS mrr FROM r),
+c AS (SELECT pri, th, count(*) FILTER (kind = 'unanswerable' AND score < th) / count(*) FILTER (kind = 'unanswerable')::DOUBLE AS rec, count(*) FILTER (kind = 'unanswerable' AND score >= th) / count(*) FILTER (kind = 'unanswerable')::DOUBLE AS fa, count(*) FILTER (kind = 'answerable_retrievable' AND score < th) / count(*) FILTER (kind = 'answerable_retrievable')::DOUBLE AS fb FROM m, (SELECT unnest(range(1, 20)) / 20.0::DOUBLE AS th) GROUP BY ALL),
+o AS (SELECT pri, th, rec, fa, fb FROM c WHERE fa <= 0.3 QUALIFY row_number() OVER (PARTITION BY pri ORDER BY rec DESC, th) = 1),
+z AS (SELECT pri, list(price ORDER BY price) AS ps FROM m GROUP BY 1)
+SELECT 'pri=' || pri AS slice, count(*)::BIGINT AS n, count(*) FILTER (kind = 'unanswerable')::BIGINT AS unanswerable, count(*) FILTER (kind = 'answerable_retrievable')::BIGINT AS answerable_retrievable, count(*) FILTER (kind = 'answerable_not_retrieved')::BIGINT AS answerable_not_retrieved,
+round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(mrr), 6)::DOUBLE AS mrr, any_value(ps[len(ps) // 2 + 1]) AS p50, any_value(ps[floor(len(ps) * 0.95)::INTEGER + 1]) AS p95, coalesce(any_value(th), 0)::DOUBLE AS operating_t, round(coalesce(any_value(rec), 0), 6)::DOUBLE AS abstain_recall, round(coalesce(any_value(fb), 0), 6)::DOUBLE AS false_abstain
+FROM m JOIN z USING (pri) LEFT JOIN o USING (pri) GROUP BY pri""")
+def slice_rollups(spark, d):
+    rows = slice_rows(spark, d)
+    told = rp.slice_rollup(rows, ["pri"], "q", "rels", "found", "kind", "score", "price", k=3, ceiling=0.3, draws=50)
+    return told.select("slice", "n", "unanswerable", "answerable_retrievable", "answerable_not_retrieved", *r6("ndcg", "recall", "mrr"), "p50", "p95", "operating_t", *r6("abstain_recall", "false_abstain"))
+
+
+def slice_rows(spark, d):
+    """Orders as questions, their lines as what was found, by priority."""
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") > 25, 1).otherwise(0).alias("y"))
+    lists = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "y"))).alias("s"))  # an order's lines are few
+    o = t(spark, d, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("q"), F.col("o_orderpriority").alias("pri"), F.transform("s", lambda x: x["y"]).alias("rels"), F.col("o_totalprice").alias("price"), ((F.col("o_orderkey") % 100) / 100.0).alias("score"))
+    found = F.size(F.filter("rels", lambda x: x > 0))
+    return o.select("*", found.alias("found"), F.when(F.col("q") % 4 == 0, "unanswerable").when(found > 0, "answerable_retrievable").otherwise("answerable_not_retrieved").alias("kind"))
+
+
+@query()
+def slice_tests(spark, d):
+    """Each priority's lists against the same lists turned round."""
+    rows = slice_rows(spark, d)
+    return rp.slice_rollup(rows, ["pri"], "q", "rels", "found", "kind", "score", "price", rows.withColumn("rels", F.reverse("rels")), k=3).select("slice", "ndcg", "ndcg_low", "ndcg_high", "p_value")
 
 
 @query("""WITH RECURSIVE s AS (SELECT o_orderpriority AS name, count(*) % 40 AS size FROM orders GROUP BY 1), f AS (SELECT *, (row_number() OVER (ORDER BY size DESC, name) <= 60 AND size > 0)::INTEGER AS one FROM s),
@@ -205,32 +284,45 @@ def stopping_points(spark, d):
     return sel.stops(events(spark, d), "user_id", ["ts", "event_id"], "value", 10)
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE user_id < 20 ORDER BY user_id, event_type, ts, event_id")
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY user_id, event_type, ts, event_id")
 def canonical_events(spark, d):
-    return sel.canonical(events(spark, d).where("user_id < 20"), ["user_id", "event_type", "ts", "event_id"]).select("event_id", "user_id", "event_type")
+    return sel.canonical(events(spark, d), ["user_id", "event_type", "ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query(f"""WITH {VC}, q AS (SELECT *, 16.0::DOUBLE / (1.96 * 1.96) - between_ / n_items AS room FROM vc), k AS (SELECT event_type, n_items, least(greatest(coalesce(CASE WHEN room > 0 THEN ceil(within / (n_items * room)) END, 50), 2), 50)::BIGINT AS needed FROM q),
+@query(f"""WITH {VC}, q AS (SELECT *, 16.0::DOUBLE / (1.96 * 1.96) - between_ / n_items AS room FROM vc), j AS (SELECT event_type, n_items, least(greatest(coalesce(CASE WHEN room > 0 THEN ceil(within / (n_items * room)) END, 50), 2), 50)::BIGINT AS own FROM q), k AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN greatest(own, 9) ELSE own END AS needed FROM j),
 z AS (SELECT *, sum(needed * n_items) OVER () AS trials FROM k) SELECT event_type, needed, CASE WHEN trials > 3000 THEN greatest(floor(needed * 3000.0::DOUBLE / trials), 2)::BIGINT ELSE needed END AS reps FROM z""")
 def strata_sizes(spark, d):
-    return pl.sized_strata(st.variance_components(events(spark, d), ["event_type"], "user_id", "value"), 4.0, 3000).select("event_type", "needed", "reps")
+    parts = st.variance_components(events(spark, d), ["event_type"], "user_id", "value")
+    return pl.sized_strata(parts, 4.0, 3000, multi=F.col("event_type").isin("click", "view"), multi_floor=9).select("event_type", "needed", "reps")
 
 
-PAIRED = f"""{MEANS}, p AS (SELECT x.event_type AS a, y.event_type AS b, count(*) AS n, avg(x.m - y.m) AS diff, coalesce(stddev_samp(x.m - y.m), 0) AS sd FROM means x JOIN means y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY ALL)"""
+@query("""WITH RECURSIVE s AS (SELECT p_brand AS name, count(*) AS size FROM part GROUP BY 1), t_ AS (SELECT unnest([10, 60, 200]) AS total, unnest([0, 1, 2]) AS i),
+f AS (SELECT i, total, name, size, (row_number() OVER (PARTITION BY i ORDER BY size DESC, name) <= total AND size > 0)::INTEGER AS one FROM s, t_),
+l AS (SELECT *, size - one AS spare, greatest(least(total, sum(size) OVER (PARTITION BY i)) - sum(one) OVER (PARTITION BY i), 0) AS rest FROM f), p AS (SELECT *, floor(coalesce(rest * spare / nullif(sum(spare) OVER (PARTITION BY i), 0), 0)) AS part FROM l),
+n AS (SELECT *, rest - sum(part) OVER (PARTITION BY i) AS over_, row_number() OVER (PARTITION BY i ORDER BY spare - part DESC, name) AS nth FROM p),
+z AS (SELECT i, name, one + part + CASE WHEN nth <= over_ AND part < spare THEN 1 ELSE 0 END AS seats FROM n),
+k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part)
+SELECT p_partkey, p_brand, min(i)::INTEGER AS rung FROM k JOIN z ON name = p_brand AND nth <= seats GROUP BY ALL""")
+def rung_ladder(spark, d):
+    return pl.ladder(t(spark, d, "part"), "p_brand", ["p_partkey"], [10, 60, 200]).select("p_partkey", "p_brand", "rung")
 
 
-@query(f"""WITH {PAIRED} SELECT a, b, CASE WHEN n < 20 THEN 'hold' WHEN diff - 1.96 * sd / sqrt(n) > 0 AND diff >= 0.5 THEN 'promote' WHEN diff <= 0 THEN 'reject' ELSE 'hold' END AS verdict, diff + 1.96 * sd / sqrt(n) >= 1.0 AND n % 4 < 3 AS escalates FROM p""")
+@query(f"""WITH {MEANS}, m AS (SELECT event_type, avg(m) AS s, 1.96 * stddev_samp(m) / sqrt(count(*)) AS half FROM means GROUP BY 1)
+SELECT x.event_type AS champion, y.event_type AS challenger, y.s - x.s >= 0.5 AND y.event_type <> 'view' AS promoted, y.event_type <> 'error' AND (x.event_type = 'click' OR y.s >= x.s - 0.25 * y.half) AS escalates FROM m x JOIN m y ON x.event_type <> y.event_type""")
 def promotions(spark, d):
-    p = st.paired_differences(events(spark, d), "event_type", "user_id", "value")
-    half = F.col("high") - F.col("diff")
-    return p.select("a", "b", pl.promotion(F.col("diff"), F.col("low"), F.col("n_items"), 0.5, 20).alias("verdict"), pl.escalates(F.col("diff"), half, 1.0, F.col("n_items") % 4, 3).alias("escalates"))
+    """Every type as champion and challenger: one is not usable, one has had no promotion, one has no rung before it."""
+    m = rp.slice_scores(events(spark, d), "event_type", "user_id", "value")
+    x, y = m.select(F.col("event_type").alias("champion"), F.col("mean").alias("x")), m.select(F.col("event_type").alias("challenger"), F.col("mean").alias("y"), F.col("half_width").alias("half"))
+    both = x.join(y, F.col("champion") != F.col("challenger"))  # five types
+    prior = F.when(F.col("champion") != "click", F.col("x"))
+    return both.select("champion", "challenger", pl.promotion(F.col("x"), F.col("y"), 0.5, F.col("challenger") != "view").alias("promoted"), pl.escalates(F.col("y"), prior, F.col("half"), F.col("challenger") != "error", 0.25).alias("escalates"))
 
 
-@query("""WITH v AS (SELECT p_brand, avg(p_size) AS mean, 1.96 * stddev_samp(p_size) / sqrt(count(*)) AS half, max(p_partkey % 4) AS levers FROM part GROUP BY 1)
-SELECT p_brand, round(mean, 6) AS mean FROM v WHERE mean + half >= (SELECT max(mean) FROM v) ORDER BY levers, v.mean DESC, p_brand LIMIT 1""")
+@query("""WITH v AS (SELECT p_brand, round(avg(p_size), 0) AS score, 1.96 * stddev_samp(p_size) / sqrt(count(*)) AS half FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, half, p_brand) AS nth, lead(score) OVER (ORDER BY score DESC, half, p_brand) AS next FROM v)
+SELECT p_brand, score, round(half, 6) AS half, score - next < 0.5 AS tie FROM r WHERE nth = 1""")
 def tournament_winner(spark, d):
-    v = t(spark, d, "part").groupBy("p_brand").agg(F.avg("p_size").alias("mean"), (1.96 * F.stddev_samp("p_size") / F.sqrt(F.count("*"))).alias("half"), F.max(F.col("p_partkey") % 4).alias("levers"))
-    return pl.tournament(v, "p_brand", "mean", "half", "levers").select("p_brand", *r6("mean"))
+    v = t(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg("p_size"), 0).alias("score"), (1.96 * F.stddev_samp("p_size") / F.sqrt(F.count("*"))).alias("half"))
+    return pl.tournament(v, "p_brand", "score", "half", 0.5).select("p_brand", "score", *r6("half"), "tie")
 
 
 @query("""WITH e AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey AS x, b.s_nationkey AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 40)
@@ -243,12 +335,6 @@ def spec_pairs(spark, d):
     return pl.spec_pairs(near, "a", "b", "x", "y", ["new", "old", "other"]).select("a", "b", "place", "persona")
 
 
-@query("SELECT * FROM (VALUES ('recall', 'retrieval', 1), ('ndcg', 'retrieval', 2)) c(metric, family, priority)")
-def metric_catalog(spark, d):
-    listed = [("recall", "retrieval", 1, True), ("ndcg", "retrieval", 2, True), ("latency", "timing", 3, False)]
-    return pl.catalog(spark, listed).where("in_scope").drop("in_scope")
-
-
 @query("SELECT event_id, event_type, value FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 25")
 def log_tail(spark, d):
     """Events written to a log, read back, and the last 25 of it."""
@@ -282,18 +368,35 @@ def layered_labels(spark, d):
     return corpus.layered([x.select(F.col("doc_id").alias("id"), F.col("quality").alias("v")), x.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("toxic").alias("v"))], ["id"])
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'm1' WHEN 'view' THEN 'm2' WHEN 'error' THEN 'm3' END AS model FROM events)
-SELECT event_id, model, row_number() OVER (PARTITION BY user_id, model ORDER BY ts, event_id)::BIGINT - 1 AS instance, quality AS judged FROM e LEFT JOIN labels ON doc_id = event_id WHERE model IS NOT NULL""")
-def backfilled(spark, d):
+def backfill_of(spark, d):
+    """Events as lines of a log, every 50th of them cut short, taken over; (where, counters)."""
+    root = f"{scratch(spark)}/backfill-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_type", "props"))
+    lines = events(spark, d).select(F.when(F.col("event_id") % 50 == 7, F.left(line, F.lit(20))).otherwise(line).alias("value"))
     judged = t(spark, d, "labels").select(F.col("doc_id").alias("event_id"), F.col("quality").alias("judged"))
-    rows, _ = logs.backfill(events(spark, d), judged, "event_id", "event_type", {"click": "m1", "view": "m2", "error": "m3"}, "user_id", ["ts", "event_id"])
-    return rows.select("event_id", "model", "instance", "judged")
+    told = logs.backfill(lines, judged, root, "event_id long, user_id long, ts string, event_type string, props string", "event_id", "event_type", {"click": "m1", "view": "m2", "error": "m3"}, "user_id", ["ts", "event_id"], "props", 8)
+    return root, told
 
 
-@query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE event_type NOT IN ('click', 'view', 'error') GROUP BY 1")
+LEFT_OUT = "CASE WHEN event_id % 50 = 7 THEN 'malformed' WHEN event_type NOT IN ('click', 'view', 'error') THEN 'unknown' WHEN length(props) > 8 THEN 'oversize' ELSE 'instance' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE event_type WHEN 'click' THEN 'm1' WHEN 'view' THEN 'm2' WHEN 'error' THEN 'm3' END AS model FROM events WHERE {LEFT_OUT} = 'instance')
+SELECT event_id, model, row_number() OVER (PARTITION BY user_id, model ORDER BY ts, event_id)::BIGINT - 1 AS instance, quality AS judged FROM e LEFT JOIN labels ON doc_id = event_id""")
+def backfilled(spark, d):
+    root, _ = backfill_of(spark, d)
+    return spark.read.parquet(f"{root}/outcome=instance").select("event_id", "model", "instance", "judged")
+
+
+@query(f"""WITH o AS (SELECT {LEFT_OUT} AS outcome, event_type FROM events) SELECT outcome AS name, count(*)::BIGINT AS counted, CASE WHEN outcome <> 'instance' THEN count(*) ELSE 0 END::BIGINT AS written FROM o GROUP BY outcome
+UNION ALL SELECT 'unknown/' || event_type, count(*), 0 FROM o WHERE outcome = 'unknown' GROUP BY event_type""")
 def backfill_unknown(spark, d):
-    judged = t(spark, d, "labels").select(F.col("doc_id").alias("event_id"), F.col("quality").alias("judged"))
-    return logs.backfill(events(spark, d), judged, "event_id", "event_type", {"click": "m1", "view": "m2", "error": "m3"}, "user_id", ["ts", "event_id"])[1]
+    """What the one pass counted, and what stands in the side outputs."""
+    root, told = backfill_of(spark, d)
+    counted = [("instance", told.instances), ("malformed", told.malformed), ("unknown", told.unknown), ("oversize", told.oversize), *((f"unknown/{m}", n) for m, n in told.unknown_models.items())]
+    counts = spark.createDataFrame([c for c in counted if c[1]], "name string, counted long")
+    sides = spark.read.parquet(root).where("line IS NOT NULL").groupBy(F.col("outcome").alias("name")).agg(F.count("*").alias("written"))
+    return counts.join(sides, "name", "left").na.fill(0, ["written"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")

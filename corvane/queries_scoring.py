@@ -54,29 +54,30 @@ def composite_scores(spark, d):
 ELSE 0.35 * least(value / 100, 1) + 0.65 * least(value / 200, 1) END END, 9)::DOUBLE AS closeness,
 round(CASE WHEN event_type = 'click' THEN value WHEN event_type = 'view' THEN value * 2 ELSE value + 1 END, 9)::DOUBLE AS total,
 round(coalesce(least(greatest((try_cast(nullif(regexp_extract(props, '[0-9]', 0), '') AS DOUBLE) - 1) / 4, 0), 1), 0.5), 9)::DOUBLE AS rating,
-round(value - 50, 9)::DOUBLE AS gain, greatest(value, 1)::DOUBLE AS axis FROM events""")
+round(value - 50, 9)::DOUBLE AS gain, CASE WHEN event_id % 3 = 0 THEN 'inf' ELSE round(100 * (value - 20) / 20, 6)::VARCHAR END::DOUBLE AS percent, greatest(value, 1)::DOUBLE AS axis FROM events""")
 def answer_scores(spark, d):
     v, kind = F.col("value"), F.col("event_type")
     close = an.closeness(F.when(kind == "signup", v > 50), v / 100, F.when(kind != "view", v / 200))
     total = an.merged_total(F.when(kind == "click", v), F.when(kind == "view", v * 2), [v, F.lit(1.0), F.lit(None).cast("double")])
     rating = an.rating_share(F.nullif(F.regexp_extract("props", "[0-9]", 0), F.lit("")))
-    return t(spark, d, "events").select("event_id", F.round(close, 9).alias("closeness"), F.round(total, 9).alias("total"), F.round(rating, 9).alias("rating"), F.round(an.gain(F.lit(50.0), v)[0], 9).alias("gain"), an.log_safe(v).alias("axis"))
+    return t(spark, d, "events").select("event_id", F.round(close, 9).alias("closeness"), F.round(total, 9).alias("total"), F.round(rating, 9).alias("rating"), F.round(an.gain(F.lit(50.0), v)[0], 9).alias("gain"), F.round(an.gain(F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(20.0), v)[1], 6).alias("percent"), an.log_safe(v).alias("axis"))
 
 
-SENTENCES = f"list_filter(list_transform(regexp_split_to_array(answer, '[.!?\\n]+'), lambda s: list_distinct({sql_words('s')})), lambda s: len(s) > 0)"
+SENTENCES = f"list_filter(list_transform(regexp_split_to_array(answer, '[.!?\\n]+'), lambda s: {sql_content('s')}), lambda s: len(s) > 0)"
 
 
-@query(f"""WITH {TURNS}, f AS (SELECT conv_id, turn, {SENTENCES} AS ss, ['turn-' || prev_turn, 'turn-0'] AS ids, [list_distinct({sql_words('prev')}), list_distinct({sql_words('first')})] AS ws, answer FROM q),
-u AS (SELECT *, CASE WHEN contains(answer, ids[1]) OR contains(answer, ids[2]) OR regexp_matches(answer, '\\[[12]\\]') THEN NULL ELSE
-list_filter([1, 2], lambda i: len(list_filter(ss, lambda s: len(list_intersect(s, ws[i])) >= 2 AND len(list_intersect(s, ws[i])) >= 0.5 * len(s))) > 0) END AS used FROM f)
-SELECT conv_id, turn, len(used)::INTEGER AS n_used, coalesce(len(list_distinct(list_filter(list_transform(used, lambda i: ids[i]), lambda x: x = ids[1]))) / nullif(len(list_distinct(list_transform(used, lambda i: ids[i]))), 0), 0)::DOUBLE AS precision,
-len(list_distinct(list_filter(list_transform(used, lambda i: ids[i]), lambda x: x = ids[1])))::DOUBLE AS recall FROM u WHERE used IS NOT NULL""")
+@query(f"""WITH {TURNS}, c AS (SELECT conv_id, turn, prev_turn, prev, first, answer || CASE WHEN turn % 4 = 1 AND conv_id % 3 = 0 THEN ' as [1] says' WHEN turn % 4 = 3 AND conv_id % 2 = 0 THEN ' see turn-0' ELSE '' END AS answer FROM q),
+f AS (SELECT conv_id, turn, {SENTENCES} AS ss, ['turn-' || prev_turn, 'turn-0'] AS ids, [{sql_content('prev')}, {sql_content('first')}] AS ws, answer FROM c),
+g AS (SELECT *, list_distinct(list_concat(list_filter(ids, lambda i: contains(answer, i)), list_filter([CASE WHEN contains(answer, '[1]') THEN ids[1] END, CASE WHEN contains(answer, '[2]') THEN ids[2] END], lambda i: i IS NOT NULL))) AS cited FROM f),
+u AS (SELECT *, list_distinct(CASE WHEN len(cited) > 0 THEN cited ELSE list_transform(list_filter([1, 2], lambda i: len(list_filter(ss, lambda s: len(list_intersect(s, ws[i])) >= 2 AND len(list_intersect(s, ws[i])) >= 0.5 * len(s))) > 0), lambda i: ids[i]) END) AS used FROM g)
+SELECT conv_id, turn, len(cited) > 0 AS cites, len(used)::INTEGER AS n_used, coalesce(len(list_filter(used, lambda x: x = ids[1])) / nullif(len(used), 0), 0)::DOUBLE AS precision, len(list_filter(used, lambda x: x = ids[1]))::DOUBLE AS recall FROM u""")
 def grounded_answers(spark, d):
     ids = F.array(F.concat(F.lit("turn-"), F.col("prev_turn").cast("string")), F.lit("turn-0"))
-    rows = turns(spark, d).withColumn("ids", ids).withColumn("used", an.used_fragments(F.col("answer"), F.col("ids"), F.array("prev", "first")))
-    rows = rows.where(F.size(tx.cited_places(F.col("answer"), F.col("ids"))) == 0)
+    added = F.when((F.col("turn") % 4 == 1) & (F.col("conv_id") % 3 == 0), " as [1] says").when((F.col("turn") % 4 == 3) & (F.col("conv_id") % 2 == 0), " see turn-0").otherwise("")
+    rows = turns(spark, d).withColumn("ids", ids).withColumn("answer", F.concat("answer", added))
+    rows = rows.withColumn("used", F.array_distinct(an.used_fragments(F.col("answer"), F.col("ids"), F.array("prev", "first"), STOP)))
     precision, recall = an.grounding(F.col("used"), F.slice("ids", 1, 1), F.col("ids"))
-    return rows.select("conv_id", "turn", F.size("used").alias("n_used"), precision.alias("precision"), recall.alias("recall"))
+    return rows.select("conv_id", "turn", (F.size(tx.cited_places(F.col("answer"), F.col("ids"))) > 0).alias("cites"), F.size("used").alias("n_used"), precision.alias("precision"), recall.alias("recall"))
 
 
 EVEN = "trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))"
@@ -94,15 +95,21 @@ def answerability_scores(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", kind.alias("kind"), right.alias("abstention_correct"), bad.alias("unwarranted_refusal"), an.reference_kind(F.col("turn"), kind).alias("reference"))
 
 
-@query(f"""WITH {TURNS}, c AS (SELECT conv_id, turn, {sql_content('answer')} AS ref, {sql_content('prev')} AS p, {sql_content('first')} AS f, list_distinct({sql_words('answer')}) AS said, list_distinct({sql_words('prev')}) AS pw, list_distinct({sql_words('first')}) AS fw FROM q)
-SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR len(ref) = 0 THEN NULL ELSE round_even(((len(list_intersect(p, ref)) > 0)::INTEGER + (len(list_intersect(f, ref)) > 0)::INTEGER) / 2.0, 4) END::DOUBLE AS context_precision,
-CASE WHEN turn % 4 = 3 OR len(ref) = 0 THEN NULL ELSE round_even(len(list_intersect(ref, list_concat(p, f))) / len(ref)::DOUBLE, 4) END AS context_recall,
-CASE WHEN turn % 4 = 3 OR len(ref) = 0 THEN NULL ELSE round_even(len(list_intersect(ref, list_concat(p, f))) / len(ref)::DOUBLE, 4) END AS factuality,
-((len(pw) > 0 AND len(list_intersect(pw, said)) >= 0.4 * len(pw))::INTEGER + (len(fw) > 0 AND len(list_intersect(fw, said)) >= 0.4 * len(fw))::INTEGER) / 2.0::DOUBLE AS grounded FROM c""")
+@query(f"""WITH {TURNS}, n AS (SELECT q.*, x.text AS next FROM q LEFT JOIN conversations x ON x.conv_id = q.conv_id AND x.turn = q.turn + 1),
+c AS (SELECT conv_id, turn, {sql_content('next')} AS ref, {sql_content('answer')} AS said, {sql_content('prev')} AS p, {sql_content('first')} AS f, trim(prev) <> '' AS full_ FROM n)
+SELECT conv_id, turn, CASE WHEN len(ref) > 0 THEN round_even(((len(list_intersect(p, ref)) > 0)::INTEGER + (len(list_intersect(f, ref)) > 0)::INTEGER) / 3.0, 4) END::DOUBLE AS context_precision,
+CASE WHEN len(ref) > 0 THEN round_even(len(list_intersect(ref, list_concat(p, f))) / len(ref)::DOUBLE, 4) END AS context_recall,
+CASE WHEN len(said) = 0 THEN 1 ELSE round_even(len(list_intersect(said, list_concat(p, f))) / len(said)::DOUBLE, 4) END::DOUBLE AS faithfulness,
+CASE WHEN len(ref) > 0 THEN round_even(len(list_intersect(ref, said)) / len(ref)::DOUBLE, 4) END AS factual,
+((len(p) > 0 AND len(said) > 0 AND len(list_intersect(p, said)) >= 0.4 * len(p))::INTEGER + (len(f) > 0 AND len(said) > 0 AND len(list_intersect(f, said)) >= 0.4 * len(f))::INTEGER) / 2.0::DOUBLE AS grounded FROM c""")
 def coverage_scores(spark, d):
-    ref, texts = F.when(F.col("turn") % 4 != 3, F.col("answer")), F.array("prev", "first")
-    p, r, f = an.coverage(ref, F.col("answer"), texts, STOP)
-    return turns(spark, d).select("conv_id", "turn", p.alias("context_precision"), r.alias("context_recall"), f.alias("factuality"), an.grounded_fraction(texts, F.col("answer")).alias("grounded"))
+    """Answers against the turn after them as the reference (none for the last), with two texts and a blank one."""
+    after = t(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    rows = turns(spark, d).join(after, ["conv_id", "turn"], "left")
+    texts, said, ref = F.array("prev", "first", F.lit(" ")), F.col("answer"), F.col("next")
+    p, r = an.coverage(ref, texts, STOP)
+    faithful, factual = an.cross_checks(said, ref, texts, STOP)
+    return rows.select("conv_id", "turn", p.alias("context_precision"), r.alias("context_recall"), faithful.alias("faithfulness"), factual.alias("factual"), an.grounded_fraction(texts, said, STOP).alias("grounded"))
 
 
 @query(f"""WITH w AS (SELECT item_id, {sql_words('text')} AS w, lower(text) AS low FROM benchmark)
@@ -123,18 +130,18 @@ def text_fields(spark, d):
     return t(spark, d, "events").select("event_id", card.alias("card"), *an.persona(card, ["name", "kind", "mood"]), stem.alias("stem"), found.alias("object"), an.redact(said, ["user [0-9]+"]).alias("redacted"), F.from_json(found, "k int")["k"].alias("k"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, list(struct_pack(p_name, p_type) ORDER BY l_linenumber, p_partkey) AS parts FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 300 GROUP BY 1)
+@query("""WITH g AS (SELECT l_orderkey, list(struct_pack(p_name, p_type) ORDER BY l_linenumber, p_partkey) AS parts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_concat(['order ' || l_orderkey], list_transform(parts, lambda p: CASE WHEN p.p_type = 'ECONOMY' THEN p.p_type ELSE p.p_name END)), chr(10) || chr(10)) AS ideal,
 list_distinct(list_transform(parts, lambda p: p.p_type)).len()::INTEGER AS n_tags FROM g""")
 def ideal_texts(spark, d):
     one = F.struct(F.when(F.col("p_type") == "ECONOMY", F.col("p_type")).alias("markdown"), F.lit(" ").alias("snippet"), F.col("p_name").alias("title"))
-    rows = t(spark, d, "lineitem").where("l_orderkey < 300").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", one.alias("g"), "p_type"))).alias("s"))  # an order's lines are few
     many, _ = an.scope_tags(F.transform("s", lambda x: x["p_type"]), F.lit(None).cast("string"))
     return rows.select("l_orderkey", an.ideal_text(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")), F.transform("s", lambda x: x["g"])).alias("ideal"), F.size(many).alias("n_tags"))
 
 
-@query("""WITH l AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ranked, list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 20) AS g FROM events WHERE ts < '2024-01-02' GROUP BY 1),
+@query("""WITH l AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ranked, list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 20) AS g FROM events GROUP BY 1),
 h AS (SELECT user_id, list_transform(ranked, lambda x: list_contains(coalesce(g, []), x)::INTEGER) AS hit, len(coalesce(g, [])) AS ng FROM l)
 SELECT user_id, CASE WHEN ng = 0 THEN 0.0 ELSE list_sum(hit[1:3]) / ng::DOUBLE END::DOUBLE AS retrievable_recall, CASE WHEN list_sum(hit[1:3]) > 0 THEN round(1.0 / list_position(hit, 1), 6) ELSE 0.0 END::DOUBLE AS mrr_3 FROM h""")
 def retrievable_metrics(spark, d):
@@ -183,3 +190,12 @@ def cosines_to_first(spark, d):
     v = t(spark, d, "embeddings")
     one = v.where("vec_id = 0").select(F.col("embedding").alias("b"))
     return v.crossJoin(F.broadcast(one)).select("vec_id", F.round(sc.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))  # one row
+
+
+@query("""WITH w AS (SELECT item_id, ceil(length(text) / 4.0) AS asked FROM benchmark), d AS (SELECT doc_id % 40 AS item_id, ceil(length(text) / 4.0) AS n, strlen(text) AS b, text FROM documents WHERE doc_id % 40 IN (SELECT item_id FROM benchmark))
+SELECT item_id, sum(n)::BIGINT AS tokens, max(n)::BIGINT AS longest, max(n + asked)::BIGINT AS pair_longest, count(*) FILTER (n + asked > 2000)::BIGINT AS over, sum(b)::BIGINT AS bytes, max(least(length(text), 32000))::INTEGER AS longest_input FROM w JOIN d USING (item_id) GROUP BY item_id""")
+def rerank_totals(spark, d):
+    pools = t(spark, d, "documents").groupBy((F.col("doc_id") % 40).alias("item_id")).agg(F.collect_list("text").alias("texts"))
+    rows = t(spark, d, "benchmark").withColumnRenamed("text", "question").join(pools, "item_id")
+    told = tx.pair_totals(F.col("question"), F.col("texts"), 4.0, 2000)
+    return rows.select("item_id", *[c.alias(n) for n, c in told.items()], F.array_max(F.transform(tx.rank_input(F.col("texts")), lambda x: F.length(x))).alias("longest_input"))
