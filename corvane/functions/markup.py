@@ -66,7 +66,8 @@ def blocks(markdown: Column, deepest: int = 3) -> Column:
 
 
 def markdown_of(parsed: Column) -> Column:
-    """The text that blocks reads back as the same blocks. Built-in functions only."""
+    """The text that blocks reads back as the same blocks. Built-in functions only; Spark takes no Python function of such an
+    expression, so write it as a column first."""
     def leaf(x: Column) -> Column:
         text = F.when(x["url"].isNotNull(), F.concat(F.lit("["), x["text"], F.lit("]("), x["url"], F.lit(")"))).otherwise(x["text"])
         return F.when(x["bold"], F.concat(F.lit("**"), text, F.lit("**"))).otherwise(text)

@@ -113,5 +113,6 @@ def markdown(spark, d):
 def markdown_blocks(spark, d):
     """Blocks of every document's card, their text, and whether writing them and reading them again gives the same blocks."""
     rows = written(markdown(spark, d).withColumn("b", mk.blocks(F.col("text"))), "blocks")
-    again = mk.blocks(mk.markdown_of(F.col("b")))
+    rows = written(rows.withColumn("out", mk.markdown_of(F.col("b"))), "markdown")
+    again = mk.blocks(F.col("out"))
     return rows.select("doc_id", F.size("b").alias("n_blocks"), F.array_join(F.transform("b", lambda x: x["kind"]), ",").alias("kinds"), mk.plain_text(F.col("b")).alias("plain"), (again == F.col("b")).alias("same"))
