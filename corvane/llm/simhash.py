@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, local, release, thin, unsent, unused
+from .common import cut, local, release, settled, thin, unsent, unused
 from .components import connected_components, near_labels
 
 BITS = 64
@@ -238,11 +238,6 @@ def set_digest(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
-def sweep(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of jobs whose results are cut: it does so once the driver collects its garbage."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def signed64(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -326,13 +321,12 @@ def whole_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame)
 def similar_links(docs: DataFrame, text_col: str, shingle: int, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (x, y: digests) whose whole shingle sets have that Jaccard similarity, as src and dst."""
     ends = pairs.select(F.col("x").alias("digest")).distinct().unionByName(pairs.select(F.col("y").alias("digest")).distinct()).distinct()
-    sets = cut(whole_sets(docs, text_col, shingle, texts.join(ends, "digest", "left_semi").select("tkey")), "sets")
+    sets = settled(whole_sets(docs, text_col, shingle, texts.join(ends, "digest", "left_semi").select("tkey")), "sets")
     sets_of = lambda c, s: sets.select(F.col("digest").alias(c), F.col("hashes").alias(s))
     told = pairs.join(unsent(sets_of("x", "s")), "x").join(unsent(sets_of("y", "t")), "y")
     shared = F.size(F.array_intersect("s", "t"))
-    links = cut(told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
+    links = settled(told.where(shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
     release(sets)
-    sweep(docs)
     return links
 
 
@@ -432,7 +426,7 @@ def open_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 def fingerprint_pairs(texts: DataFrame, threshold: int, hot: int) -> DataFrame:
     """Pairs (x, y: digests) that the fingerprints tell of: equal ones with one of them, and those within threshold bits."""
-    held = cut(texts.groupBy("fp").agg(F.min("digest").alias("y")), "held")
+    held = settled(texts.groupBy("fp").agg(F.min("digest").alias("y")), "held")
     same = texts.join(held, "fp").select(F.col("digest").alias("x"), "y")
     near = fingerprint_links(held.select("fp"), threshold, hot)
     near = near.join(held.select(F.col("fp").alias("src"), F.col("y").alias("x")), "src").join(held.select(F.col("fp").alias("dst"), "y"), "dst").select("x", "y")
@@ -455,39 +449,38 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Null and empty texts are alike. A null id gets the component's smallest id, null if it has none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), text_columns(F.col(text_col), shingle, bands, band_rows).alias("p"))
-    rows = cut(rows.select("doc_id", "tkey", "p.*"), "near")
+    rows = settled(rows.select("doc_id", "tkey", "p.*"), "near")
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("tkey").alias("tkey"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
-    texts = cut(texts, "texts")
+    texts = settled(texts, "texts")
     stand = texts.select(F.col("digest").alias("x"), F.explode("keys").alias("key"))
     drawn = stand.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("one"), F.count("*").alias("times")).where("times > 1")
-    stand = cut(stand.join(unsent(drawn.select("key", F.col("one.x").alias("y"))), "key"), "stand")
+    stand = settled(stand.join(unsent(drawn.select("key", F.col("one.x").alias("y"))), "key"), "stand")
     pairs = stand.select("x", "y").unionByName(fingerprint_pairs(texts, threshold, hot)).where("x != y")
-    pairs = cut(pairs.groupBy(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).agg(F.count("*").alias("votes")), "pairs")
+    pairs = settled(pairs.groupBy(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).agg(F.count("*").alias("votes")), "pairs")
     best = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
-    links = similar_links(docs, text_col, shingle, texts, cut(best, "best"), similarity)
-    labels = cut(near_labels(links), "labels")
+    links = similar_links(docs, text_col, shingle, texts, settled(best, "best"), similarity)
+    labels = settled(near_labels(links), "labels")
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"root_{c}"))
     apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
-    others = cut(pairs.join(unsent(best), ["x", "y"], "left_anti").join(unsent(of("x")), "x", "left").join(unsent(of("y")), "y", "left").where(apart).select("x", "y"), "others")
+    others = settled(pairs.join(unsent(best), ["x", "y"], "left_anti").join(unsent(of("x")), "x", "left").join(unsent(of("y")), "y", "left").where(apart).select("x", "y"), "others")
     if not others.isEmpty():
         links = links.unionByName(similar_links(docs, text_col, shingle, texts, others, similarity))
     roots = connected_components(links)
     stand = stand.select("key", "x").join(unsent(roots.select(F.col("node").alias("x"), "root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    stand = cut(stand, "rooted")
+    stand = settled(stand, "rooted")
     sizes = stand.groupBy("key", "root").count()
     homes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.count("*").alias("roots")).where("roots > 1").select("key", "home")
-    open_ = cut(stand.join(unsent(homes), "key"), "open")
+    open_ = settled(stand.join(unsent(homes), "key"), "open")
     if not open_.isEmpty():
         ends = texts.join(unsent(open_.select(F.col("x").alias("digest")).distinct()), "digest", "left_semi")
-        sets = cut(whole_sets(docs, text_col, shingle, ends.select("tkey")), "sets")
-        rest = cut(open_links(open_, sets, similarity).distinct(), "rest")
+        sets = settled(whole_sets(docs, text_col, shingle, ends.select("tkey")), "sets")
+        rest = settled(open_links(open_, sets, similarity).distinct(), "rest")
         release(sets)
-        sweep(docs)
         if not rest.isEmpty():
             roots = connected_components(links.unionByName(rest))
     classes = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
     least = classes.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
-    told = cut(classes.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("digest2"), "component_id"), "classes")
+    told = settled(classes.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("digest2"), "component_id"), "classes")
     return rows.join(told, F.col("digest") == F.col("digest2")).select("doc_id", "component_id")
 
 
@@ -500,7 +493,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep_col, nth = unused(docs, "keep"), unused(docs, "nth")
     parts = near_duplicate_components(docs, id_col, text_col, **how)
     keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep_col)).distinct()
-    keep = cut(keep, "keep")
+    keep = settled(keep, "keep")
     named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(keep_col), "left_semi")
     key = text_key(text_col)  # rows lie by id already: no second shuffle
     kept = named.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(key))).where(F.col(nth) == 1).drop(nth)
