@@ -35,14 +35,15 @@ def strides(n: int, axis: dict[str, int]) -> list[Column]:
     return out
 
 
-def sized_strata(components: DataFrame, half_width: float, budget: int, z: float = 1.96, least: int = 2, most: int = 50, multi: Column | None = None, multi_floor: int = 2) -> DataFrame:
+def sized_strata(components: DataFrame, half_width: float, budget: int, z: float = 1.96, least: int = 2, most: int = 50, multi: Column | None = None) -> DataFrame:
     """Components per stratum (n_items, between, within) with reps, scaled down together where they exceed the budget, to no
-    fewer than `least`. Strata of several turns (multi) need at least multi_floor before that. One row a stratum."""
+    fewer than `least`. Before that, strata of several turns (multi) get no fewer than any of a single turn. One row a stratum."""
     room = F.lit(half_width**2 / z**2) - F.col("between") / F.col("n_items")
     need = F.when(room > 0, F.ceil(F.col("within") / (F.col("n_items") * F.when(room > 0, room))))
     out = components.withColumn("needed", F.least(F.greatest(F.coalesce(need, F.lit(most)), F.lit(least)), F.lit(most)).cast("long"))
     if multi is not None:
-        out = out.withColumn("needed", F.when(multi, F.greatest("needed", F.lit(multi_floor))).otherwise(F.col("needed")).cast("long"))
+        single = F.coalesce(F.max(F.when(~multi, F.col("needed"))).over(Window.partitionBy()), F.lit(0))
+        out = out.withColumn("needed", F.when(multi, F.greatest("needed", single)).otherwise(F.col("needed")).cast("long"))
     trials = F.sum(F.col("needed") * F.col("n_items")).over(Window.partitionBy())
     scaled = F.greatest(F.floor(F.col("needed") * F.lit(float(budget)) / trials), F.lit(least)).cast("long")
     return out.withColumn("reps", F.when(trials > budget, scaled).otherwise(F.col("needed")))

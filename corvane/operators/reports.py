@@ -37,6 +37,16 @@ def equal_to(rows: DataFrame, wanted: dict[str, object], allowed: list[str] | No
     return rows
 
 
+def in_cohort(rows: DataFrame, predicate: dict[str, object], turn_type: str | None = None, axis: str = "turn_type") -> DataFrame:
+    """Rows whose axes equal all values of a stratum's predicate, nulls equalling nulls. The stratum's own turn type holds as
+    well where the predicate does not name that axis."""
+    wanted = predicate if turn_type is None or axis in predicate else {**predicate, axis: turn_type}
+    out = F.lit(True)
+    for c, v in wanted.items():
+        out = out & F.col(c).eqNullSafe(F.lit(v))
+    return rows.where(out)
+
+
 def chart_selection(rows: DataFrame, agents: list[str] = (), sessions: list | None = None, category: str | None = None) -> DataFrame:
     """rows with selected and the reason why not (agent, session, category); no agents or sessions: all."""
     out = F.when(~F.col("agent").isin(*agents), "agent") if agents else F.when(F.lit(False), "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..shared import dropped, written
+from ..shared import dropped, observed, written
 
 
 def scoped(docs: DataFrame, wanted: dict[str, str | list[str] | None], everyone: str = "all") -> DataFrame:
@@ -60,10 +60,11 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     wanted = terms.select("term").distinct()
     seen = Observation()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.observe(seen, F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean"))
-    held = rows.select("row", "doc_id", F.size("w").alias("n"), F.explode("w").alias("term")).join(bounded(wanted, wanted.count()), "term", "left_semi")
+    figures = [F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean")]
+    held = rows.observe(seen, *figures).select("row", "doc_id", F.size("w").alias("n"), F.explode("w").alias("term")).join(bounded(wanted, wanted.count()), "term", "left_semi")
     out = written(held.groupBy("row", "doc_id", "n", "term").agg(F.count("*").alias("tf")), "postings")
-    return Postings(out, seen.get["docs"], seen.get["mean"] or 0.0)
+    told = observed(seen, lambda: rows.agg(*figures).first().asDict())  # read anew only if no document holds any term
+    return Postings(out, told["docs"], told["mean"] or 0.0)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "text", k1: float = 1.2, b: float = 0.75, posted: Postings | None = None) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import unused
+from .ordering import running
+
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key, that of the highest order; by aggregation, so a key with many rows is combined before the shuffle."""
@@ -28,8 +31,9 @@ def drifting(rows: DataFrame, group: str, session: str, order: str, value: str,
 
 def hash_sample(rows: DataFrame, group: list[str], key: list[str], n: int, seed: str) -> DataFrame:
     """n rows of each group, first in the order of SHA-256 of seed and key: the same on every run."""
-    rows = rows.withColumn("_h", F.sha2(F.concat_ws("\x1f", F.lit(seed), *[F.col(k).cast("string") for k in key]), 256))
-    return rows.withColumn("pick", F.row_number().over(Window.partitionBy(*group).orderBy("_h", *key))).where(F.col("pick") <= n).drop("_h")
+    h = unused(rows, "h")
+    rows = rows.withColumn(h, F.sha2(F.concat_ws("\x1f", F.lit(seed), *[F.col(k).cast("string") for k in key]), 256))
+    return rows.withColumn("pick", F.row_number().over(Window.partitionBy(*group).orderBy(h, *key))).where(F.col("pick") <= n).drop(h)
 
 
 def largest_remainder(strata: DataFrame, name: str, size: str, total: int) -> DataFrame:
@@ -38,39 +42,29 @@ def largest_remainder(strata: DataFrame, name: str, size: str, total: int) -> Da
     No stratum gets more than its size; a total beyond all sizes fills them. Strata are a bounded list (one row each), so
     their ranking is a single window over them.
     """
+    exact, whole, room, left, turn_, nth, more_, of = (unused(strata, c) for c in ("exact", "whole", "room", "left", "turn", "nth", "more", "of"))
     every = Window.partitionBy()
     all_ = F.sum(size).over(every)
-    out = strata.withColumn("_exact", F.coalesce(F.try_divide(F.col(size) * F.least(F.lit(total), all_), all_), F.lit(0.0)).cast("double"))
-    out = out.withColumn("_whole", F.least(F.floor(F.round("_exact", 9)), F.col(size)).cast("long")).withColumn("_room", F.col(size) - F.col("_whole"))
-    out = out.withColumn("_left", F.least(F.lit(total), all_) - F.sum("_whole").over(every))
-    turn = Window.orderBy("_turn", F.desc(F.round(F.col("_exact") - F.floor(F.round("_exact", 9)), 9)), name)
-    turns = out.where("_room > 0 AND _left > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_room"), F.col("_left")))).alias("_turn"))
-    more = turns.withColumn("_nth", F.row_number().over(turn)).where("_nth <= _left").groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("_more"))
-    out = out.join(more, F.col(name) == F.col("_name"), "left")
-    return out.withColumn("seats", (F.col("_whole") + F.coalesce("_more", F.lit(0))).cast("long")).select(*strata.columns, "seats")
+    out = strata.withColumn(exact, F.coalesce(F.try_divide(F.col(size) * F.least(F.lit(total), all_), all_), F.lit(0.0)).cast("double"))
+    out = out.withColumn(whole, F.least(F.floor(F.round(exact, 9)), F.col(size)).cast("long")).withColumn(room, F.col(size) - F.col(whole))
+    out = out.withColumn(left, F.least(F.lit(total), all_) - F.sum(whole).over(every))
+    turn = Window.orderBy(turn_, F.desc(F.round(F.col(exact) - F.floor(F.round(exact, 9)), 9)), name)
+    turns = out.where((F.col(room) > 0) & (F.col(left) > 0)).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col(room), F.col(left)))).alias(turn_))
+    more = turns.withColumn(nth, F.row_number().over(turn)).where(F.col(nth) <= F.col(left)).groupBy(F.col(name).alias(of)).agg(F.count("*").alias(more_))
+    out = out.join(more, F.col(name) == F.col(of), "left")
+    return out.withColumn("seats", (F.col(whole) + F.coalesce(more_, F.lit(0))).cast("long")).select(*[c for c in strata.columns if c != "seats"], "seats")
 
 
-def numbered(rows: DataFrame, stratum: str, order: str, run: Column, name: str = "_nth") -> DataFrame:
-    """rows with their place (from 1) in the order of a text column of hex digits, within the stratum.
+def hold_out(rows: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
+    """rows with held_out: round(n x share) of each stratum, one at least and not all, by the order of a hash of the key.
 
-    Rows are numbered within runs, equal leading digits of the order, and offset by the rows of the runs before: a
-    stratum with most rows is no single task.
+    Rows are placed by running counts over ranges, so a stratum with most rows is no single task.
     """
-    rows = rows.withColumn("_run", run)
-    counts = rows.groupBy(stratum, "_run").count()
-    w = Window.partitionBy(stratum)
-    counts = counts.withColumns({"_before": F.coalesce(F.sum("count").over(w.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_size": F.sum("count").over(w)})
-    counts = counts.select(F.col(stratum).alias("_s"), F.col("_run").alias("_r"), "_before", "_size")
-    inside = F.row_number().over(Window.partitionBy(stratum, "_run").orderBy(order))
-    return rows.withColumn(name, inside).join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_run") == F.col("_r"))).withColumn(name, F.col(name) + F.col("_before")).drop("_s", "_r", "_run", "_before")
-
-
-def hold_out(rows: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
-    """rows with held_out: round(n x share) of each stratum, one at least and not all, by the order of a hash of the key."""
-    hashed = rows.withColumn("_h", F.concat(F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(key).cast("string")), 256), F.col(key).cast("string")))
-    placed = numbered(hashed, stratum, "_h", F.left("_h", F.lit(3)))
-    take = F.least(F.greatest(F.bround(F.col("_size") * F.lit(share)), F.lit(1)), F.col("_size") - 1)
-    return placed.withColumn("held_out", F.col("_nth") <= take).select(*rows.columns, "held_out")
+    h, nth, size = (unused(rows, c) for c in ("h", "nth", "size"))
+    hashed = rows.withColumn(h, F.concat(F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(key).cast("string")), 256), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    placed = running(hashed, [stratum], [h], nth, total=size)
+    take = F.least(F.greatest(F.bround(F.col(size) * F.lit(share)), F.lit(1)), F.col(size) - 1)
+    return placed.withColumn("held_out", F.col(nth) < take).select(*[c for c in rows.columns if c != "held_out"], "held_out")
 
 
 def round_robin(rows: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:
@@ -87,8 +81,8 @@ def canonical(rows: DataFrame, order: list[str]) -> DataFrame:
 def stops(rows: DataFrame, group: str, order: list[str], value: str, limit: int) -> DataFrame:
     """Per group: the place (from 0) of the row that ends the first losing streak of `limit` rows, null if none does."""
     streaks = losing_streaks(rows, group, order, value)
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return streaks.withColumn("_at", at).groupBy(group).agg(F.min(F.when(F.col("streak") >= limit, F.col("_at"))).cast("long").alias("stop_at"))
+    at, place = unused(streaks, "at"), F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    return streaks.withColumn(at, place).groupBy(group).agg(F.min(F.when(F.col("streak") >= limit, F.col(at))).cast("long").alias("stop_at"))
 
 
 def representative(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -100,9 +94,10 @@ def representative(rows: DataFrame, key: list[str], order: list[str]) -> DataFra
 def losing_streaks(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """rows with streak: how many in a row, ending here, did not beat the best before them."""
     w = Window.partitionBy(group).orderBy(*order)
+    flag, island = unused(rows, "better"), unused(rows, "island")
     better = F.coalesce(F.col(value) > F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    out = rows.withColumn("_better", better.cast("int")).withColumn("_island", F.sum("_better").over(w))
-    return out.withColumn("streak", (F.row_number().over(Window.partitionBy(group, "_island").orderBy(*order)) - 1).cast("long")).drop("_better", "_island")
+    out = rows.withColumn(flag, better.cast("int")).withColumn(island, F.sum(flag).over(w))
+    return out.withColumn("streak", (F.row_number().over(Window.partitionBy(group, island).orderBy(*order)) - 1).cast("long")).drop(flag, island)
 
 
 def collapse(rows: DataFrame, levels: list[list[str]], item: str, least: int) -> DataFrame:

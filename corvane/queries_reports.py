@@ -47,6 +47,18 @@ def requested_orders(spark, d):
     return rp.equal_to(t(spark, d, "orders"), wanted, ["o_orderstatus", "o_orderpriority", "o_custkey"]).select("o_orderkey", "o_custkey")
 
 
+@query("SELECT user_id, event_id FROM events WHERE event_type = 'view' AND user_id % 3 = 0")
+def cohort_events(spark, d):
+    """Events of a cohort of two axes, one of them told by the stratum and not by the predicate."""
+    rows = events(spark, d).withColumns({"tone": F.col("event_type"), "turn_type": F.when(F.col("user_id") % 3 == 0, "multi").otherwise("single")})
+    return rp.in_cohort(rows, {"tone": "view"}, "multi").select("user_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' AND o_orderpriority = '2-HIGH'")
+def log_history(spark, d):
+    return logs.history(t(spark, d, "orders"), "1997-01-01", "1999-01-01", "o_orderdate", o_orderpriority="2-HIGH", o_orderstatus=None).select("o_orderkey", "o_orderstatus")
+
+
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'")
 def exact_metadata(spark, d):
     return rp.equal_to(t(spark, d, "documents"), {"lang": "en", "source": "src1"}).select("doc_id")
@@ -289,11 +301,11 @@ def canonical_events(spark, d):
     return sel.canonical(events(spark, d), ["user_id", "event_type", "ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query(f"""WITH {VC}, q AS (SELECT *, 16.0::DOUBLE / (1.96 * 1.96) - between_ / n_items AS room FROM vc), j AS (SELECT event_type, n_items, least(greatest(coalesce(CASE WHEN room > 0 THEN ceil(within / (n_items * room)) END, 50), 2), 50)::BIGINT AS own FROM q), k AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN greatest(own, 9) ELSE own END AS needed FROM j),
+@query(f"""WITH {VC}, q AS (SELECT *, 16.0::DOUBLE / (1.96 * 1.96) - between_ / n_items AS room FROM vc), j AS (SELECT event_type, n_items, least(greatest(coalesce(CASE WHEN room > 0 THEN ceil(within / (n_items * room)) END, 50), 2), 50)::BIGINT AS own FROM q), k AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN greatest(own, max(own) FILTER (event_type NOT IN ('click', 'view')) OVER ()) ELSE own END AS needed FROM j),
 z AS (SELECT *, sum(needed * n_items) OVER () AS trials FROM k) SELECT event_type, needed, CASE WHEN trials > 3000 THEN greatest(floor(needed * 3000.0::DOUBLE / trials), 2)::BIGINT ELSE needed END AS reps FROM z""")
 def strata_sizes(spark, d):
     parts = st.variance_components(events(spark, d), ["event_type"], "user_id", "value")
-    return pl.sized_strata(parts, 4.0, 3000, multi=F.col("event_type").isin("click", "view"), multi_floor=9).select("event_type", "needed", "reps")
+    return pl.sized_strata(parts, 4.0, 3000, multi=F.col("event_type").isin("click", "view")).select("event_type", "needed", "reps")
 
 
 @query("""WITH RECURSIVE s AS (SELECT p_brand AS name, count(*) AS size FROM part GROUP BY 1), t_ AS (SELECT unnest([10, 60, 200]) AS total, unnest([0, 1, 2]) AS i),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -58,12 +60,17 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     fs = target.getFileSystem(conf)
+    local = fs.getScheme() == "file"
+    fs = fs.getRawFileSystem() if local else fs  # else a checksum file would have to turn with the file
     fs.mkdirs(target.getParent())
     out = fs.create(beside)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    if local:
+        fs.rename(beside, target)
+        return
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(rename, 1)
     how[0] = rename.OVERWRITE
@@ -93,3 +100,13 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
 def removed(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def observed(seen: Observation, otherwise: Callable[[], dict]) -> dict:
+    """What was observed while a job ran; else what `otherwise` finds. Spark loses the figures when it learns, while the job
+    runs, that what comes after a shuffle is empty, and drops that part of the plan."""
+    try:
+        found = seen.get
+    except Py4JJavaError:
+        found = {}
+    return found or otherwise()

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_tags
+from ..shared import unused
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, tags: list[str] = (), sep: str = ",", tag_sep: str = r"\|") -> DataFrame:
@@ -18,6 +18,55 @@ def read_delimited(spark: SparkSession, path: str, schema: str, tags: list[str]
     return rows.withColumns({t: split_tags(F.col(t), tag_sep) for t in tags}) if tags else rows
 
 
+def read_index(spark: SparkSession, path: str, schema: str, id_col: str, nullable: list[str] = ()) -> DataFrame:
+    """A tab-separated index with a header: rows with a blank id are skipped, blank cells of `nullable` are null."""
+    rows = spark.read.csv(path, header=True, schema=schema, sep="\t", quote="")
+    rows = rows.where(F.trim(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) != "")
+    return rows.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in nullable}) if nullable else rows
+
+
+def texts_of_fields(fields: Column, kinds: Column, rich: str = "rich_text") -> Column:
+    """The texts of a map of fields, in the order of their names and joined by blanks: those whose kind in the map kinds is
+    `rich` as block trees, the others as they are; blank ones are left out."""
+    names = F.array_sort(F.map_keys(fields))
+    is_rich = lambda n: F.coalesce(F.element_at(kinds, n) == rich, F.lit(False))
+    # one tree holds the rich fields, one list the plain ones: the Python function is called once a row
+    tree = F.to_json(F.transform(names, lambda n: F.struct(F.when(is_rich(n), F.element_at(fields, n)).alias("rich"), F.when(~is_rich(n), F.element_at(fields, n)).alias("plain"))))
+
+    @F.pandas_udf("string")
+    def joined(values: pd.Series) -> pd.Series:
+        def walk(node, out):
+            if isinstance(node, list):
+                for x in node:
+                    walk(x, out)
+            elif isinstance(node, dict):
+                if isinstance(node.get("text"), str):
+                    out.append(node["text"])
+                walk(node.get("children", []), out)
+                if node.get("url"):
+                    out.append(f"({node['url']})")
+
+        def one(value):
+            parts = []
+            for f in json.loads(value):
+                own: list[str] = []
+                if "rich" in f:
+                    try:
+                        tree = json.loads(f["rich"])
+                        tree = json.loads(tree) if isinstance(tree, str) and tree[:1] in ("[", "{") else tree
+                    except ValueError:
+                        tree = f["rich"]
+                    own.append(tree) if isinstance(tree, str) else walk(tree, own)
+                else:
+                    own.append(f.get("plain") or "")
+                parts.append(" ".join(" ".join(own).replace("\xa0", " ").split()))
+            return " ".join(p for p in parts if p)
+
+        return values.map(one, na_action="ignore")
+
+    return joined(tree)
+
+
 def text_of_blocks(content: Column) -> Column:
     """Text of a JSON block tree (string-encoded or not): leaves joined by spaces, links followed by (url)."""
 
@@ -61,28 +110,6 @@ def latest_keys(metadata: Column) -> Column:
     return F.map_from_entries(F.transform(best, lambda e: F.struct(e["base"], e["value"])))
 
 
-def publish(rows: DataFrame, root: str, expected: int) -> str | None:
-    """Writes a version beside the live one and makes it live if it holds at least the expected rows; else keeps the old."""
-    spark = rows.sparkSession
-    version = uuid.uuid4().hex
-    rows.write.parquet(f"{root}/versions/{version}")
-    if spark.read.parquet(f"{root}/versions/{version}").count() < expected:
-        return None
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/live")
-    return version
-
-
-def live(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was made live last."""
-    version = spark.read.parquet(f"{root}/live").orderBy(F.desc("at")).first().version
-    return spark.read.parquet(f"{root}/versions/{version}")
-
-
-def newer(nodes: DataFrame, changed: str, mark: str | None) -> DataFrame:
-    """Nodes changed after the high-water mark; all if there is none."""
-    return nodes.where(F.col(changed) > mark) if mark else nodes
-
-
 def body_table(rows: DataFrame, key: str, body: str, order: list[str]) -> DataFrame:
     """(key, body): the last body of each key that is not blank."""
     full = rows.where(F.coalesce(F.trim(body), F.lit("")) != "")
@@ -91,12 +118,12 @@ def body_table(rows: DataFrame, key: str, body: str, order: list[str]) -> DataFr
 
 def layered(layers: list[DataFrame], key: list[str]) -> DataFrame:
     """One row per key from layers of equal columns: that of the last layer that has it."""
-    out = None
+    out, at = None, unused(layers[0], "layer")
     for i, layer in enumerate(layers):
-        one = layer.withColumn("_layer", F.lit(i))
+        one = layer.withColumn(at, F.lit(i))
         out = one if out is None else out.unionByName(one)
     rest = [c for c in layers[0].columns if c not in key]
-    return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "_layer").alias("_r")).select(*key, "_r.*")
+    return out.groupBy(*key).agg(F.max_by(F.struct(*rest), at).alias(at)).select(*key, f"{at}.*")
 
 
 def build(rows: DataFrame, metadata: DataFrame, key: str, order: list[str], fields: list[str], default: str = "all") -> DataFrame:

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import observed
+
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSONL files under a schema; none if there is no such path. A file's last line may be torn and is left out;
@@ -116,7 +118,7 @@ def backfill(lines: DataFrame, judged: DataFrame, root: str, schema: str, key: s
     mine = judged.select(F.col(key).alias("_key"), *[F.col(c) for c in judged.columns if c != key])
     told.join(mine, (F.col(key) == F.col("_key")) & (F.col("outcome") == "instance"), "left").drop("_key").write.partitionBy("outcome").parquet(root)
     left = lines.sparkSession.read.schema("outcome string, " + f"{model} string").parquet(root).where("outcome = 'unknown'").groupBy(F.coalesce(model, F.lit(""))).count().collect()  # models are few
-    c = seen.get
+    c = observed(seen, lambda: dict.fromkeys(("instance", "malformed", "unknown", "oversize"), 0))  # no lines at all
     return Backfilled(c["instance"], c["malformed"], c["unknown"], c["oversize"], {r[0]: r[1] for r in left})
 
 

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import get_text, names_in, put_text, removed
+from ..shared import get_text, names_in, observed, put_text, removed
 
 
 class Outcome(NamedTuple):
@@ -58,9 +58,10 @@ def rebuild(nodes: DataFrame, root: str, changed: str, index: Callable[[DataFram
         return Outcome("unchanged", version=now["version"], mark=mark)
     version, seen = uuid.uuid4().hex, Observation()
     path = f"{root}/versions/{version}"
-    told = index(nodes).observe(seen, F.count(F.when(F.col(skip).isNull(), 1)).alias("indexed"), F.count(skip).alias("skipped"))
-    told.where(F.col(skip).isNull()).drop(skip).write.parquet(path)
-    indexed, skipped = seen.get["indexed"], seen.get["skipped"]
+    figures = [F.count(F.when(F.col(skip).isNull(), 1)).alias("indexed"), F.count(skip).alias("skipped")]
+    index(nodes).observe(seen, *figures).where(F.col(skip).isNull()).drop(skip).write.parquet(path)
+    told = observed(seen, lambda: index(nodes).agg(*figures).first().asDict())
+    indexed, skipped = told["indexed"], told["skipped"]
     read_back, need = spark.read.parquet(path).count(), n if expected is None else expected
     if skipped or indexed < need or read_back < need:
         removed(spark, path)

@@ -53,16 +53,6 @@ def test_blocks_and_latest_keys(spark):
     assert m == {"a": "y", "b": "w"}
 
 
-def test_versions_keep_the_live_one(spark, tmp_path):
-    root = str(tmp_path / "index")
-    assert corpus.publish(spark.range(5), root, 5)
-    assert corpus.publish(spark.range(3), root, 5) is None
-    assert corpus.live(spark, root).count() == 5
-    assert corpus.publish(spark.range(7), root, 6) and corpus.live(spark, root).count() == 7
-    nodes = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "i int, at string")
-    assert corpus.newer(nodes, "at", "2024-01-01").count() == 1 and corpus.newer(nodes, "at", None).count() == 2
-
-
 def test_stream_counts_each_event_once(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.unionByName(events.limit(10)).write.parquet(str(tmp_path / "in"))
