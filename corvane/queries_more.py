@@ -6,12 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .functions import answers as an
 from .functions import markup as mk
+from .functions import ranking as rk
+from .functions import scores as sc
+from .functions import text as tx
 from .operators import calibration as cal
+from .operators import retrieval as rt
 from .operators import similarity as sim
-from .queries import VC, query, r6, t
+from .queries import BM25, OVERLAP, VC, legs, query, r6, t
 from .shared import scratch, written
-from .sources import published
+from .sources import corpus, logs, published
 from .streaming import keyed, live
 
 #: Newton steps that the SQL takes for a calibration; beyond about ten nothing moves.
@@ -116,3 +121,72 @@ def markdown_blocks(spark, d):
     rows = written(rows.withColumn("out", mk.markdown_of(F.col("b"))), "markdown")
     again = mk.blocks(F.col("out"))
     return rows.select("doc_id", F.size("b").alias("n_blocks"), F.array_join(F.transform("b", lambda x: x["kind"]), ",").alias("kinds"), mk.plain_text(F.col("b")).alias("plain"), (again == F.col("b")).alias("same"))
+
+
+@query(f"""WITH {BM25}, {OVERLAP} SELECT query_id, doc_id, 'lexical' AS arm, rank::INTEGER AS arm_rank FROM bm UNION ALL SELECT query_id, doc_id, 'overlap', rank::INTEGER FROM ov""")
+def candidate_arms(spark, d):
+    lexical, overlap = legs(spark, d)
+    return rt.arms({"lexical": lexical, "overlap": overlap})
+
+
+@query("""SELECT p_partkey, p_type || '|' || p_brand AS piped, [p_brand, p_type] AS tags, lower(p_name) AS title, round(1 / (1 + exp(-(p_retailprice - 950) / 50)), 9) AS logit, least(p_size / 40.0, 1)::DOUBLE AS unit, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE p_retailprice END AS finite FROM part""")
+def field_texts(spark, d):
+    rows = t(spark, d, "part")
+    listed = F.concat("p_type", F.lit(" , ,"), "p_brand", F.lit(","))
+    tags = F.concat(F.lit(" "), "p_brand", F.lit(",n/a,"), "p_type", F.lit(", ,"), "p_brand")
+    title = F.concat("p_name", F.lit(" - North"), F.lit(" (new)"))
+    odd = F.when(F.col("p_size") % 14 == 0, float("nan")).when(F.col("p_size") % 7 == 0, float("inf")).otherwise(F.col("p_retailprice"))
+    return rows.select(
+        "p_partkey", corpus.piped(listed).alias("piped"), tx.split_tags(tags, blanks=("n/a",)).alias("tags"), tx.plain_title(title).alias("title"),
+        F.round(an.squash((F.col("p_retailprice") - 950) / 50, "logit"), 9).alias("logit"), an.squash(F.col("p_size") / 40, "unit").alias("unit"), sc.finite(odd).alias("finite"))
+
+
+@query("""SELECT p_partkey, p_brand AS title, CASE WHEN p_size % 2 = 0 THEN 'second' ELSE p_type END AS scope, 'part' AS content_type, CASE WHEN p_size % 2 = 0 THEN 4 ELSE 3 END::INTEGER AS n FROM part""")
+def metadata_maps(spark, d):
+    """Fields without the body, overwritten by the latest keys of each name, with the content type."""
+    rows = t(spark, d, "part")
+    fields = F.create_map(F.lit("title"), F.col("p_brand"), F.lit("scope"), F.col("p_type"), F.lit("body"), F.col("p_name"))
+    keys = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("scope-2"), F.lit("second"), F.lit("scope-10"), F.lit("tenth"), F.lit("scope"), F.lit("first"), F.lit("note-1"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>"))
+    keys = F.when(F.col("p_size") % 2 == 0, F.map_filter(keys, lambda k, v: k != "scope-10")).otherwise(keys)
+    m = an.assembled(fields, corpus.latest_keys(keys), ["body"], F.lit("part"))
+    return rows.select("p_partkey", m["title"].alias("title"), m["scope"].alias("scope"), m["content_type"].alias("content_type"), F.size(m).alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 3 > 0 THEN props END AS props FROM events")
+def logged_events(spark, d):
+    """Events as lines of a log, nulls and blank lines among them, read back."""
+    path = f"{scratch(spark)}/lines-{uuid.uuid4().hex}"
+    rows = t(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("props"))
+    logs.as_lines(rows).select(F.concat("value", F.when(F.monotonically_increasing_id() % 5 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    return logs.read_log(spark, path, "event_id long, user_id long, event_type string, value double, props string")
+
+
+@query("SELECT o_orderpriority, count(*)::BIGINT AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def written_reports(spark, d):
+    """A report as one sorted text, read back."""
+    path = f"{scratch(spark)}/report-{uuid.uuid4().hex}"
+    logs.write_report(t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")), path)
+    return spark.read.schema("mean double, n long, o_orderpriority string").json(path).select("o_orderpriority", "n", "mean")
+
+
+@query("SELECT c_custkey, [c_mktsegment, 'n' || c_nationkey] AS tags, CASE WHEN c_acctbal > 0 THEN c_name END AS content FROM customer WHERE c_custkey % 11 > 0")
+def delimited_corpus(spark, d):
+    """Customers as a tab-separated index with blank ids and cells, and as a file with lists in cells, read back and joined."""
+    base = f"{scratch(spark)}/delimited-{uuid.uuid4().hex}"
+    rows = t(spark, d, "customer")
+    rows.select("c_custkey", F.concat("c_mktsegment", F.lit("| |n"), F.col("c_nationkey").cast("string")).alias("tags")).write.csv(f"{base}/tags", header=True)
+    rows.select(F.when(F.col("c_custkey") % 11 > 0, F.col("c_custkey").cast("string")).otherwise(" ").alias("id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise("").alias("content")).write.csv(f"{base}/index", header=True, sep="\t", quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    tags = corpus.read_delimited(spark, f"{base}/tags", "c_custkey long, tags string", ["tags"])
+    index = corpus.read_index(spark, f"{base}/index", "id string, content string", "id", ["content"])
+    return tags.join(index, F.col("c_custkey") == F.col("id").cast("long")).select("c_custkey", "tags", "content")
+
+
+@query("""WITH l AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS r, coalesce(list(event_id ORDER BY ts, event_id) FILTER (event_type = 'purchase' AND value > 60), []) AS g FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN len(g) > 0 THEN round(len(list_intersect(r[1:5], g)) / len(g)::DOUBLE, 6) END AS recall_5, len(g) = 0 AS unavailable FROM l""")
+def metrics_or_none(spark, d):
+    e = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
+    g = F.array_sort(F.collect_list(F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), F.struct("ts", "event_id"))))
+    ids = lambda c: F.transform(c, lambda x: x["event_id"])
+    rows = t(spark, d, "events").groupBy("user_id").agg(ids(e).alias("r"), ids(g).alias("g"))
+    value = rk.unavailable_if_no_gold(rk.recall_at_k(F.col("r"), F.col("g"), 5), F.col("g"))
+    return rows.select("user_id", F.round(value, 6).alias("recall_5"), value.isNull().alias("unavailable"))
