@@ -8,22 +8,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, local, n_words
 
-#: Lengths are told apart exactly up to this one; beyond, in steps of 1 in FINE, so the histogram is bounded.
-EXACT, FINE = 4096, 1024
 #: Rows of a run, within which rows of a bucket are numbered.
 RUN = 2_000
 
 
-def bin_top(n: Column) -> Column:
-    """The longest length that n's bin could hold: n itself up to EXACT, then multiples of the power of two below n / FINE."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) + 1e-12) - F.lit(np.log2(FINE)))
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def boundaries(tops: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
-    """Bucket lengths, among the bins' tops, that minimise padding with at most `buckets` buckets.
+    """Bucket lengths, among the lengths that occur (tops, ascending), that minimise padding with at most `buckets` buckets.
 
-    best[j]: least padding of the first j bins in the buckets so far; a bucket of bins i + 1 to j pads to the top of j.
+    best[j]: least padding of the first j lengths in the buckets so far; a bucket of lengths i + 1 to j pads to the last.
     The best i never falls as j grows, so each round halves the range of j and searches only between its neighbours' i.
     """
     n = len(tops)
@@ -55,17 +47,20 @@ def boundaries(tops: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, buckets: int = 16, budget: int = 16384, seed: int = 23) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, bucket, bucket_len, batch, slot, padding.
 
-    The global histogram of lengths (a bounded number of bins, each with its longest row) gives, by dynamic programming,
-    the bucket lengths of least padding; a bucket is as long as its longest row, and a row goes to the first bucket it fits. A batch holds as many rows of one bucket as fit the budget
-    at the bucket's length, one if a single row exceeds it; texts stay whole. Rows are numbered through a bucket in the
+    The global histogram of lengths gives, by dynamic programming, the bucket lengths of least padding; a bucket is as
+    long as its longest row, and a row goes to the first bucket it fits. The histogram, a row for each length that
+    occurs, is what the driver holds: no more rows than the longest text has tokens, however many texts there are. A
+    batch holds as many rows of one bucket as fit the budget at the bucket's length, one if a single row exceeds it;
+    texts stay whole. Rows are numbered through a bucket in the
     order of a hash: within runs of about RUN rows, offset by the rows of the runs before, so that a bucket with most
     rows is no single task and only the last batch of a bucket can be short. Null and empty texts have no tokens and
     share the first bucket; null ids stay; repeated rows take a slot each; no rows give no rows.
     """
     size = n_words(text_col) if tokens is None else tokens.cast("long")
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), size.alias("n_tokens")), "lengths")
-    histogram = local(rows.groupBy(bin_top(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum"))).sort_values("top")
-    tops = boundaries(histogram["top"].to_numpy(), histogram["n"].to_numpy(), histogram["sum"].to_numpy(), buckets)
+    histogram = local(rows.groupBy("n_tokens").agg(F.count("*").alias("n"))).sort_values("n_tokens")
+    lengths, times = histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy()
+    tops = boundaries(lengths, times, lengths * times, buckets)
     if not tops:
         tops = [0]
     bounds = F.array(*[F.lit(t).cast("long") for t in tops])

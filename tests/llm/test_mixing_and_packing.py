@@ -109,3 +109,14 @@ def test_packing(spark, monkeypatch):
             assert len(held) == max(1, 512 // max(1, held[0].bucket_len))
         assert sorted(r.slot for r in held) == list(range(len(held)))
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_long_lengths_are_told_apart_exactly(spark):
+    lengths = [5000, 5001, 5003, 9000, 9001, 40_000, 40_007, 3, 4, 4, None]
+    docs = spark.createDataFrame([(i if i % 4 else None, n, 1) for i, n in enumerate(lengths)], "doc_id long, n long, bucket int")
+    for buckets in (1, 2, 3, 5):
+        rows = pack(docs, tokens=F.coalesce("n", F.lit(0)), buckets=buckets, budget=10_000).collect()
+        have = sorted({n or 0 for n in lengths})
+        best = min(sum(min(t for t in tops if t >= (n or 0)) - (n or 0) for n in lengths) for k in range(1, buckets + 1) for tops in itertools.combinations(have, min(k, len(have))) if max(tops) == max(have))
+        assert sum(r.padding for r in rows) == best and len(rows) == len(lengths)
+        assert len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
