@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import unused
 from .ordering import running
+from .selection import round_robin
 
 
 def rungs(strata: DataFrame, name: str, size: str, total: int) -> DataFrame:
@@ -94,3 +95,57 @@ def spec_pairs(edges: DataFrame, a: str, b: str, topic_a: str, topic_b: str, per
     across = unused(edges, "across")
     placed = running(edges.withColumn(across, (F.col(topic_a) == F.col(topic_b)).cast("int")), [], [across, a, b], "place").drop(across)
     return placed.withColumn("place", (F.col("place") + 1).cast("int")).withColumn("persona", F.element_at(F.array(*[F.lit(p) for p in personas]), F.pmod(F.col("place") - 1, F.lit(len(personas))) + 1))
+
+
+def subsample(items: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:
+    """The first n items of each stratum. At most n a stratum leave a task."""
+    nth = unused(items, "nth")
+    return items.withColumn(nth, F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col(nth) <= n).drop(nth)
+
+
+def _in_pass(items: DataFrame, name: str, reps: Column) -> DataFrame:
+    return items.withColumns({"pass": F.lit(name), "reps": reps.cast("long")})
+
+
+def pilot_plan(items: DataFrame, stratum: str, order: list[str], per_stratum: int, reps: int) -> DataFrame:
+    """Items with pass and reps: a subsample, every stratum with the same reps, to measure variances."""
+    if reps < 1:
+        raise ValueError("a pilot needs at least one repeat")
+    return _in_pass(subsample(items, stratum, order, per_stratum), "pilot", F.lit(reps))
+
+
+def flat_plan(items: DataFrame, reps: int) -> DataFrame:
+    """Items with pass and reps: every item in one wide pass, no pilot, no cap."""
+    if reps < 1:
+        raise ValueError("a flat plan needs at least one repeat")
+    return _in_pass(items, "wide", F.lit(reps))
+
+
+def demo_plan(items: DataFrame, stratum: str, order: list[str], per_stratum: int, most: int, reps_wide: int = 2, reps_deep: int = 3) -> DataFrame:
+    """Items with pass and reps: at most `most` of a subsample, taken in turn from the strata so that many are touched; the same
+    items wide and deep, so that a model has at most most x (reps_wide + reps_deep) trials."""
+    if most < 1:
+        raise ValueError("a demo needs at least one item")
+    few = round_robin(subsample(items, stratum, order, max(1, min(per_stratum, most))), stratum, order, most).drop("turn")
+    return _in_pass(few, "wide", F.lit(reps_wide)).unionByName(_in_pass(few, "deep", F.lit(reps_deep)))
+
+
+def full_plan(items: DataFrame, stratum: str, order: list[str], per_stratum: int, components: DataFrame, half_width: float, budget: int, **how) -> DataFrame:
+    """Items with pass and reps, sized from a pilot's variances (components: stratum, between, within): wide over all items of a
+    stratum, deep over its subsample, where fewer items ask for more repeats. Each pass is scaled to the budget by itself;
+    strata that the pilot has not measured are left out."""
+    few = subsample(items, stratum, order, per_stratum)
+    out = None
+    for name, rows in (("wide", items), ("deep", few)):
+        sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("n_items"))
+        sized = sized_strata(components.drop("n_items").join(sizes, F.col(stratum) == F.col("_s")).drop("_s"), half_width, budget, **how)
+        reps = sized.select(F.col(stratum).alias("_s"), F.col("reps").alias("_reps"))
+        one = _in_pass(rows.join(reps, F.col(stratum) == F.col("_s")), name, F.col("_reps")).select(*items.columns, "pass", "reps")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def trials(plan: DataFrame, models: list[str]) -> DataFrame:
+    """plan with a row for each model and repeat (rep from 0)."""
+    wide = plan.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    return wide.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reps") - 1)).alias("rep")).drop("reps")

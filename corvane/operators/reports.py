@@ -188,8 +188,8 @@ def slice_scores(rows: DataFrame, slice_: str, conversation: str, score: str, di
 def leaderboard(variants: DataFrame, variant: str, score: str, levers: str) -> DataFrame:
     """Variants by their mean score, fewer levers and name among equals; the first wins. One row a variant."""
     means = variants.groupBy(variant).agg(F.round(F.avg(score), 9).alias("mean"), F.max(levers).alias("levers"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("mean"), "levers", variant))
-    return means.withColumn("place", place).withColumn("winner", F.col("place") == 1)
+    placed = running(means, [], [F.desc("mean"), F.col("levers"), F.col(variant)], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int")).withColumn("winner", F.col("place") == 1)
 
 
 def seeded_stats(rows: DataFrame, seeds: DataFrame, model: str, value: str, error: str, first: str | None = None) -> DataFrame:

@@ -12,7 +12,9 @@ from .functions import ranking as rk
 from .functions import scores as sc
 from .functions import text as tx
 from .operators import calibration as cal
+from .operators import planning as pl
 from .operators import retrieval as rt
+from .operators import statistics as st
 from .operators import similarity as sim
 from .queries import BM25, OVERLAP, VC, legs, query, r6, t
 from .shared import scratch, written
@@ -190,3 +192,31 @@ def metrics_or_none(spark, d):
     rows = t(spark, d, "events").groupBy("user_id").agg(ids(e).alias("r"), ids(g).alias("g"))
     value = rk.unavailable_if_no_gold(rk.recall_at_k(F.col("r"), F.col("g"), 5), F.col("g"))
     return rows.select("user_id", F.round(value, 6).alias("recall_5"), value.isNull().alias("unavailable"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part), few AS (SELECT * FROM k WHERE nth <= 2),
+demo AS (SELECT p_partkey, p_brand FROM k WHERE nth <= 3 ORDER BY nth, p_brand, p_partkey LIMIT 12), x AS (SELECT 'flat' AS plan, 'wide' AS pass, 2 AS reps, p_partkey, p_brand FROM k UNION ALL SELECT 'pilot', 'pilot', 3, p_partkey, p_brand FROM few
+UNION ALL SELECT 'demo', 'wide', 2, p_partkey, p_brand FROM demo UNION ALL SELECT 'demo', 'deep', 3, p_partkey, p_brand FROM demo)
+SELECT plan, pass, p_brand, p_partkey, model, unnest(range(reps))::BIGINT AS rep FROM x, (SELECT unnest(['m1', 'm2']) AS model)""")
+def planned_passes(spark, d):
+    """Trials of a flat, a pilot and a demo plan over the parts, by brand."""
+    items = t(spark, d, "part").select("p_partkey", "p_brand")
+    plans = {"flat": pl.flat_plan(items, 2), "pilot": pl.pilot_plan(items, "p_brand", ["p_partkey"], 2, 3), "demo": pl.demo_plan(items, "p_brand", ["p_partkey"], 3, 12)}
+    out = None
+    for name, plan in plans.items():
+        one = pl.trials(plan, ["m1", "m2"]).select(F.lit(name).alias("plan"), "pass", "p_brand", "p_partkey", "model", "rep")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {VC}, i AS (SELECT DISTINCT event_type, user_id FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS nth FROM i),
+n AS (SELECT 'wide' AS pass, event_type, count(*) AS n FROM i GROUP BY ALL UNION ALL SELECT 'deep', event_type, count(*) FROM k WHERE nth <= 20 GROUP BY ALL),
+q AS (SELECT pass, event_type, n, within, 64.0::DOUBLE / (1.96 * 1.96) - between_ / n AS room FROM n JOIN vc USING (event_type)), r AS (SELECT pass, event_type, n, least(greatest(coalesce(CASE WHEN room > 0 THEN ceil(within / (n * room)) END, 50), 2), 50)::BIGINT AS needed FROM q),
+z AS (SELECT *, sum(needed * n) OVER (PARTITION BY pass) AS trials FROM r), sz AS (SELECT pass, event_type, CASE WHEN trials > 2000 THEN greatest(floor(needed * 2000.0::DOUBLE / trials), 2)::BIGINT ELSE needed END AS reps FROM z)
+SELECT event_type, user_id, pass, reps FROM i JOIN sz USING (event_type) WHERE pass = 'wide' UNION ALL SELECT event_type, user_id, pass, reps FROM k JOIN sz USING (event_type) WHERE pass = 'deep' AND nth <= 20""")
+def sized_passes(spark, d):
+    """The wide and the deep pass of a plan sized from the events' variances."""
+    e = t(spark, d, "events")
+    items = e.select("event_type", "user_id").distinct()
+    parts = st.variance_components(e, ["event_type"], "user_id", "value")
+    return pl.full_plan(items, "event_type", ["user_id"], 20, parts, 8.0, 2000).select("event_type", "user_id", "pass", "reps")
