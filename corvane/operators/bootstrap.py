@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import dropped, written
 from .statistics import item_equal_mean, item_means
 
-#: Items that a leaf holds on average; different values of one item that a piece of its histogram holds.
-LEAF, PIECE = 512, 4096
+#: Items that a leaf holds on average; different values of one item that a piece of its histogram holds; repeats of an item
+#: up to which they are drawn one by one, which gives the same law.
+LEAF, PIECE, FEW = 512, 4096, 1024
 
 
 def _levels(n, size: int):
@@ -27,9 +29,8 @@ def _levels(n, size: int):
     return F.greatest(F.ceil(F.log2(n.cast("double") / F.lit(float(size)))), F.lit(0)).cast("int")
 
 
-def _path(rows: DataFrame, key: list[str], leaf: str, depth: str, size: str, name: str) -> DataFrame:
+def _path(rows: DataFrame, key: list[str], leaf: str, depth: str, deepest: int, size: str, name: str) -> DataFrame:
     """rows with the sizes of the nodes from the root to the row's leaf; one row a leaf, hence few."""
-    deepest = rows.agg(F.max(depth)).first()[0] or 0
     at = [F.sum(size).over(Window.partitionBy(*key, F.expr(f"shiftright({leaf}, greatest({depth} - {d}, 0))"))) for d in range(deepest + 1)]
     return rows.withColumn(name, F.array(*at))
 
@@ -42,7 +43,7 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
     """
     keys = [f"_g{i}" for i in range(len(group))]
     own = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(group, keys)], F.col(item).alias("_i"), F.col(value).cast("double").alias("_v"))
-    counts = own.groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_w"))
+    counts = written(own.groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_w")), "counts")
     items = counts.groupBy(*keys, "_i").agg(F.sum("_w").alias("_n"), _levels(F.count("*"), PIECE).alias("_cuts"))
     items = items.withColumns({"_h": F.xxhash64(F.lit(seed), *keys, "_i"), "_gh": F.xxhash64(F.lit(seed), *keys)})
     groups = items.groupBy("_gh").agg(F.count("*").alias("_items"))
@@ -50,19 +51,22 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
     items = items.join(groups.withColumnRenamed("_gh", "_gh2"), F.col("_gh") == F.col("_gh2")).drop("_gh2")
     items = items.withColumn("_leaf", F.expr("_h & (shiftleft(1L, _depth) - 1)"))
     inside = Window.partitionBy("_gh", "_leaf")
-    items = items.withColumns({"_at": F.row_number().over(inside.orderBy("_h", "_i")) - 1, "_in": F.count("*").over(inside)})
-    leaves = _path(items.groupBy("_gh", "_leaf", "_depth").agg(F.count("*").alias("_size")), ["_gh"], "_leaf", "_depth", "_size", "_sizes")
+    items = written(items.withColumns({"_at": F.row_number().over(inside.orderBy("_h", "_i")) - 1, "_in": F.count("*").over(inside)}), "items")
+    depth, cuts = items.agg(F.coalesce(F.max("_depth"), F.lit(0)), F.coalesce(F.max("_cuts"), F.lit(0))).first()
+    leaves = _path(items.groupBy("_gh", "_leaf", "_depth").agg(F.count("*").alias("_size")), ["_gh"], "_leaf", "_depth", depth, "_size", "_sizes")
     items = items.join(leaves.select(F.col("_gh").alias("_gh2"), F.col("_leaf").alias("_leaf2"), "_sizes"), (F.col("_gh") == F.col("_gh2")) & (F.col("_leaf") == F.col("_leaf2"))).drop("_gh2", "_leaf2")
     cut = items.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_i").alias("_i_"), "_cuts")
     pieces = counts.join(cut, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys] + [F.col("_i").eqNullSafe(F.col("_i_"))])
     pieces = pieces.withColumn("_piece", F.expr("xxhash64(_v) & (shiftleft(1L, _cuts) - 1)"))
     pieces = pieces.groupBy(*keys, "_i", "_piece", "_cuts").agg(F.array_sort(F.collect_list(F.struct("_v", "_w"))).alias("_values"), F.sum("_w").alias("_size"))
-    pieces = _path(pieces, [*keys, "_i"], "_piece", "_cuts", "_size", "_parts")
+    pieces = _path(pieces, [*keys, "_i"], "_piece", "_cuts", cuts, "_size", "_parts")
     pieces = pieces.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_i").alias("_i_"), "_piece", F.transform("_values", lambda x: x["_v"]).alias("_values"), F.transform("_values", lambda x: x["_w"]).alias("_counts"), "_parts", F.col("_cuts").alias("_cuts_"))
     work = items.drop("_cuts").join(pieces, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys] + [F.col("_i").eqNullSafe(F.col("_i_"))])
     work = work.select("_gh", "_leaf", "_depth", "_sizes", "_at", "_in", "_n", "_h", "_piece", "_cuts_", "_parts", "_values", "_counts")
     work = work.repartition("_gh", "_leaf", "_piece").sortWithinPartitions("_gh", "_leaf")
 
+    few = FEW
+
     def gather(batches):
         def generator(*path):
             return np.random.default_rng([int(x) & 0xFFFFFFFFFFFFFFFF for x in (seed, *path)])
@@ -88,15 +92,25 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
                 if len(values) == 1 and cuts == 0:
                     sums += mine * values[0]
                     continue
-                here = walked(mine * n, parts, piece, cuts, h)
                 weights = np.asarray(counts, float)
+                if cuts == 0 and n <= few:  # one draw after the other costs less than a multinomial of each resample
+                    drawn = np.flatnonzero(mine)
+                    ends = np.cumsum(mine[drawn] * n)
+                    if len(ends):
+                        picks = np.repeat(np.asarray(values, float), weights.astype(int))[generator(h, piece, 1 << 41).integers(0, n, ends[-1])]
+                        sums[drawn] += np.add.reduceat(picks, np.r_[0, ends[:-1]]) / n
+                    continue
+                here = walked(mine * n, parts, piece, cuts, h)
                 sums += generator(h, piece, 1 << 41).multinomial(here, weights / weights.sum()) @ np.asarray(values, float) / n
         for gh, sums in held.items():
             yield pd.DataFrame({"_gh": gh, "draw": np.arange(draws), "x": sums})
 
     drawn = work.mapInPandas(gather, "_gh long, draw int, x double").groupBy("_gh", "draw").agg(F.sum("x").alias("x"))
     names = items.groupBy(*keys, "_gh").agg(F.count("*").alias("_items")).select(*[F.col(k).alias(c) for c, k in zip(group, keys)], F.col("_gh").alias("_gh2"), "_items")
-    return drawn.join(names, F.col("_gh") == F.col("_gh2")).select(*group, "draw", (F.col("x") / F.col("_items")).alias("m"))
+    out = written(drawn.join(names, F.col("_gh") == F.col("_gh2")).select(*group, "draw", (F.col("x") / F.col("_items")).alias("m")), "means")
+    for done in (counts, items):
+        dropped(done)
+    return out
 
 
 def bootstrap_interval(rows: DataFrame, group: list[str], item: str, value: str, draws: int = 2000, level: float = 0.95, seed: int = 1729) -> DataFrame:

@@ -59,8 +59,9 @@ def two_stage(items, draws=4000):
     return np.quantile([np.mean([np.mean(rng.choice(items[i], len(items[i]))) for i in rng.integers(0, len(items), len(items))]) for _ in range(draws)], [0.025, 0.975])
 
 
-@pytest.mark.parametrize("sizes", [[1] * 1500, [2] * 40, [2000] * 3, [1, 5, 300] * 8])
-def test_bootstrap_at_any_number_of_repeats(spark, sizes, monkeypatch):
+@pytest.mark.parametrize(("sizes", "few"), [([1] * 1500, 9), ([2] * 40, 1024), ([2000] * 3, 1024), ([1, 5, 300] * 8, 0), ([1, 5, 300] * 8, 1024)])
+def test_bootstrap_at_any_number_of_repeats(spark, sizes, few, monkeypatch):
+    monkeypatch.setattr("corvane.operators.bootstrap.FEW", few)
     monkeypatch.setattr("corvane.operators.bootstrap.LEAF", 7)  # trees of several levels over items, and over an item's values
     monkeypatch.setattr("corvane.operators.bootstrap.PIECE", 20)
     rng = np.random.default_rng(1)
