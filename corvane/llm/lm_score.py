@@ -12,17 +12,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, local, thin
+from .common import cut, local
 
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
 #: Most frequent words whose counts are broadcast (the rest is joined), and those of them that are symbols of their own.
 HEAD, SYMBOLS = 131_072, 32_768
-STATES, ROUNDS = 8, 2
-#: Texts that the starting point is fitted on, about, tokens of the stretch taken of each at most, and rounds over them.
-START_TEXTS, START_TOKENS, START_ROUNDS = 1000, 4096, 10
-#: Tokens of a sequence whose forward chances are held at a time, padded tokens of a block of sequences, words that a counting task keeps.
-SEGMENT, BLOCK, KEPT = 1 << 19, 250_000, 400_000
+STATES, ROUNDS = 8, 4
+#: How much likelier than a change to any one other state it is, at the start, that a state stays.
+STAY = 3000
+#: Tokens of a sequence whose chances are held at a time, tokens of a block of sequences, words that a counting task keeps.
+SEGMENT, BLOCK, KEPT = 1 << 17, 120_000, 400_000
+#: Steps after which chances are scaled anew.
+RESCALE = 8
 #: Bytes of a word beyond which it is never broadcast, but joined; bits of a count that one pass looks at.
 LONG_WORD, DIGIT = 256, 16
 #: Weight, in tokens, of the overall frequencies in each state's emissions.
@@ -76,91 +78,115 @@ class Hmm:
     move: np.ndarray  # states x states
     emit: np.ndarray  # symbols x states
 
-    def blocks(self, sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """(numbers, lengths, symbols [longest x sequences]) of sequences of like length, longest first."""
+    def blocks(self, sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, lengths, live, symbols) of sequences of like length, longest first. Symbols stand step by step, without
+        padding: those of step t are of the first live[t] sequences."""
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         at = 0
         while at < len(order):
-            longest = max(1, len(sequences[order[at]]))
-            some = order[at : at + max(1, BLOCK // longest)]
-            at += len(some)
-            lengths = np.array([len(sequences[i]) for i in some])
-            symbols = np.zeros((longest, len(some)), np.int32)
-            for c, i in enumerate(some):
-                symbols[: lengths[c], c] = sequences[i]
-            yield some, lengths, symbols
+            to, held = at, 0
+            while to < len(order) and (to == at or held + len(sequences[order[to]]) <= BLOCK):
+                held += len(sequences[order[to]])
+                to += 1
+            lengths = np.array([len(sequences[i]) for i in order[at:to]])
+            live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+            begins, symbols = np.cumsum(live) - live, np.empty(held, np.int32)
+            for c, i in enumerate(order[at:to]):
+                symbols[begins[: lengths[c]] + c] = sequences[i]
+            yield order[at:to], lengths, live, symbols
+            at = to
+
+    def ratios(self) -> tuple[np.ndarray, np.ndarray]:
+        """The chances of each symbol over the largest of them, so that products of a few steps stay in range, and that largest."""
+        peak = self.emit.max(1)
+        return self.emit / peak[:, None], peak
+
+    def forward(self, seen: np.ndarray, live: list[int], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled chances of the states with all that was read up to each symbol, and what each row was divided by. seen holds the
+        ratios of a block's symbols; before are the chances just before it (none: texts begin here)."""
+        alphas, scales, ones = np.empty_like(seen), np.ones(len(seen)), np.ones(len(self.start))
+        last = at = 0
+        for t, m in enumerate(live):
+            now = alphas[at : at + m]
+            if t:
+                np.matmul(alphas[last : last + m], self.move, out=now)
+            else:
+                now[:] = self.start if before is None else before @ self.move
+            now *= seen[at : at + m]
+            if t % RESCALE == 0:
+                scales[at : at + m] = now @ ones
+                now /= scales[at : at + m, None]
+            last, at = at, at + m
+        return alphas, scales
+
+    def segments(self, symbols: np.ndarray, ratio: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None, float]]:
+        """(symbols, chances just before, log10 of the scales) of each segment of one long sequence."""
+        before = None
+        for at in range(0, len(symbols), SEGMENT):
+            part = symbols[at : at + SEGMENT]
+            alphas, scales = self.forward(ratio[part], [1] * len(part), before)
+            end = alphas[-1].sum()
+            yield part, before, float(np.log10(scales).sum() + np.log10(end))
+            before = alphas[-1] / end
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each whole sequence, by the scaled forward recursion."""
-        out = np.zeros(len(sequences))
-        for some, lengths, symbols in self.blocks(sequences):
-            live = np.searchsorted(-lengths, -np.arange(len(symbols)), "left")
-            total, alpha = np.zeros(len(some)), np.tile(self.start, (len(some), 1))
-            for t, m in enumerate(live.tolist()):
-                alpha = (alpha if t == 0 else alpha[:m] @ self.move) * self.emit[symbols[t, :m]]
-                scale = alpha.sum(1)
-                alpha /= scale[:, None]
-                total[:m] += np.log10(scale)
-            out[some] = total
+        out, (ratio, peak) = np.zeros(len(sequences)), self.ratios()
+        logs, ones = np.log10(peak), np.ones(len(self.start))
+        for i, s in enumerate(sequences):
+            if len(s) > SEGMENT:
+                out[i] = sum(scale + logs[part].sum() for part, _, scale in self.segments(s, ratio))
+        short = [i for i, s in enumerate(sequences) if 0 < len(s) <= SEGMENT]
+        for some, lengths, live, symbols in self.blocks([sequences[i] for i in short]):
+            alphas, scales = self.forward(ratio[symbols], live.tolist())
+            begins = np.cumsum(live) - live
+            column = np.arange(len(symbols)) - np.repeat(begins, live)
+            ends = alphas[begins[lengths - 1] + np.arange(len(lengths))] @ ones
+            out[[short[i] for i in some]] = np.bincount(column, np.log10(scales) + logs[symbols]) + np.log10(ends)
         return out
 
-    def expect_long(self, symbols: np.ndarray, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> None:
-        """Adds the expected counts of one long sequence: as expect does, but forward chances are kept only where a segment
-        begins, and found anew, segment by segment from the last, for the backward recursion that goes on through all."""
-        k, cuts = len(self.start), list(range(0, len(symbols), SEGMENT))
-
-        def forward(alpha: np.ndarray | None, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            alphas, scales = np.zeros((len(part), k)), np.ones(len(part))
-            for t, s in enumerate(part.tolist()):
-                alpha = (self.start if alpha is None else alpha @ self.move) * self.emit[s]
-                scales[t] = alpha.sum()
-                alpha = alpha / scales[t]
-                alphas[t] = alpha
-            return alphas, scales
-
-        before: list[np.ndarray | None] = [None]  # the chances just before each segment
-        for at in cuts[:-1]:
-            before.append(forward(before[-1], symbols[at : at + SEGMENT])[0][-1])
-        beta = np.ones(k)
-        for at, alpha in zip(reversed(cuts), reversed(before)):
-            part = symbols[at : at + SEGMENT]
-            alphas, scales = forward(alpha, part)
-            for t in range(len(part) - 1, -1, -1):
-                gamma = alphas[t] * beta
-                emits[part[t]] += gamma
-                previous = alphas[t - 1] if t else alpha
-                if previous is None:
-                    starts += gamma
-                    break
-                seen = self.emit[part[t]] * beta / scales[t]
-                moves += np.outer(previous, seen) * self.move
-                beta = self.move @ seen
+    def expect_block(self, ratio: np.ndarray, symbols: np.ndarray, live: np.ndarray, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Adds the expected counts of a block of sequences, or of a segment of one between the forward chances before it and
+        the backward chances after it; returns the backward chances, up to a factor, before its first row."""
+        seen, counts, ones, back = ratio[symbols], live.tolist(), np.ones(len(self.start)), self.move.T.copy()
+        alphas, scales = self.forward(seen, counts, before)
+        betas, at = np.ones_like(seen), len(seen)
+        if after is not None:
+            betas[-1] = after
+        for t in range(len(counts) - 1, 0, -1):
+            m, at = counts[t], at - counts[t]
+            here = seen[at : at + m]
+            here *= betas[at : at + m]  # seen holds from here on the chance of the symbol and of all that follow
+            left = betas[at - counts[t - 1] : at - counts[t - 1] + m]
+            np.matmul(here, back, out=left)
+            if t % RESCALE == 0:
+                left /= (left @ ones)[:, None]
+        first = counts[0]
+        seen[:first] *= betas[:first]
+        betas *= alphas
+        total = betas @ ones  # a row of betas over this is the chance of each state, given the whole sequence
+        for z in range(len(ones)):
+            emits[:, z] += np.bincount(symbols, betas[:, z] / total, len(emits))
+        if before is None:
+            starts += (betas[:first] / total[:first, None]).sum(0)
+        seen /= (total * scales)[:, None]
+        if before is not None:
+            moves += np.outer(before, seen[0]) * self.move
+        moves += (alphas[np.arange(first, len(seen)) - np.repeat(live[:-1], live[1:])].T @ seen[first:]) * self.move
+        return seen[0] @ back
 
     def expect(self, sequences: list[np.ndarray], starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> None:
-        """Adds the expected counts of the sequences, by scaled forward and backward recursions."""
+        """Adds the expected counts of the sequences, by scaled forward and backward recursions. Of a long one, forward chances
+        are kept only where a segment begins, and found anew, segment by segment from the last, for the backward recursion."""
+        ratio, _ = self.ratios()
         for s in sequences:
             if len(s) > SEGMENT:
-                self.expect_long(s, starts, moves, emits)
-        for _, lengths, symbols in self.blocks([s for s in sequences if len(s) <= SEGMENT]):
-            live = np.searchsorted(-lengths, -np.arange(len(symbols)), "left").tolist()
-            n, k = len(lengths), len(self.start)
-            alphas, scales = np.zeros((len(symbols), n, k)), np.ones((len(symbols), n))
-            for t, m in enumerate(live):
-                a = (np.tile(self.start, (m, 1)) if t == 0 else alphas[t - 1, :m] @ self.move) * self.emit[symbols[t, :m]]
-                scales[t, :m] = a.sum(1)
-                alphas[t, :m] = a / scales[t, :m, None]
-            beta, back = np.ones((n, k)), self.move.T.copy()
-            for t in range(len(symbols) - 1, 0, -1):
-                m = live[t]
-                seen = self.emit[symbols[t, :m]] * beta[:m] / scales[t, :m, None]
-                moves += (alphas[t - 1, :m].T @ seen) * self.move
-                beta[:m] = seen @ back
-                alphas[t - 1, :m] *= beta[:m]  # from here on the chance of each state, given the whole sequence
-            starts += alphas[0, : live[0]].sum(0) if live else 0
-            mask = np.arange(len(symbols))[:, None] < lengths[None, :]
-            ids, gamma = symbols[mask], alphas[mask]
-            for z in range(k):
-                emits[:, z] += np.bincount(ids, gamma[:, z], len(emits))
+                after = None
+                for part, before, _ in reversed(list(self.segments(s, ratio))):
+                    after = self.expect_block(ratio, part, np.ones(len(part), np.int64), starts, moves, emits, before, after)
+                    after /= after.sum()
+        for _, _, live, symbols in self.blocks([s for s in sequences if 0 < len(s) <= SEGMENT]):
+            self.expect_block(ratio, symbols, live, starts, moves, emits)
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, overall: np.ndarray) -> Hmm:
@@ -170,15 +196,10 @@ def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, overall:
     return Hmm((starts + 1.0) / (starts + 1.0).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0, keepdims=True))
 
 
-def starting_point(sequences: list[np.ndarray], overall: np.ndarray, states: int, seed: int) -> Hmm:
-    rng = np.random.default_rng(seed)
-    emits = overall[:, None] * rng.gamma(1.0, 1.0, (len(overall), states)) * 100 * PRIOR
-    model = maximised(np.ones(states), np.full((states, states), 1.0) + 20 * np.eye(states), emits, overall)
-    for _ in range(START_ROUNDS if sequences else 0):
-        starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((len(overall), states))
-        model.expect(sequences, starts, moves, emits)
-        model = maximised(starts, moves, emits, overall)
-    return model
+def starting_point(overall: np.ndarray, states: int, seed: int) -> Hmm:
+    """States that seldom change and differ by chance from the overall frequencies: no text is looked at but through those."""
+    emits = overall[:, None] * np.random.default_rng(seed).gamma(1.0, 1.0, (len(overall), states)) * 100 * PRIOR
+    return maximised(np.ones(states), STAY * np.eye(states), emits, overall)
 
 
 def baum_welch_round(encoded: DataFrame, model: Hmm, overall: np.ndarray) -> Hmm:
@@ -214,8 +235,9 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     Words of all training texts are counted exactly. The `head` most frequent are broadcast (a bounded list: fewer on
     ties, and none of more than LONG_WORD bytes); counts of all other words are joined to the texts that hold them. Texts are encoded once and written to the
     shared folder. The `symbols` most frequent words are symbols of the model, all others one symbol, within which a
-    word has its smoothed share. Baum-Welch starts from a fit on stretches of about START_TEXTS texts and then runs `rounds` rounds
-    over all training texts, each a whole sequence of any length; expected counts are added up across partitions. score is
+    word has its smoothed share. Baum-Welch starts from states that seldom change and differ by chance (seeded) from the
+    frequencies of all training texts, and runs `rounds` rounds over all of these, each a whole sequence of any length;
+    expected counts are added up across partitions; no part of the model is fitted on a sample. score is
     the exact log10 likelihood of the whole text, base_score that of smoothed single words. Null and empty texts are
     their end alone; repeated rows get a row each; null ids stay; without training texts every word is
     unseen and scores are finite all the same (base 0); no rows
@@ -261,10 +283,7 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     encoded = cut(rows.mapInPandas(encode, f"row long, doc_id {id_type}, train boolean, ids array<int>, tail array<binary>, tail_n array<int>"), "encoded")
     learned = encoded.where("train")
-    drawn = thin(learned, "ids", START_TEXTS, learned.count(), seed)  # by content, where it lies; of each one stretch, wherever a hash says
-    begin = F.pmod(F.xxhash64("ids"), F.greatest(F.size("ids") - START_TOKENS, F.lit(0)) + 1).cast("int") + 1
-    sample = local(drawn.orderBy(F.xxhash64("ids")).select(F.slice("ids", begin, F.lit(START_TOKENS)).alias("ids")))
-    model = starting_point([np.minimum(x, n_own) for x in sample["ids"]], overall, states, seed)
+    model = starting_point(overall, states, seed)
     for _ in range(rounds):
         model = baum_welch_round(learned, model, overall)
     final = spark.sparkContext.broadcast(model)

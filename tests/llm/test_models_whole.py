@@ -34,6 +34,68 @@ def test_a_long_sequence_is_one_sequence(monkeypatch):
         assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(want, got))
 
 
+def test_the_model_is_that_of_rounds_over_all_training_texts(spark):
+    """More texts than any sample of a thousand: every training text counts in every round, from overall frequencies on."""
+    ship(spark)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"] if i % 2 else ["c", "e", "f", "g"], 1 + i % 6)) for i in range(1600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.lm_score(docs, F.col("doc_id") % 4 != 1, states=2, rounds=3, seed=5).collect()}
+    split = lambda t: [*t.split(), "\n"]
+    c = Counter(w for i, t in enumerate(texts) if i % 4 != 1 for w in split(t))
+    listed = sorted(c, key=lambda w: (-c[w], w))
+    overall = np.array([c[w] + 0.5 for w in listed] + [0.5]) / (sum(c.values()) + 0.5 * len(c) + 0.5)
+
+    def model(starts, moves, emits):
+        emits = emits + 50 * overall[:, None]
+        return (starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True), emits / emits.sum(0)
+
+    def chances(m, line):
+        alphas = [m[0] * m[2][line[0]]]
+        for s in line[1:]:
+            alphas.append(alphas[-1] @ m[1] * m[2][s])
+        return alphas
+
+    lines = [[listed.index(w) for w in split(t)] for t in texts]
+    m = model(np.ones(2), 3000 * np.eye(2), overall[:, None] * np.random.default_rng(5).gamma(1.0, 1.0, (len(overall), 2)) * 5000)
+    for _ in range(3):
+        starts, moves, emits = np.zeros(2), np.zeros((2, 2)), np.zeros((len(overall), 2))
+        for line in (x for i, x in enumerate(lines) if i % 4 != 1):
+            alphas, beta = chances(m, line), np.ones(2)
+            p = alphas[-1].sum()
+            for t in range(len(line) - 1, -1, -1):
+                emits[line[t]] += alphas[t] * beta / p
+                if t:
+                    moves += np.outer(alphas[t - 1], m[2][line[t]] * beta) * m[1] / p
+                    beta = m[1] @ (m[2][line[t]] * beta)
+                else:
+                    starts += alphas[0] * beta / p
+        m = model(starts, moves, emits)
+    assert abs(m[2][:, 0] - m[2][:, 1]).max() > 0.05  # the states have parted
+    for i, line in enumerate(lines):
+        assert abs(got[i] - math.log10(chances(m, line)[-1].sum())) < 1e-4, i
+
+
+def test_likelihoods_of_long_and_unlikely_sequences(monkeypatch):
+    rng = np.random.default_rng(4)
+    emit = np.array([[1.0, 1e-13, 1e-13], [1e-13, 1.0, 1e-13], [1e-13, 1e-13, 1.0], [1e-12, 1e-11, 1e-10]])
+    m = lm_score.Hmm(np.full(3, 1 / 3), np.full((3, 3), 1e-13) + np.eye(3), emit)
+    for n in (1, 2, 9, 300):
+        s = rng.integers(0, 4, n).astype(np.int32)
+        log = np.log(m.start) + np.log(emit[s[0]])
+        for x in s[1:]:
+            log = np.logaddexp.reduce(log[:, None] + np.log(m.move), axis=0) + np.log(emit[x])
+        want = np.logaddexp.reduce(log) / math.log(10)
+        assert m.log10([s])[0] == pytest.approx(want)
+        monkeypatch.setattr(lm_score, "SEGMENT", 5)
+        assert m.log10([s[:1], s, s[:4]])[1] == pytest.approx(want)
+        sums = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
+        m.expect([s], *sums)
+        monkeypatch.undo()
+        assert np.isfinite(sums[2]).all() and sums[0].sum() == pytest.approx(1) and sums[1].sum() == pytest.approx(n - 1)
+        assert np.allclose(sums[2].sum(1), np.bincount(s, minlength=4))
+
+
 @pytest.mark.parametrize(("head", "symbols"), [(100, 50), (4, 2), (3, 9)])
 def test_scores_of_one_state_are_shares_of_words(spark, head, symbols, monkeypatch):
     ship(spark)
