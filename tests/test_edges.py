@@ -56,3 +56,27 @@ def test_discordance_equals_all_pairs(spark):
     points = rng.integers(0, 30, (200, 2)).astype(float)
     want = sum((a[0] - b[0]) * (a[1] - b[1]) < 0 for i, a in enumerate(points) for b in points[:i]) / (200 * 199 / 2)
     assert abs(discordance(spark.createDataFrame(points.tolist(), "x double, y double"), "x", "y", run=40).first().divergence - want) < 1e-9
+
+
+def in_blocks(spark, batch, **more):
+    """knn with blocks of `batch` queries that Spark may not put together in one task, against plain Python."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, v, i % 3) for i, v in enumerate(np.repeat(rng.normal(size=(150, 6)), 2, axis=0).tolist())]  # each twice: ties
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in knn(rows, rows.where("vec_id % 5 = 0"), 7, batch=batch, **more).collect())
+    finally:
+        spark.conf.set(key, before)
+    want = []
+    for i, a, _ in vectors[::5]:
+        near = [(-round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 9), j) for j, b, label in vectors if j != i and (not more or label == 1)]
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(near)[:7], 1)]
+    return got, want
+
+
+def test_nearest_neighbours_in_many_blocks(spark):
+    got, want = in_blocks(spark, 8)  # 60 queries, 300 rows: 8 blocks by 10
+    assert got == want
