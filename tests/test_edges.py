@@ -80,3 +80,8 @@ def in_blocks(spark, batch, **more):
 def test_nearest_neighbours_in_many_blocks(spark):
     got, want = in_blocks(spark, 8)  # 60 queries, 300 rows: 8 blocks by 10
     assert got == want
+
+
+def test_nearest_neighbours_of_one_label_in_many_blocks(spark):
+    got, want = in_blocks(spark, 2, where="label = 1")
+    assert got == want
