@@ -2,8 +2,10 @@
 
 import threading
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from corvane.operators import retrieval
 from corvane.operators.statistics import normal_interval
 from corvane.plans import hybrid
 from corvane.shared import get_text, put_text
@@ -152,3 +154,21 @@ def test_backfill_counts_and_keeps_what_it_leaves_out(spark, tmp_path):
     assert sorted((r.id, r.model, r.instance, r.score) for r in got) == [(1, "new", 0, 0.5), (5, "new", 1, None)]
     assert {r.line for r in spark.read.parquet(f"{root}/outcome=malformed").collect()} == {"{torn", '{"m":"x"}'}
     assert spark.read.parquet(f"{root}/outcome=oversize").first().line == lines[1]
+
+
+def test_the_dense_leg_of_a_search_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [(i, "blue", v) for i, v in enumerate(rng.normal(size=(200, 5)).tolist())]
+    ask = [(1000 + i, f"red{i}", v) for i, v in enumerate(rng.normal(size=(12, 5)).tolist())]  # no word in common
+    schema = "{} long, text string, vector array<double>"
+    monkeypatch.setattr(hybrid, "knn", lambda *a: retrieval.knn(*a, batch=4))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = hybrid.hybrid_search(spark.createDataFrame(docs, schema.format("doc_id")), spark.createDataFrame(ask, schema.format("query_id"))).collect()
+    finally:
+        spark.conf.set(key, before)
+    unit = lambda rows: (m := np.array([v for _, _, v in rows])) / np.linalg.norm(m, axis=1)[:, None]
+    best = np.argsort(-(unit(ask) @ unit(docs).T), axis=1)[:, :5]
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in rows) == [(q, n, int(j)) for (q, _, _), found in zip(ask, best) for n, j in enumerate(found, 1)]
