@@ -60,7 +60,7 @@ def answer_scores(spark, d):
     close = an.closeness(F.when(kind == "signup", v > 50), v / 100, F.when(kind != "view", v / 200))
     total = an.merged_total(F.when(kind == "click", v), F.when(kind == "view", v * 2), [v, F.lit(1.0), F.lit(None).cast("double")])
     rating = an.rating_share(F.nullif(F.regexp_extract("props", "[0-9]", 0), F.lit("")))
-    return t(spark, d, "events").select("event_id", F.round(close, 9).alias("closeness"), F.round(total, 9).alias("total"), F.round(rating, 9).alias("rating"), F.round(an.gain(F.lit(50.0), v)[0], 9).alias("gain"), F.round(an.gain(F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(20.0), v)[1], 6).alias("percent"), an.log_safe(v).alias("axis"))
+    return t(spark, d, "events").select("event_id", sc.rounded(close, 9).alias("closeness"), sc.rounded(total, 9).alias("total"), sc.rounded(rating, 9).alias("rating"), sc.rounded(an.gain(F.lit(50.0), v)[0], 9).alias("gain"), sc.rounded(an.gain(F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(20.0), v)[1], 6).alias("percent"), an.log_safe(v).alias("axis"))
 
 
 SENTENCES = f"list_filter(list_transform(regexp_split_to_array(answer, '[.!?\\n]+'), lambda s: {sql_content('s')}), lambda s: len(s) > 0)"

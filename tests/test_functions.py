@@ -119,3 +119,20 @@ def test_pareto_with_ties(spark):
     points = [("a", 1.0, 1.0), ("b", 1.0, 1.0), ("c", 2.0, 1.0), ("d", 2.0, 3.0), ("e", 0.5, 0.5), ("f", None, 1.0)]
     got = {r.k for r in st.pareto(spark.createDataFrame(points, "k string, cost double, q double"), "q", "cost").collect() if r.on_front}
     assert got == {"a", "b", "d", "e"}
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path):
+    from corvane.functions.scores import rounded
+    from corvane.queries_scoring import answer_scores
+
+    x = [9.58199, 4.67221, 23.83619, -9.58199, 12.29175443950000, 0.0]
+    half = lambda v, n: math.copysign(math.floor(abs(v * 10.0**n) + 0.5) / 10.0**n, v)
+    close = [0.35 * (v / 100) + (1 - 0.35) * (v / 200) for v in x]
+    odd = [float("inf"), float("nan"), 1e305, None, 0.49999999999999994]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*close, *odd])], "i int, v double")
+    got = [r.r for r in df.select("i", rounded(F.col("v"), 9).alias("r")).orderBy("i").collect()]
+    assert got[:6] == [half(v, 9) for v in close] and got[6] == odd[0] and math.isnan(got[7]) and got[8:] == [1e305, None, 0.5]
+    assert [r.r for r in df.where("i = 10").select(rounded(F.col("v"), 0).alias("r")).collect()] == [0.0]
+    spark.createDataFrame([(i, "click", v, '{"k": 1}') for i, v in enumerate(x) if v >= 0], "event_id long, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    told = {r.event_id: r.closeness for r in answer_scores(spark, f"file://{tmp_path}").collect()}
+    assert told == {i: half(close[i], 9) for i, v in enumerate(x) if v >= 0}
