@@ -117,6 +117,25 @@ def test_similarity_edges_are_all_there_are(spark):
     assert {(r.a, r.b) for r in edges.collect()} == want
 
 
+def test_small_sets_of_frequent_tokens_form_few_pairs(spark):
+    """Every set holds only frequent tokens, so that a token in common says little."""
+    from corvane.operators.similarity import small_pairs
+
+    rng = np.random.default_rng(8)
+    sets = sorted({tuple(sorted({f"b{rng.integers(0, 12)}", f"t{rng.integers(0, 6)}", f"n{rng.integers(0, 8)}", f"m{rng.integers(0, 8)}", f"s{rng.integers(0, 10)}"})) for _ in range(1500)})
+    sets += [x[: 1 + i % 4] for i, x in enumerate(sets[:40])] + [(*x, *(f"z{i % 3}{j}" for j in range(1 + i % 5))) for i, x in enumerate(sets[:60])]  # 1 to 4 tokens, 6 to 10
+    plain = list(dict.fromkeys(sets))
+    rows = spark.createDataFrame([(i, list(x)) for i, x in enumerate(plain)], "id int, tokens array<string>")
+    held = [frozenset(x) for x in plain]
+    like = {(a, b): round(i / (len(held[a]) + len(held[b]) - i), 9) for a, b in combinations(range(len(held)), 2) if (i := len(held[a] & held[b]))}
+    for similarity in (0.6, 0.8):
+        got = [(r.a, r.b, round(r.jaccard, 9)) for r in similarity_edges(rows, "id", "tokens", similarity)[0].collect()]
+        assert sorted(got) == sorted((a, b, x) for (a, b), x in like.items() if x >= similarity - 1e-9)
+    few = [i for i, x in enumerate(held) if len(x) <= 6]
+    looked_at = small_pairs(rows.where(F.size("tokens") <= 6).select(F.col("id").alias("class_id"), "tokens"), 0.6).count()
+    assert looked_at == sum(like.get(p, 0) >= 0.6 - 1e-9 for p in combinations(few, 2))  # before, a share of all pairs
+
+
 def test_combinations_of_a_large_pool_come_at_once(spark):
     rows = spark.createDataFrame([("p", i) for i in range(200)] + [("q", i) for i in range(5)] + [("r", 1)], "pool string, m int")
     got = rp.combinations_of(rows, "pool", "m", 3, 100).collect()
