@@ -98,13 +98,13 @@ def unfinished_trials(spark, d):
 @query(f"""WITH e2 AS (SELECT * FROM events WHERE value IS NOT NULL), {VC.replace('FROM events WHERE value IS NOT NULL', 'FROM e2')}, h AS (SELECT *, 1.959963984540054 * sqrt(between_ / n_items + within / n_trials) AS half FROM vc)
 SELECT event_type, n_items::BIGINT AS n_items, n_trials::BIGINT AS n_trials, round(mean, 6) AS mean, round(mean - half, 6) AS low, round(mean + half, 6) AS high, n_items < 2 AS insufficient, false AS blended FROM h""")
 def live_intervals(spark, d):
-    """Intervals after the events have come in as three micro-batches."""
+    """Intervals after the events have come in as three micro-batches, each when it is there."""
     root = f"{scratch(spark)}/live-{uuid.uuid4().hex}"
     e = t(spark, d, "events").select("event_type", "user_id", "value", F.lit("full").alias("kind"), (F.col("event_id") % 3).alias("part"))
     for n in range(3):
-        e.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/log")
-    stream = spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    out = live.live_intervals(stream, ["event_type"], "kind", "user_id", "value", f"{root}/state")
+        e.where(F.col("part") == n).drop("part").write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema(e.drop("part").schema).parquet(f"{root}/log")
+        out = live.live_intervals(stream, ["event_type"], "kind", "user_id", "value", f"{root}/state")
     return out.select("event_type", "n_items", "n_trials", *r6("mean", "low", "high"), "insufficient", "blended")
 
 

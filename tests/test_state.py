@@ -124,6 +124,30 @@ def test_intervals_after_every_batch_are_those_of_all_rows_so_far(spark, tmp_pat
                 assert (r.low is None) == (want[m].low is None) and (r.low is None or abs(r.low - want[m].low) < 1e-9)
 
 
+def test_items_of_a_part_share_one_state(spark, tmp_path):
+    """However many items there are, a micro-batch takes a bounded number of calls, each of which tells one row."""
+    rng = np.random.default_rng(9)
+    rows = [("ab"[i % 2], "full", int(x) if x else None, float(v)) for i, (x, v) in enumerate(zip(rng.integers(0, 700, 4000), rng.normal(size=4000)))]
+    schema, told = "m string, kind string, item long, v double", {}
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(2):
+            spark.createDataFrame(rows[part::2] + rows[: 100 * part], schema).write.mode("append").parquet(f"file://{tmp_path}/log")
+            changes = live.interval_changes(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/log"), ["m"], "kind", "item", "v")
+            sink = lambda rows, n: told.setdefault(n, rows.collect())
+            changes.writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(told) == [0, 1] and all(0 < len(part) <= 2 * 64 for part in told.values())
+    got = {r.m: r for r in live.intervals(spark.createDataFrame([r for part in told.values() for r in part], changes.schema), ["m"], "kind").collect()}
+    for r in normal_interval(spark.createDataFrame(rows + rows[:100], schema), ["m"], "item", "v").collect():
+        mine = got[r.m]
+        assert (mine.n_items, mine.insufficient) == (r.n_items, r.insufficient)
+        assert max(abs(mine.mean - r.mean), abs(mine.low - r.low), abs(mine.high - r.high)) < 1e-9
+
+
 def test_a_kept_search_is_not_made_again(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "red fish", [1.0, 0.0], ["a"]), (2, "blue fish", [0.0, 1.0], ["b"]), (3, None, None, ["a"])], "doc_id long, text string, vector array<double>, tags array<string>")
     ask = spark.createDataFrame([(10, "red", [1.0, 0.1]), (11, "red", [0.0, 1.0]), (12, "none of it", None)], "query_id long, text string, vector array<double>")
