@@ -5,6 +5,9 @@ is drawn follows a multinomial law over the items, which a tree splits: the draw
 binomial law. Items are dealt by hash to leaves of about LEAF; whoever works on a leaf walks down from the root with
 generators seeded by the nodes, so all leaves agree on one resample without hearing of each other. An item's own draws
 are split over the pieces of its histogram of values in the same way.
+
+Items whose repeats are all of one value give that value whichever of them is drawn. They are counted by value, and their
+draws fall to the values by the same law; a binomial law first splits a resample between them and the other items.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from ..shared import dropped, written
 from .statistics import item_equal_mean, item_means
 
-#: Items that a leaf holds on average; different values of one item that a piece of its histogram holds; repeats of an item
+#: Items, or values of single-valued items, that a leaf holds on average; different values of one item that a piece of its histogram holds; repeats of an item
 #: up to which they are drawn one by one, which gives the same law.
 LEAF, PIECE, FEW = 512, 4096, 1024
 
@@ -44,14 +47,20 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
     keys = [f"_g{i}" for i in range(len(group))]
     own = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(group, keys)], F.col(item).alias("_i"), F.col(value).cast("double").alias("_v"))
     counts = written(own.groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_w")), "counts")
-    items = counts.groupBy(*keys, "_i").agg(F.sum("_w").alias("_n"), _levels(F.count("*"), PIECE).alias("_cuts"))
-    items = items.withColumns({"_h": F.xxhash64(F.lit(seed), *keys, "_i"), "_gh": F.xxhash64(F.lit(seed), *keys)})
-    groups = items.groupBy("_gh").agg(F.count("*").alias("_items"))
-    groups = groups.withColumn("_depth", _levels(F.col("_items"), LEAF))
-    items = items.join(groups.withColumnRenamed("_gh", "_gh2"), F.col("_gh") == F.col("_gh2")).drop("_gh2")
+    many = F.col("_kinds") > 1
+    units = counts.groupBy(*keys, "_i").agg(F.sum("_w").alias("_n"), F.count("*").alias("_kinds"), F.min("_v").alias("_one"))
+    units = units.select(*keys, many.alias("_many"), F.when(many, F.col("_i")).alias("_i"), F.when(~many, F.col("_one")).alias("_one"), "_n", "_kinds")
+    units = units.groupBy(*keys, "_many", "_i", "_one").agg(F.count("*").alias("_m"), F.max("_n").alias("_n"), F.max("_kinds").alias("_kinds"))
+    units = written(units.withColumn("_gh", F.xxhash64(F.lit(seed), *keys)), "units")
+    of = lambda x, yes: F.coalesce(F.sum(F.when(F.col("_many") == yes, x)), F.lit(0))
+    groups = units.groupBy("_gh", *keys).agg(of(F.col("_m"), True).alias("_items"), of(F.col("_m"), False).alias("_alike"), of(F.lit(1), False).alias("_values"))
+    told = groups.select(F.col("_gh").alias("_gh2"), "_items", "_alike", _levels(F.col("_items"), LEAF).alias("_depth"), _levels(F.col("_values"), LEAF).alias("_depth2"))
+    dealt = units.join(told, F.col("_gh") == F.col("_gh2")).drop("_gh2")
+    items = dealt.where("_many").withColumns({"_h": F.xxhash64(F.lit(seed), *keys, "_i"), "_cuts": _levels(F.col("_kinds"), PIECE)})
     items = items.withColumn("_leaf", F.expr("_h & (shiftleft(1L, _depth) - 1)"))
+    alike = dealt.where("NOT _many").withColumn("_leaf", F.expr(f"xxhash64({seed}L, _one) & (shiftleft(1L, _depth2) - 1)"))
     inside = Window.partitionBy("_gh", "_leaf")
-    items = written(items.withColumns({"_at": F.row_number().over(inside.orderBy("_h", "_i")) - 1, "_in": F.count("*").over(inside)}), "items")
+    items = written(items.withColumns({"_at": F.row_number().over(inside.orderBy("_h", "_i")) - 1, "_in": F.count("*").over(inside)}).drop("_many", "_one", "_m", "_kinds", "_depth2"), "items")
     depth, cuts = items.agg(F.coalesce(F.max("_depth"), F.lit(0)), F.coalesce(F.max("_cuts"), F.lit(0))).first()
     leaves = _path(items.groupBy("_gh", "_leaf", "_depth").agg(F.count("*").alias("_size")), ["_gh"], "_leaf", "_depth", depth, "_size", "_sizes")
     items = items.join(leaves.select(F.col("_gh").alias("_gh2"), F.col("_leaf").alias("_leaf2"), "_sizes"), (F.col("_gh") == F.col("_gh2")) & (F.col("_leaf") == F.col("_leaf2"))).drop("_gh2", "_leaf2")
@@ -62,8 +71,15 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
     pieces = _path(pieces, [*keys, "_i"], "_piece", "_cuts", cuts, "_size", "_parts")
     pieces = pieces.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_i").alias("_i_"), "_piece", F.transform("_values", lambda x: x["_v"]).alias("_values"), F.transform("_values", lambda x: x["_w"]).alias("_counts"), "_parts", F.col("_cuts").alias("_cuts_"))
     work = items.drop("_cuts").join(pieces, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys] + [F.col("_i").eqNullSafe(F.col("_i_"))])
-    work = work.select("_gh", "_leaf", "_depth", "_sizes", "_at", "_in", "_n", "_h", "_piece", "_cuts_", "_parts", "_values", "_counts")
-    work = work.repartition("_gh", "_leaf", "_piece").sortWithinPartitions("_gh", "_leaf")
+    work = work.select("_gh", "_items", "_alike", "_leaf", "_depth", "_sizes", "_at", "_in", "_n", "_h", "_piece", "_cuts_", "_parts", "_values", "_counts")
+    alike = alike.groupBy("_gh", "_items", "_alike", "_leaf", F.col("_depth2").alias("_depth")).agg(F.array_sort(F.collect_list(F.struct("_one", "_m"))).alias("_values"), F.sum("_m").alias("_size"))
+    deepest = groups.agg(F.coalesce(F.max(_levels(F.col("_values"), LEAF)), F.lit(0))).first()[0]
+    alike = _path(alike, ["_gh"], "_leaf", "_depth", deepest, "_size", "_sizes")
+    zero = lambda kind: F.lit(0).cast(kind)
+    alike = alike.select(
+        "_gh", "_items", "_alike", "_leaf", "_depth", "_sizes", F.lit(-1).alias("_at"), zero("long").alias("_in"), zero("long").alias("_n"), zero("long").alias("_h"), zero("long").alias("_piece"), zero("int").alias("_cuts_"),
+        F.array().cast("array<long>").alias("_parts"), F.transform("_values", lambda x: x["_one"]).alias("_values"), F.transform("_values", lambda x: x["_m"]).alias("_counts"))
+    work = work.unionByName(alike).repartition("_gh", "_leaf", "_piece").sortWithinPartitions("_gh", "_leaf", "_at")
 
     few = FEW
 
@@ -71,27 +87,33 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
         def generator(*path):
             return np.random.default_rng([int(x) & 0xFFFFFFFFFFFFFFFF for x in (seed, *path)])
 
-        def walked(n, sizes, leaf, depth, tag):
+        def walked(n, sizes, leaf, depth, *tag):
             """How many of n draws (an array) reach the leaf."""
             for d in range(depth):
                 node, bit = leaf >> (depth - d), (leaf >> (depth - d - 1)) & 1
                 left = sizes[d] - sizes[d + 1] if bit else sizes[d + 1]
-                gone = generator(tag, d, node).binomial(n, left / sizes[d])
+                gone = generator(*tag, d, node).binomial(n, left / sizes[d])
                 n = n - gone if bit else gone
             return n
 
+        def split(gh, alike, others):
+            """How many of a resample's draws fall to single-valued items."""
+            return generator(gh, 1 << 44).binomial(np.full(draws, alike + others), alike / (alike + others))
+
         held, known, times = {}, None, None
         for part in batches:
             for r in part.itertuples(index=False, name=None):
-                gh, leaf, depth, sizes, at, inside, n, h, piece, cuts, parts, values, counts = r
+                gh, others, alike, leaf, depth, sizes, at, inside, n, h, piece, cuts, parts, values, counts = r
+                sums = held.setdefault(gh, np.zeros(draws))
+                if at < 0:  # values of single-valued items
+                    drawn = walked(split(gh, alike, others), sizes, leaf, depth, gh, 1 << 42)
+                    weights = np.asarray(counts, float)
+                    sums += generator(gh, leaf, 1 << 43).multinomial(drawn, weights / weights.sum()) @ np.asarray(values, float)
+                    continue
                 if known != (gh, leaf):
-                    drawn = walked(np.full(draws, int(sizes[0])), sizes, leaf, depth, gh)
+                    drawn = walked(alike + others - split(gh, alike, others), sizes, leaf, depth, gh)
                     times, known = generator(gh, leaf, 1 << 40).multinomial(drawn, np.full(inside, 1 / inside)), (gh, leaf)
                 mine = times[:, at]
-                sums = held.setdefault(gh, np.zeros(draws))
-                if len(values) == 1 and cuts == 0:
-                    sums += mine * values[0]
-                    continue
                 weights = np.asarray(counts, float)
                 if cuts == 0 and n <= few:  # one draw after the other costs less than a multinomial of each resample
                     drawn = np.flatnonzero(mine)
@@ -106,9 +128,9 @@ def bootstrap_draws(rows: DataFrame, group: list[str], item: str, value: str, dr
             yield pd.DataFrame({"_gh": gh, "draw": np.arange(draws), "x": sums})
 
     drawn = work.mapInPandas(gather, "_gh long, draw int, x double").groupBy("_gh", "draw").agg(F.sum("x").alias("x"))
-    names = items.groupBy(*keys, "_gh").agg(F.count("*").alias("_items")).select(*[F.col(k).alias(c) for c, k in zip(group, keys)], F.col("_gh").alias("_gh2"), "_items")
-    out = written(drawn.join(names, F.col("_gh") == F.col("_gh2")).select(*group, "draw", (F.col("x") / F.col("_items")).alias("m")), "means")
-    for done in (counts, items):
+    names = groups.select(*[F.col(k).alias(c) for c, k in zip(group, keys)], F.col("_gh").alias("_gh2"), (F.col("_items") + F.col("_alike")).alias("_all"))
+    out = written(drawn.join(names, F.col("_gh") == F.col("_gh2")).select(*group, "draw", (F.col("x") / F.col("_all")).alias("m")), "means")
+    for done in (counts, units, items):
         dropped(done)
     return out
 

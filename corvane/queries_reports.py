@@ -13,7 +13,7 @@ from .operators import reports as rp
 from .operators import selection as sel
 from .operators import statistics as st
 from .queries import MEANS, VC, query, r6, t
-from .shared import scratch
+from .shared import scratch, written
 from .sources import corpus, logs
 
 
@@ -271,7 +271,7 @@ def slice_rows(spark, d):
 @query()
 def slice_tests(spark, d):
     """Each priority's lists against the same lists turned round."""
-    rows = slice_rows(spark, d)
+    rows = written(slice_rows(spark, d), "lists")
     return rp.slice_rollup(rows, ["pri"], "q", "rels", "found", "kind", "score", "price", rows.withColumn("rels", F.reverse("rels")), k=3).select("slice", "ndcg", "ndcg_low", "ndcg_high", "p_value")
 
 

@@ -104,6 +104,33 @@ def test_discordance_counts_every_pair(spark, shape):
     assert abs(got.divergence - want) < 1e-9 and got.pairs == 300 * 299 // 2
 
 
+def test_single_valued_items_are_drawn_by_their_values(spark, monkeypatch):
+    """Their law depends on how many items have each value, so other ids give the same resamples; others are drawn beside them."""
+    from corvane.operators.bootstrap import bootstrap_draws
+
+    monkeypatch.setattr("corvane.operators.bootstrap.LEAF", 4)  # trees of several levels, over values and over items
+    rng = np.random.default_rng(11)
+    alike = [("g" if i % 3 else None, i, float(v)) for i, v in enumerate(rng.integers(0, 30, 900))] + [("h", 1, 2.0), ("h", 1, 2.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "g string, i long, v double")
+    drawn = lambda rows: {(r.g, r.draw): r.m for r in bootstrap_draws(frame(rows), ["g"], "i", "v", 2000, 1).collect()}
+    got = drawn(alike)
+    assert got == drawn([(g, i + 10**6, v) for g, i, v in alike]) and len(got) == 3 * 2000 and {got["h", d] for d in range(2000)} == {2.0}
+    for g in ("g", None):
+        values = np.array([v for group, _, v in alike if group == g])
+        m = np.array([got[g, d] for d in range(2000)])
+        sd = values.std() / len(values) ** 0.5
+        assert abs(m.mean() - values.mean()) < 5 * sd / 2000**0.5 and abs(m.std() / sd - 1) < 0.1
+    mixed = alike[:60] + [("g", 1000 + i % 40, float(v)) for i, v in enumerate(rng.normal(8, 20, 200))]
+    mixed = [("g", i, v) for _, i, v in mixed]
+    held = {}
+    for _, i, v in mixed:
+        held.setdefault(i, []).append(v)
+    m = np.array(list(drawn(mixed).values()))
+    means = np.array([np.mean(x) for x in held.values()])
+    sd = ((means.var() + np.mean([np.var(x) / len(x) for x in held.values()])) / len(held)) ** 0.5
+    assert abs(m.mean() - means.mean()) < 5 * sd / 2000**0.5 and abs(m.std() / sd - 1) < 0.1
+
+
 def test_similarity_edges_are_all_there_are(spark):
     rng = np.random.default_rng(7)
     tokens = [f"t{i}" for i in range(30)]
